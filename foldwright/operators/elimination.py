@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,17 +13,25 @@ from foldwright.operators.importance import mean_importance, model_scorer, permu
 from foldwright.operators.metrics import importance_rollup, rmse_by, score_summary
 from foldwright.operators.models import with_vector
 from foldwright.operators.splits import training_rows, validation_rows
+from foldwright.session import stored
 from foldwright.sources.logs import append_runs
 
 
-def cross_validate(df: DataFrame, features: list[str], target: str, make: Callable[[], object], folds: int):
-    """[(fold, model, validation predictions)]: one fit per fold on the rows outside it and the holdout."""
+def cross_validate(
+    df: DataFrame, features: list[str], make: Callable[[], object], folds: int, parallelism: int = 4
+) -> list[tuple]:
+    """[(fold, model, validation predictions)]: one fit per fold on the rows outside it and the holdout.
+
+    The fits do not depend on each other; `parallelism` of them share the cluster.
+    """
     prepared = with_vector(df, features)
-    out = []
-    for fold in range(folds):
+
+    def fit(fold: int) -> tuple:
         model = make().fit(training_rows(prepared, fold))
-        out.append((fold, model, model.transform(validation_rows(prepared, fold))))
-    return out
+        return fold, model, model.transform(validation_rows(prepared, fold))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(fit, range(folds)))
 
 
 def fold_scores(fitted: list, target: str, prediction: str = "prediction") -> DataFrame:
@@ -73,28 +82,25 @@ def eliminate(
     """
     spark = df.sparkSession
     names, rounds = list(features), []
-    rows = df.select(key, *names, target, "fold", "holdout").persist()
-    try:
-        while names:
-            number = len(rounds)
-            test = holdout_score(rows, names, target, make)
-            fitted = cross_validate(rows, names, target, make, folds)
-            scores = score_summary(fold_scores(fitted, target)).first()
-            decided = decide(fold_importances(rows, fitted, key, names, target, repeats, seed), folds_needed)
-            found = [(number, *row) for row in decided.collect()]
-            rounds.extend([found])
-            log = [("elimination", number, names, scores["mean_rmse"], scores["std_rmse"], test, len(names))]
-            schema = (
-                "experiment string, round int, features array<string>, mean_rmse double, std_rmse double, "
-                "test_rmse double, n_features int"
-            )
-            append_runs(spark.createDataFrame(log, schema), log_path)
-            kept = {row[1] for row in found if row[-1]}
-            if len(kept) == len(names):
-                break
-            names = [n for n in names if n in kept]
-    finally:
-        rows.unpersist()
+    rows = stored(df.select(key, *names, target, "fold", "holdout"))
+    while names:
+        number = len(rounds)
+        test = holdout_score(rows, names, target, make)
+        fitted = cross_validate(rows, names, make, folds)
+        scores = score_summary(fold_scores(fitted, target)).first()
+        decided = decide(fold_importances(rows, fitted, key, names, target, repeats, seed), folds_needed)
+        found = [(number, *row) for row in decided.collect()]
+        rounds.extend([found])
+        log = [("elimination", number, names, scores["mean_rmse"], scores["std_rmse"], test, len(names))]
+        schema = (
+            "experiment string, round int, features array<string>, mean_rmse double, std_rmse double, "
+            "test_rmse double, n_features int"
+        )
+        append_runs(spark.createDataFrame(log, schema), log_path)
+        kept = {row[1] for row in found if row[-1]}
+        if len(kept) == len(names):
+            break
+        names = [n for n in names if n in kept]
     columns = (
         "round int, feature string, total_importance double, non_positive_folds bigint, mean_importance double, "
         "std_importance double, kept boolean"

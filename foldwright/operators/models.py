@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -134,12 +135,10 @@ def ensemble_predict(models: list[Model], df: DataFrame, name: str = "prediction
     return out.withColumn(name, average_of([m.getPredictionCol() for m in models]))
 
 
-def fit_members(members: list, train: DataFrame) -> list[Model]:
-    kept = train.persist()
-    try:
-        return [member.fit(kept) for member in members]
-    finally:
-        kept.unpersist()
+def fit_members(members: list, train: DataFrame, parallelism: int = 3) -> list[Model]:
+    """Fit independent members side by side; `train` should be a stored table, as each of them reads it."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(lambda member: member.fit(train), members))
 
 
 def draw_settings(ranges: dict, trials: int, seed: int) -> list[dict]:
@@ -196,8 +195,8 @@ def save_and_load(model: GBTRegressionModel) -> GBTRegressionModel:
 
 def early_stopped(settings: dict, target: str, seed: int, validation: str, tolerance: float, **overrides) -> GBTRegressor:
     """Boosting that stops once the error on rows flagged by `validation` no longer falls by `tolerance`."""
-    estimator = boosted(settings, target, seed, **overrides)
-    return estimator.setValidationIndicatorCol(validation).setValidationTol(tolerance)
+    estimator = boosted(settings, target, seed, **overrides).setValidationIndicatorCol(validation)
+    return estimator.copy({estimator.validationTol: tolerance})
 
 
 def fourier_features(length: int, count: int, scale: float, seed: int):

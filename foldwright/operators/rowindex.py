@@ -91,9 +91,14 @@ def permuted_column(df: DataFrame, key: str, column: str, seed: int | str, name:
     return receivers.join(donors, "_position").drop("_position")
 
 
-def split_by_order(df: DataFrame, order_by: list[Column | str], head_share: float = 0.8) -> DataFrame:
-    """Mark the first `floor(head_share * n)` rows 'head' and the others 'tail'."""
-    indexed = with_row_index(df, order_by, "_row")
+def split_by_order(df: DataFrame, order_by: list[str], head_share: float = 0.8) -> DataFrame:
+    """Mark the first `floor(head_share * n)` rows 'head' and the others 'tail'.
+
+    Only the order columns are sorted, to find the last key of the head; the rows
+    themselves are compared with it where they are.
+    """
+    indexed = with_row_index(df.select(*order_by), order_by, "_row")
     rows = indexed.agg(F.count(F.lit(1)).alias("n"))
     cutoff = rows.select(F.floor(F.col("n") * F.lit(head_share))).scalar()
-    return indexed.withColumn("split", F.when(F.col("_row") <= cutoff, "head").otherwise("tail")).drop("_row")
+    last = indexed.where(F.col("_row") == cutoff).select(F.struct(*order_by)).scalar()
+    return df.withColumn("split", F.when(F.struct(*order_by) <= last, "head").otherwise("tail"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwright.operators.joins import attach_by_group
 from foldwright.operators.rowindex import with_row_index
@@ -114,7 +115,7 @@ def target_balanced_folds(
     ordered = with_row_index(items, [F.desc("n"), F.asc(group)], "_row").withColumn(
         "_chunk", F.floor((F.col("_row") - 1) / chunk).cast("int")
     )
-    schema = ordered.drop("_row", "_chunk").schema.add("fold", "int")
+    schema = ordered.drop("_row", "_chunk").schema.add("fold", T.IntegerType())
     names = schema.names
     chunks = ordered.agg(F.max("_chunk")).first()[0]
     if chunks is None:

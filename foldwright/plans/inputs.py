@@ -130,14 +130,14 @@ EVENT_COUNTS = (
 
 
 MEASURES = ["avg_quantity", "avg_discount", "avg_tax", "n_lines", "n_returned"]
-# A fixed linear prediction of the mean price: tax and returns do not count.
-WEIGHTS = [1500.0, -2000.0, 0.0, 10.0, 0.0]
-INTERCEPT = 500.0
-TARGET = "avg_price"
+# A fixed linear prediction of the total price: tax and returns do not count.
+WEIGHTS = [4000.0, -2000.0, 0.0, 50000.0, 0.0]
+INTERCEPT = -100000.0
+TARGET = "total_price"
 
 
 def order_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with lines: measures, mean price, fold and holdout."""
+    """One row per order with lines: measures, total price, fold and holdout."""
     lines = table(spark, sf_dir, "lineitem")
     grouped = lines.groupBy("l_orderkey").agg(
         F.avg("l_quantity").alias("avg_quantity"),
@@ -145,7 +145,7 @@ def order_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("l_tax").alias("avg_tax"),
         F.count(F.lit(1)).cast("double").alias("n_lines"),
         F.count_if(F.col("l_returnflag") == "R").cast("double").alias("n_returned"),
-        F.avg("l_extendedprice").alias(TARGET),
+        F.sum("l_extendedprice").alias(TARGET),
     )
     return grouped.withColumn("fold", hash_fold(F.col("l_orderkey"), FOLDS, SEED)).withColumn(
         "holdout", hash_fold(F.col("l_orderkey"), 10, SEED + 1) == 0
@@ -155,7 +155,7 @@ def order_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER_MEASURES = f"""
     select l_orderkey, avg(l_quantity) as avg_quantity, avg(l_discount) as avg_discount, avg(l_tax) as avg_tax,
         count(*)::double as n_lines, (count(*) filter (l_returnflag = 'R'))::double as n_returned,
-        avg(l_extendedprice) as avg_price, {sql_fold('l_orderkey')} as fold,
+        sum(l_extendedprice) as total_price, {sql_fold('l_orderkey')} as fold,
         {sql_fold('l_orderkey', 10, SEED + 1)} = 0 as holdout
     from lineitem group by l_orderkey
 """

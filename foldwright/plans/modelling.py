@@ -21,7 +21,7 @@ from foldwright.plans.inputs import (
     table,
 )
 from foldwright.plans.registry import query
-from foldwright.session import scratch_path
+from foldwright.session import scratch_path, stored
 
 # Small trees: enough to beat the mean predictor, quick enough to run every round.
 SMALL = {"n_estimators": 5, "iterations": 5, "max_depth": 4, "depth": 4}
@@ -47,7 +47,7 @@ def _sql_importance(group: str) -> str:
             count(*) over (partition by {group}) as n from m where not holdout),
     v as (select *, unnest(range({REPEATS})) as repeat from p),
     s as (select v.*, (place - 1 + {sql_hash32(str(SEED), 'repeat')} % (n - 1) + 1) % n + 1 as donor from v),
-    x as (select a.g, f, a.repeat, a.avg_price as y, {_sql_prediction('a', 'b')} as permuted, {_sql_prediction('a')} as plain
+    x as (select a.g, f, a.repeat, a.total_price as y, {_sql_prediction('a', 'b')} as permuted, {_sql_prediction('a')} as plain
         from s a join p b on b.g = a.g and b.place = a.donor cross join (select unnest(range({len(MEASURES)})) as f))
     select g as fold, {names}[f + 1] as feature, repeat,
         sqrt(avg((y - permuted) * (y - permuted))) - sqrt(avg((y - plain) * (y - plain))) as importance
@@ -83,6 +83,11 @@ def feature_elimination_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order measures as a stored table: every fit reads them again."""
+    return stored(order_measures(spark, sf_dir))
+
+
 def _small_tree():
     return models.boosted(models.BOOSTED_SETTINGS["lgb"], TARGET, SEED, n_estimators=3, max_depth=3)
 
@@ -90,8 +95,8 @@ def _small_tree():
 @query()
 def cv_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RMSE of a boosted model per fold, beside that of the mean of the training rows."""
-    rows = order_measures(spark, sf_dir)
-    fitted = elimination.cross_validate(rows, MEASURES, TARGET, _small_tree, FOLDS)
+    rows = _prepared(spark, sf_dir)
+    fitted = elimination.cross_validate(rows, MEASURES, _small_tree, FOLDS)
     scores = elimination.fold_scores(fitted, TARGET)
     kept = rows.where(~F.col("holdout")).withColumn("all", F.lit(1))
     means = metrics.rmse_by(metrics.out_of_fold_means(kept, "fold", "all", TARGET), TARGET, "prediction", "fold")
@@ -101,7 +106,7 @@ def cv_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def boosted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout RMSE of the three boosted configurations, beside the deviation of the target."""
-    rows = models.with_vector(order_measures(spark, sf_dir), MEASURES)
+    rows = models.with_vector(_prepared(spark, sf_dir), MEASURES)
     test = rows.where("holdout")
     fitted = models.fit_members(models.boosted_members(TARGET, SEED, SMALL), rows.where(~F.col("holdout")))
     scored = models.ensemble_predict(fitted, test)
@@ -116,7 +121,7 @@ def boosted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ensemble_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout predictions of the averaged ensemble."""
-    rows = models.with_vector(order_measures(spark, sf_dir), MEASURES)
+    rows = models.with_vector(_prepared(spark, sf_dir), MEASURES)
     members = [*models.boosted_members(TARGET, SEED, SMALL), models.forest(TARGET, SEED, 5, 4, "prediction_forest")]
     fitted = models.fit_members(members, rows.where(~F.col("holdout")))
     return models.ensemble_predict(fitted, rows.where("holdout")).select("l_orderkey", TARGET, "prediction")
@@ -125,7 +130,7 @@ def ensemble_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permutation_importance_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance on the holdout for a boosted model of the other rows."""
-    rows = order_measures(spark, sf_dir)
+    rows = _prepared(spark, sf_dir)
     model = _small_tree().fit(models.with_vector(rows.where(~F.col("holdout")), MEASURES))
     found = importance.permutation_importance(
         rows.where("holdout"), "l_orderkey", MEASURES, TARGET, importance.model_scorer(model), 5, SEED
@@ -144,7 +149,7 @@ def feature_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials of a seeded random search; depth is kept small here."""
-    rows = models.with_vector(order_measures(spark, sf_dir).where(~F.col("holdout")), MEASURES)
+    rows = models.with_vector(_prepared(spark, sf_dir).where(~F.col("holdout")), MEASURES)
     ranges = {**models.SEARCH_RANGES["xgb"], "max_depth": ("int", 2, 4)}
     settings = models.draw_settings(ranges, 3, SEED)
 
@@ -156,18 +161,19 @@ def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rbf_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kernel regression of labels on embeddings: fitted on four of five folds, predicted for all."""
+    """Kernel regression of a curve over embeddings: fitted on four of five folds, predicted for all."""
+    first, second = (F.get("embedding", F.lit(i)).cast("double") for i in (0, 1))
     rows = table(spark, sf_dir, "embeddings").select(
-        "vec_id", "embedding", F.col("label").cast("double").alias("label"), hash_fold(F.col("vec_id"), FOLDS, SEED).alias("fold")
+        "vec_id", "embedding", (F.sin(5 * first) + second).alias("target"), hash_fold(F.col("vec_id"), FOLDS, SEED).alias("fold")
     )
-    scored = models.rbf_regression(rows.where("fold <> 0"), rows, "embedding", "label", 64, 128, 1.0, 0.1, SEED)
-    return scored.select("vec_id", "fold", "label", "prediction")
+    scored = models.rbf_regression(rows.where("fold <> 0"), rows, "embedding", "target", 64, 256, 1.0, 1e-4, SEED)
+    return scored.select("vec_id", "fold", "target", "prediction")
 
 
 @query()
 def early_stopped_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees kept and validation RMSE of boosting that stops when fold 0 no longer improves."""
-    rows = models.with_vector(order_measures(spark, sf_dir).where(~F.col("holdout")), MEASURES)
+    rows = models.with_vector(_prepared(spark, sf_dir).where(~F.col("holdout")), MEASURES)
     flagged = rows.withColumn("validation", F.col("fold") == 0)
     settings = models.BOOSTED_SETTINGS["cb"]
     estimator = models.early_stopped(settings, TARGET, SEED, "validation", 0.01, iterations=12, depth=4)
@@ -179,7 +185,7 @@ def early_stopped_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ordered_holdout_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RMSE of the averaged ensemble on the last fifth by key, fitted on the rest."""
-    rows = models.with_vector(split_by_order(order_measures(spark, sf_dir), ["l_orderkey"], 0.8), MEASURES)
+    rows = models.with_vector(split_by_order(_prepared(spark, sf_dir), ["l_orderkey"], 0.8), MEASURES)
     fitted = models.fit_members(models.boosted_members(TARGET, SEED, SMALL), rows.where("split = 'head'"))
     scored = models.ensemble_predict(fitted, rows.where("split = 'tail'"))
     return scored.agg(

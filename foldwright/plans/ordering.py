@@ -115,7 +115,8 @@ def union_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shared_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = folded_orders(spark, sf_dir)
-    return orders.where("fold = 0").select("o_custkey").intersect(orders.where("fold = 1").select("o_custkey"))
+    first, second = (orders.where(F.col("fold") == f).select("o_custkey").distinct() for f in (0, 1))
+    return first.intersect(second)
 
 
 @query(
@@ -124,7 +125,8 @@ def shared_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def group_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = folded_orders(spark, sf_dir)
-    return orders.where("fold = 0").select("o_custkey").subtract(orders.where("fold = 1").select("o_custkey"))
+    first, second = (orders.where(F.col("fold") == f).select("o_custkey").distinct() for f in (0, 1))
+    return first.subtract(second)
 
 
 @query(

@@ -51,6 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/foldwright/{uuid.uuid4().hex}/{name}"
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` once as Parquet and go on from there: for tables that several jobs read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Write `df` once to reliable storage and go on from there.
 
