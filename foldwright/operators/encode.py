@@ -18,6 +18,7 @@ from foldwright.operators.joins import attach_by_group
 from foldwright.operators.profile import constant_columns, moments
 from foldwright.operators.project import of_type
 from foldwright.operators.rowindex import with_row_index
+from foldwright.session import stored
 
 # Level tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_LEVELS = 100_000
@@ -42,7 +43,7 @@ def category_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     indexed = with_row_index(levels, ["column", "level"], "_row")
     first = indexed.groupBy("column").agg(F.min("_row").alias("_first"))  # one row per column
     numbered = indexed.join(F.broadcast(first), "column")
-    return numbered.select("column", "level", "rows", (F.col("_row") - F.col("_first")).alias("index"))
+    return stored(numbered.select("column", "level", "rows", (F.col("_row") - F.col("_first")).alias("index")))
 
 
 def encode_categories(df: DataFrame, levels: DataFrame, columns: list[str]) -> DataFrame:

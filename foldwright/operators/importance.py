@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.numeric import hash32, squared_error
 from foldwright.operators.rowindex import with_seeded_position
+from foldwright.session import stored
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -45,7 +46,7 @@ def permutation_importance(
         F.col(target).cast("double").alias("_target"),
         F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias("features"),
     )
-    placed = with_seeded_position(base, key, seed, "_place", groups)
+    placed = stored(with_seeded_position(base, key, seed, "_place", groups))
     sizes = placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
     plain = score(placed).withColumn("_plain", squared_error(F.col("_target"), F.col("prediction")))
     receivers = plain.select(*groups, "_place", "_target", "_plain", F.col("features").alias("_own"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.session import stored
+
 # A group counts as hot when it holds at least one row in this many.
 HOT_SHARE = 1000
+# Lookups of up to this many groups are broadcast whole.
+BROADCAST_GROUPS = 100_000
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -23,25 +27,25 @@ def attach_by_group(
     """Give each row its group's lookup values, without moving the rows of hot groups.
 
     `lookup` has one row per group of `rows`, with the group's row count in
-    `weight`. At most HOT_SHARE groups can hold a 1/HOT_SHARE share of the rows,
-    so the hot part of the lookup is bounded and broadcast; the rows of the other
-    groups are shuffled on their key. NULL keys form a group of their own. With
-    `how="left"` rows of groups the lookup lacks stay, with NULLs.
+    `weight`. It is stored and counted first. Up to BROADCAST_GROUPS groups are
+    broadcast whole. Beyond, only groups with at least one row in HOT_SHARE are: there
+    can be no more than HOT_SHARE of them. Rows of the other groups are shuffled on
+    their key. NULL keys form a group of their own. With `how="left"` rows of groups
+    the lookup lacks stay, with NULLs.
     """
-    total = lookup.agg(F.sum(weight)).scalar()
-    hot = lookup.where(F.col(weight) * HOT_SHARE >= total)
-    cold = lookup.where(F.col(weight) * HOT_SHARE < total)
     values = [c for c in lookup.columns if c not in (*keys, weight)]
-
-    def joined(part: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        renamed = side.select(*[F.col(k).alias(f"_{k}") for k in keys], *values)
-        same = [part[k].eqNullSafe(renamed[f"_{k}"]) for k in keys]
-        out = part.join(renamed if side is cold else F.broadcast(renamed), same, how)
-        return out.drop(*[f"_{k}" for k in keys])
-
-    staying = joined(rows, hot, "inner")
-    moving = joined(joined(rows, hot, "left_anti"), cold, how)
-    return staying.unionByName(moving)
+    kept = stored(lookup.select(*[F.col(k).alias(f"_{k}") for k in keys], *values, weight))
+    groups, total = kept.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+
+    def joined(part: DataFrame, side: DataFrame, kind: str) -> DataFrame:
+        return part.join(side, same, kind).drop(*[f"_{k}" for k in keys])
+
+    if groups <= BROADCAST_GROUPS:
+        return joined(rows, F.broadcast(kept.drop(weight)), how)
+    hot = F.broadcast(kept.where(F.col(weight) * HOT_SHARE >= total).drop(weight))
+    cold = kept.where(F.col(weight) * HOT_SHARE < total).drop(weight)
+    return joined(rows, hot, "inner").unionByName(joined(joined(rows, hot, "left_anti"), cold, how))
 
 
 def lookup_or(df: DataFrame, table: DataFrame, on: Column, value: str, default: Column) -> DataFrame:

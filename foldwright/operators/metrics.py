@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.numeric import rmse
 from foldwright.operators.joins import attach_by_group
+from foldwright.session import stored
 
 
 def rmse_by(df: DataFrame, actual: str, predicted: str, *by: str) -> DataFrame:
@@ -25,7 +26,11 @@ def out_of_fold_means(df: DataFrame, fold: str, category: str, target: str) -> D
     One aggregation by (fold, category) serves all folds: a fold's training sums
     are the totals less its own.
     """
-    own = df.groupBy(fold, category).agg(F.sum(target).alias("_sum"), F.count(target).alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    own = stored(
+        df.groupBy(fold, category).agg(
+            F.sum(target).alias("_sum"), F.count(target).alias("_n"), F.count(F.lit(1)).alias("_rows")
+        )
+    )
     per_level = own.groupBy(category).agg(F.sum("_sum").alias("_level_sum"), F.sum("_n").alias("_level_n"))
     per_fold = own.groupBy(fold).agg(F.sum("_sum").alias("_fold_sum"), F.sum("_n").alias("_fold_n"))
     whole = own.agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))

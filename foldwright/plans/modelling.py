@@ -176,7 +176,7 @@ def early_stopped_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = models.with_vector(_prepared(spark, sf_dir).where(~F.col("holdout")), MEASURES)
     flagged = rows.withColumn("validation", F.col("fold") == 0)
     settings = models.BOOSTED_SETTINGS["cb"]
-    estimator = models.early_stopped(settings, TARGET, SEED, "validation", 0.01, iterations=12, depth=4)
+    estimator = models.early_stopped(settings, TARGET, SEED, "validation", 0.001, iterations=12, depth=4)
     model = estimator.fit(flagged)
     scores = metrics.rmse_by(model.transform(flagged.where("validation")), TARGET, "prediction")
     return scores.withColumn("trees", F.lit(model.getNumTrees))
