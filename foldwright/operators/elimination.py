@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.operators.importance import mean_importance, model_scorer, permutation_importance
+from foldwright.operators.importance import importance_of, mean_importance, model_scorer, placed_rows
 from foldwright.operators.metrics import importance_rollup, rmse_by, score_summary
 from foldwright.operators.models import with_vector
 from foldwright.operators.splits import training_rows, validation_rows
@@ -49,13 +49,13 @@ def holdout_score(df: DataFrame, features: list[str], target: str, make: Callabl
 def fold_importances(
     df: DataFrame, fitted: list, key: str, features: list[str], target: str, repeats: int, seed: int
 ) -> DataFrame:
-    """(fold, feature, importance, std) on each fold's validation rows."""
+    """(fold, feature, importance, std) on each fold's validation rows, which are permuted inside their fold."""
+    placed = placed_rows(df.where(~F.col("holdout")), key, features, target, seed, ["fold"])
     parts = []
     for fold, model, _ in fitted:
-        rows = validation_rows(df, fold)
-        found = permutation_importance(rows, key, features, target, model_scorer(model), repeats, seed + fold)
-        parts.append(mean_importance(found).withColumn("fold", F.lit(fold)))
-    return reduce(DataFrame.unionByName, parts)
+        rows = placed.where(F.col("fold") == fold)
+        parts.append(importance_of(rows, features, model_scorer(model), repeats, seed, ["fold"]))
+    return mean_importance(reduce(DataFrame.unionByName, parts), "fold")
 
 
 def decide(importances: DataFrame, folds_needed: int) -> DataFrame:

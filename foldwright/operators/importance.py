@@ -19,25 +19,12 @@ def shift(rows, seed: int, repeat):
     return F.when(rows > 1, hash32(F.lit(seed), repeat) % (rows - 1) + 1).otherwise(0)
 
 
-def permutation_importance(
-    df: DataFrame,
-    key: str,
-    features: list[str],
-    target: str,
-    score: Scorer,
-    repeats: int,
-    seed: int,
-    within: list[str] | None = None,
+def placed_rows(
+    df: DataFrame, key: str, features: list[str], target: str, seed: int, within: list[str] | None = None
 ) -> DataFrame:
-    """(within, feature, repeat, importance): rise of the RMSE when a feature's values are permuted.
+    """(within, _place, _target, features): rows in a seeded random order per group, stored.
 
-    `score` adds `prediction` to a frame with a `features` array. Rows stand in a
-    seeded random order, per group of `within`; in repeat r every row meets the
-    donor `shift` places further on, which is a permutation of the rows. One join
-    brings the donor's features for all of them; putting in one feature at a time,
-    scoring and summing errors then stay inside the task, so no frame of
-    rows x features x repeats is shuffled. Permuted and plain errors are summed
-    over the same rows in the same order, so an unused feature scores exactly 0.
+    The order and the features are read by several branches of the scoring plan.
     """
     groups = list(within or [])
     base = df.select(
@@ -46,7 +33,23 @@ def permutation_importance(
         F.col(target).cast("double").alias("_target"),
         F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias("features"),
     )
-    placed = stored(with_seeded_position(base, key, seed, "_place", groups))
+    return stored(with_seeded_position(stored(base), key, seed, "_place", groups).drop(key))
+
+
+def importance_of(
+    placed: DataFrame, features: list[str], score: Scorer, repeats: int, seed: int, within: list[str] | None = None
+) -> DataFrame:
+    """(within, feature, repeat, importance): rise of the RMSE when a feature's values are permuted.
+
+    `score` adds `prediction` to a frame with a `features` array. In repeat r every
+    row meets the donor `shift` places further on in its group, which is a
+    permutation of the rows. One join brings the donor's features for all of them;
+    putting in one feature at a time, scoring and summing errors then stay inside the
+    task, so no frame of rows x features x repeats is shuffled. Permuted and plain
+    errors are summed over the same rows in the same order, so an unused feature
+    scores exactly 0.
+    """
+    groups = list(within or [])
     sizes = placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
     plain = score(placed).withColumn("_plain", squared_error(F.col("_target"), F.col("prediction")))
     receivers = plain.select(*groups, "_place", "_target", "_plain", F.col("features").alias("_own"))
@@ -79,6 +82,21 @@ def permutation_importance(
     )
 
 
+def permutation_importance(
+    df: DataFrame,
+    key: str,
+    features: list[str],
+    target: str,
+    score: Scorer,
+    repeats: int,
+    seed: int,
+    within: list[str] | None = None,
+) -> DataFrame:
+    """(within, feature, repeat, importance) of one scorer over all rows, see `importance_of`."""
+    placed = placed_rows(df, key, features, target, seed, within)
+    return importance_of(placed, features, score, repeats, seed, within)
+
+
 def mean_importance(importances: DataFrame, *by: str) -> DataFrame:
     """(by, feature, importance, std) over the repeats; std divides by their number."""
     return importances.groupBy(*by, "feature").agg(

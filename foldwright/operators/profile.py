@@ -109,11 +109,19 @@ def id_like_columns(df: DataFrame) -> DataFrame:
 
 
 def low_cardinality_columns(df: DataFrame, limit: int = 200) -> DataFrame:
-    """(column, n_unique) for columns with fewer than `limit` values; only close calls are counted exactly."""
+    """(column, n_unique) for columns with fewer than `limit` values.
+
+    The screen leaves columns with few values only, so their sets of values fit in an
+    aggregate and are counted exactly without a shuffle of values.
+    """
     candidates = _screened(df, F.col("approx") <= _SCREEN * limit)
     if not candidates:
         return df.sparkSession.createDataFrame([], "column string, n_unique bigint")
-    return n_unique(df, candidates).where(F.col("n_unique") < limit)
+
+    def exact(c: Column) -> Column:
+        return (F.size(F.collect_set(c)) + F.max(c.isNull().cast("int"))).cast("bigint")
+
+    return _per_column(df, candidates, {"n_unique": exact}).where(F.col("n_unique") < limit)
 
 
 def binary_column_count(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from foldwright.operators import encode, metrics, profile, splits
 from foldwright.operators.joins import attach_by_group
 from foldwright.plans.inputs import FOLDED_ORDERS, FOLDS, MATCHES, folded_orders, matches, sql_agent_part, table
 from foldwright.plans.registry import query
-from foldwright.plans.summaries import LINE_NUMBERS
+from foldwright.session import stored
 
 BALANCED = f"""with recursive g as (
     select o_custkey, count(*) as n, row_number() over (order by count(*) desc, o_custkey) as rn from orders group by 1),
@@ -182,7 +182,7 @@ _PART_GROUP = {"selection": 1, "exploration": 2, "playout": 3, "bounds": 4}
     from t"""
 )
 def preprocess_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matches(spark, sf_dir)
+    rows = stored(matches(spark, sf_dir))
     features = encode.transform_features(rows, encode.fit_features(rows))
     return features.withColumns({f"p{i}_exploration": F.col(f"p{i}_exploration").cast("double") for i in (1, 2)})
 

@@ -23,6 +23,7 @@ def local_session(name: str, cores: str = "*", partitions: int = 8) -> SparkSess
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
