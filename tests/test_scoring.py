@@ -100,7 +100,7 @@ def test_stream_equals_batch(spark, rows, tmp_path):
 
 
 def test_stream_stops_at_a_bad_batch(spark, rows, tmp_path):
-    rows.write.parquet(str(tmp_path / "in"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = micro_batches.read_stream(spark, str(tmp_path / "in"), rows.schema)
 
     def loses_a_row(batch):
