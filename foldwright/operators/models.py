@@ -128,11 +128,17 @@ def average_of(columns: list[str]) -> Column:
 
 
 def ensemble_predict(models: list[Model], df: DataFrame, name: str = "prediction") -> DataFrame:
-    """Predictions of every model in one pass over the rows, and their mean."""
+    """Predictions of every model in one pass over the rows, and their mean.
+
+    Models that share a prediction column, such as those of the folds, are told apart by number.
+    """
+    names = [m.getPredictionCol() for m in models]
+    if len(set(names)) < len(names):
+        names = [f"{n}_{i}" for i, n in enumerate(names)]
     out = df
-    for model in models:
-        out = model.transform(out)
-    return out.withColumn(name, average_of([m.getPredictionCol() for m in models]))
+    for model, column in zip(models, names):
+        out = model.copy().setPredictionCol(column).transform(out)
+    return out.withColumn(name, average_of(names))
 
 
 def fit_members(members: list, train: DataFrame, parallelism: int = 3) -> list[Model]:

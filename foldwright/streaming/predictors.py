@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import types
 from collections.abc import Callable, Iterator
 
@@ -58,13 +59,23 @@ def _as_table(result, schema: pa.Schema) -> pa.Table:
     return result.select(schema.names).cast(schema)
 
 
-def predict(df: DataFrame, predictor: Callable, schema: T.StructType) -> DataFrame:
-    """Run a callback (pandas frame in, table out) over Arrow batches and cast its output to `schema`."""
+def predict(df: DataFrame, predictor: Callable, schema: T.StructType, size: int | None = None) -> DataFrame:
+    """Run a callback over batches of rows and cast its output to `schema`.
+
+    The callback gets a pandas frame, and a second one with the expected ids and
+    empty predictions if it takes two. Batches are Arrow's, or at most `size` rows.
+    """
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
+    key, value = schema.names
+    takes_sample = len(inspect.signature(predictor).parameters) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _as_table(predictor(batch.to_pandas()), arrow).to_batches()
+            step = size or batch.num_rows
+            for start in range(0, batch.num_rows, step):
+                rows = batch.slice(start, step).to_pandas()
+                sample = [rows[[key]].assign(**{value: 0.0})] if takes_sample else []
+                yield from _as_table(predictor(rows, *sample), arrow).to_batches()
 
     return df.mapInArrow(run, schema)
 
@@ -80,10 +91,12 @@ def shuffled_batches(df: DataFrame, key: str, seed: int, size: int = 100) -> Dat
     return with_batch(with_seeded_position(df, key, seed), "position", size)
 
 
-def score(df: DataFrame, predictors: Predictors, name: str, key: str, value: str = "prediction") -> DataFrame:
+def score(
+    df: DataFrame, predictors: Predictors, name: str, key: str, value: str = "prediction", size: int | None = None
+) -> DataFrame:
     """(key, value) from the named callback."""
     schema = T.StructType([df.schema[key], T.StructField(value, T.DoubleType())])
-    return predict(df, predictors.named(name), schema)
+    return predict(df, predictors.named(name), schema, size)
 
 
 def check(expected: DataFrame, predicted: DataFrame, key: str, value: str) -> None:

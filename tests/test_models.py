@@ -34,6 +34,12 @@ def test_ensemble_is_the_mean(spark, rows):
         assert r["prediction"] == pytest.approx((r["prediction_lgb"] + r["prediction_xgb"] + r["prediction_cb"]) / 3)
 
 
+def test_fold_models_share_a_column(spark, rows):
+    fitted = [models.boosted({"n_estimators": 1, "max_depth": d}, "y", 1).fit(rows) for d in (1, 3)]
+    for r in models.ensemble_predict(fitted, rows).limit(20).collect():
+        assert r["prediction"] == pytest.approx((r["prediction_0"] + r["prediction_1"]) / 2)
+
+
 def test_search_scores_every_trial(spark, rows):
     def build(settings):
         return models.boosted(settings, "y", 1, n_estimators=2)

@@ -20,6 +20,11 @@ def as_arrow(batch):
     return pa.table({"id": batch["id"], "prediction": batch["x"].astype(int)})
 
 
+def with_sample(batch, sample):
+    assert len(sample) == len(batch) <= 4 and list(sample.columns) == ["id", "prediction"]
+    return sample.assign(prediction=batch["x"].to_numpy() + len(sample))
+
+
 def forgetful(batch):
     return doubled(batch)[lambda rows: rows["id"] != 3]
 
@@ -57,6 +62,12 @@ def test_outputs_are_unified(spark, rows):
     assert predictors.score(rows, known, "as_arrow", "id").count() == 10
 
 
+def test_sample_and_batch_size(spark, rows):
+    known = predictors.Predictors(with_sample)
+    found = predictors.score(rows.coalesce(1), known, "with_sample", "id", size=4).collect()
+    assert {r["id"]: r["prediction"] for r in found} == {i: i / 2 + (4 if i < 8 else 2) for i in range(10)}
+
+
 @pytest.mark.parametrize(
     ("name", "kind"),
     [
