@@ -48,6 +48,31 @@ BOOSTED_SETTINGS = {
     },
 }
 
+# The settings of the second round of tuning.
+RETUNED_SETTINGS = {
+    "lgb": {
+        "learning_rate": 0.0797353804621146,
+        "n_estimators": 300,
+        "max_depth": 10,
+        "subsample": 0.8844130355984797,
+        "colsample_bytree": 0.7496776024413567,
+        "min_child_samples": 28,
+    },
+    "xgb": {
+        "learning_rate": 0.04295644158857834,
+        "n_estimators": 300,
+        "max_depth": 12,
+        "subsample": 0.9892562382056205,
+        "colsample_bytree": 0.6111019695387455,
+        "min_child_weight": 7,
+        "gamma": 4.035214354166009e-05,
+    },
+    "cb": {"learning_rate": 0.07859844386492268, "iterations": 200, "depth": 12, "min_data_in_leaf": 403},
+}
+
+# Settings of the model that judges features.
+SELECTION_SETTINGS = {"learning_rate": 0.03, "n_estimators": 200, "max_depth": 8}
+
 # Search ranges of the three families.
 SEARCH_RANGES = {
     "lgb": {
@@ -73,6 +98,13 @@ SEARCH_RANGES = {
     },
 }
 
+# The ranges that the second round changed.
+RETUNED_RANGES = {
+    **SEARCH_RANGES,
+    "xgb": {**SEARCH_RANGES["xgb"], "max_depth": ("int", 6, 12)},
+    "cb": {"learning_rate": ("log", 0.05, 0.2), "depth": ("int", 9, 13), "min_data_in_leaf": ("int", 20, 500)},
+}
+
 # What a setting is called in MLlib. With squared error every row weighs 1, so a
 # minimum child weight is a minimum number of rows. Leaf count and L2 penalty have
 # no counterpart and are not accepted.
@@ -106,10 +138,10 @@ def boosted(settings: dict, target: str, seed: int, prediction: str = "predictio
     return GBTRegressor(featuresCol="vector", labelCol=target, predictionCol=prediction, seed=seed, **params)
 
 
-def boosted_members(target: str, seed: int, overrides: dict | None = None) -> list:
+def boosted_members(target: str, seed: int, overrides: dict | None = None, tuned: dict | None = None) -> list:
     """The three boosted configurations, each predicting into its own column."""
     members = []
-    for i, (family, settings) in enumerate(BOOSTED_SETTINGS.items()):
+    for i, (family, settings) in enumerate((tuned or BOOSTED_SETTINGS).items()):
         changes = {k: v for k, v in (overrides or {}).items() if k in settings}
         members.append(boosted(settings, target, seed + i, f"prediction_{family}", **changes))
     return members

@@ -43,6 +43,8 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
         column = F.col(f"`{name}`")
         if isinstance(df.schema[name].dataType, nested):
             return F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false"})
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            column = column + F.lit(0.0)  # -0.0 is 0.0
         return column.cast("string")
 
     pairs = [F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in columns]

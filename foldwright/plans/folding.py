@@ -141,10 +141,12 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standardise_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_tax")
     stats = profile.moments(lines, ["l_quantity", "l_tax"])
+    entries = F.collect_list(F.struct("column", F.struct("mean", "std")))  # one per column
+    by_column = stats.agg(F.map_from_entries(entries)).scalar()
 
     def scored(column: str):
-        own = stats.where(F.col("column") == column)
-        return F.round(z_score(F.col(column), own.select("mean").scalar(), own.select("std").scalar()), 6)
+        own = by_column[column]
+        return F.round(z_score(F.col(column), own["mean"], own["std"]), 6)
 
     return lines.select("l_orderkey", scored("l_quantity").alias("quantity"), scored("l_tax").alias("tax"))
 

@@ -89,7 +89,7 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _small_tree():
-    return models.boosted(models.BOOSTED_SETTINGS["lgb"], TARGET, SEED, n_estimators=3, max_depth=3)
+    return models.boosted({**models.SELECTION_SETTINGS, "n_estimators": 3, "max_depth": 3}, TARGET, SEED)
 
 
 @query()

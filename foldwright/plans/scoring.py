@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldwright.plans.inputs import table
 from foldwright.plans.registry import query
-from foldwright.session import scratch_path
+from foldwright.session import scratch_path, stored
 from foldwright.streaming import micro_batches, predictors
 
 
@@ -21,7 +21,7 @@ def half_value(batch: pd.DataFrame) -> pd.DataFrame:
 def score_with_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     known = predictors.Predictors(half_value)
-    scored = predictors.score(events, known, "half_value", "event_id")
+    scored = stored(predictors.score(events, known, "half_value", "event_id"))
     predictors.check(events, scored, "event_id", "prediction")
     return scored.withColumn("prediction", F.round("prediction", 6))
 
@@ -31,6 +31,28 @@ def _as_files(df: DataFrame, path: str) -> None:
     df.repartitionByRange(4, "ts").write.parquet(path)
 
 
+def sample_plus_value(batch: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+    """A sample callback that fills in the expected rows; it also counts them."""
+    return sample.assign(prediction=batch["value"].to_numpy() + len(sample))
+
+
+@query(
+    """with p as (select event_id, value, row_number() over (order by md5(event_id::varchar || '|7'), event_id) - 1 as place,
+        count(*) over () as n from events)
+    select event_id, round(value + least(100, n - place // 100 * 100), 6) as prediction from p"""
+)
+def batch_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole evaluation run: checks, shuffle, batches of 100, callback, reconciliation, submission."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    sample = events.select("event_id", F.lit(0.0).alias("prediction"))
+    out = scratch_path(spark, "submission")
+    known = predictors.Predictors(sample_plus_value)
+    status = predictors.evaluate(events, sample, known, "sample_plus_value", out, 7).first()
+    if not status["Succeeded"]:
+        raise RuntimeError(status["ErrorDetails"])
+    return spark.read.parquet(out).withColumn("prediction", F.round("prediction", 6))
+
+
 @query("select event_id, round(value * 2 + user_id, 6) as prediction from events")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from foldwright.operators.joins import reconcile
 from foldwright.operators.rowindex import with_batch, with_seeded_position
-from foldwright.sources.sinks import FAILURES, MAX_DETAILS, STATUS_SCHEMA
+from foldwright.session import stored
+from foldwright.sources.sinks import FAILURES, MAX_DETAILS, STATUS_SCHEMA, write_table
 
 
 class ScoringFailure(Exception):
@@ -121,6 +122,44 @@ def run_scoring(action: Callable[[], object], spark) -> DataFrame:
     return spark.createDataFrame([row], STATUS_SCHEMA)
 
 
+def check_inputs(rows: DataFrame, sample: DataFrame, key: str) -> None:
+    """Raise unless both start with the key, ids are unique, and both hold the same ids."""
+    if rows.columns[0] != key or sample.columns[0] != key:
+        raise ValueError(f"{key} must be the first column")
+    found = reconcile(rows.select(key), sample, key, sample.columns[1]).groupBy("issue").count().collect()
+    unique = rows.groupBy(key).count().where("count > 1").isEmpty()
+    if found or not unique:
+        raise ValueError(f"ids of rows and sample submission differ or repeat: {found}")
+
+
+def evaluate(
+    rows: DataFrame,
+    sample: DataFrame,
+    predictors: Predictors,
+    name: str,
+    out: str,
+    seed: int,
+    size: int = 100,
+) -> DataFrame:
+    """Score all rows in shuffled batches and write the submission to `out`; returns the status row.
+
+    Each task takes whole batches of the shuffled order and calls the predictor once
+    per batch. Predictions are kept before they are checked, so a callback runs once.
+    """
+    key, value = sample.columns[:2]
+
+    def action() -> None:
+        predictors.named(name)
+        check_inputs(rows, sample, key)
+        batches = shuffled_batches(rows, key, seed, size)
+        in_order = batches.repartitionByRange("batch_id").sortWithinPartitions("position")
+        predicted = stored(score(in_order.drop("position", "batch_id"), predictors, name, key, value, size))
+        check(sample, predicted, key, value)
+        write_table(predicted, out)
+
+    return run_scoring(action, rows.sparkSession)
+
+
 def union_batches(parts: list[DataFrame]) -> DataFrame:
     """Predictions of all batches in one frame, matched by column name."""
     out = parts[0]

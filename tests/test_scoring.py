@@ -88,6 +88,23 @@ def test_failures_are_reported_by_kind(spark, rows, name, kind):
     assert status["Succeeded"] is (kind is None) and status["ErrorName"] == kind
 
 
+def test_evaluation(spark, rows, tmp_path):
+    known = predictors.Predictors(doubled, forgetful)
+    sample = rows.select("id", F.lit(0.0).alias("prediction"))
+
+    def run(frame, expected, name, out):
+        return predictors.evaluate(frame, expected, known, name, str(tmp_path / out), 1, 4).first()["ErrorName"]
+
+    assert run(rows, sample, "doubled", "a") is None
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 10
+    assert run(rows, sample, "forgetful", "b") == "INVALID_SUBMISSION"
+    assert run(rows, sample, "other", "b") == "SERVER_MISSING_ENDPOINT"
+    assert run(rows.union(rows.limit(1)), sample, "doubled", "b") == "GATEWAY_RAISED_EXCEPTION"
+    assert run(rows, sample.where("id < 9"), "doubled", "b") == "GATEWAY_RAISED_EXCEPTION"
+    assert run(rows.select("x", "id"), sample, "doubled", "b") == "GATEWAY_RAISED_EXCEPTION"
+    assert not (tmp_path / "b").exists()
+
+
 def test_other_failures_are_the_runs_own(spark):
     status = predictors.run_scoring(lambda: 1 / 0, spark).first()
     assert status["ErrorName"] == "GATEWAY_RAISED_EXCEPTION"
