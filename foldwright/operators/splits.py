@@ -141,10 +141,10 @@ def target_balanced_folds(
 
     by_chunk, done = scratch_path(spark, "groups"), scratch_path(spark, "folds")
     ordered.write.partitionBy("_chunk").parquet(by_chunk)
-    stored = spark.read.parquet(by_chunk)
+    by_number = spark.read.schema(ordered.schema).parquet(by_chunk)
     for number in range(chunks + 1):
         path = f"{done}/part={number}"
-        assigned(stored.where(F.col("_chunk") == number), counts, totals).write.parquet(path)
+        assigned(by_number.where(F.col("_chunk") == number), counts, totals).write.parquet(path)
         state = spark.read.parquet(path).groupBy("fold").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
         for row in state.collect():
             counts[row["fold"]] += row["n"]

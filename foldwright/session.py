@@ -56,7 +56,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` once as Parquet and go on from there: for tables that several jobs read."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pinned(df: DataFrame) -> DataFrame:
