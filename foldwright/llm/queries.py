@@ -6,11 +6,12 @@ Each applies its operator to the whole table it is meant for, with production se
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import mixing, packing, urls
+from foldwright.llm import jaccard, mixing, packing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +74,40 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, RULES).drop("url")
 
 
+def similar_documents_sql(width: int, percent: int) -> str:
+    """SQL of `jaccard.similar_documents`."""
+    shingle = " || ' ' || ".join(f"w[i + {n}]" for n in range(width))
+    return f"""
+    with recursive lists as (
+        select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+        from documents
+    ), sets as materialized (
+        select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < {width} then [array_to_string(w, ' ')]
+            else list_transform(range(1, len(w) - {width - 2}), lambda i: {shingle}) end) as s
+        from lists
+    ), items as materialized (select doc_id, len(s) as n, unnest(s) as g from sets),
+    shared as (
+        select a.doc_id as x, b.doc_id as y, a.n + b.n as total, count(*) as common
+        from items a join items b on a.g = b.g and a.doc_id <> b.doc_id
+            and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+        group by 1, 2, 3
+    ), links as materialized (select x, y from shared where 100 * common >= {percent} * (total - common)),
+    reach(x, y) as (
+        select doc_id, doc_id from sets union select r.x, l.y from reach r join links l on l.x = r.y
+    )
+    select s.doc_id, len(s.s)::bigint as n_shingles, min(r.y) as component_id
+    from sets s join reach r on r.x = s.doc_id group by s.doc_id, s.s
+    """
+
+
+@query(similar_documents_sql(3, 90))
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, linked at 0.9 over 3-word shingles."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similar_documents(documents, 3, Fraction(9, 10))
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 2048 ids."""
