@@ -61,8 +61,8 @@ def link_classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     known: DataFrame | None = None,
-) -> DataFrame | None:
-    """(node, component) of all linked nodes, or None when nothing is linked.
+) -> DataFrame:
+    """(node, component) of all linked nodes.
 
     `members` has key, node and is_index; pairs of a bucket count when at least one of
     them is_index. `verify` gets distinct pairs (a, b) with a < b and returns those that are links.
@@ -118,4 +118,6 @@ def link_classes(
             live = stored(_labelled(live.drop("component"), labels), "members")
         if last:
             break
+    if labels is None:
+        labels = members.sparkSession.createDataFrame([], "node bigint, component bigint")
     return labels

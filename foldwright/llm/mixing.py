@@ -27,7 +27,7 @@ from foldwright.operators.rowindex import with_row_index
 from foldwright.session import stored
 
 # Documents a chunk holds on average, and chunks whose open documents meet.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 4_000
 FAN_IN = 64
 _EPS = 1e-12
 

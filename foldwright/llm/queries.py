@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import jaccard, mixing, packing, urls
+from foldwright.llm import jaccard, lines, mixing, packing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix.withColumn("taken", F.col("copies") * F.col("size"))
     each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("twins")))
     return rows.withColumn("_twin", each).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query()
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and the text that is left of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    left = lines.dedup_lines(documents)
+    return left.select("doc_id", "n_lines", "n_removed", F.col("n_chars").alias("kept_chars"), F.md5("text").alias("kept_md5"))
