@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import jaccard, lines, mixing, packing, urls
+from foldwright.llm import ann, jaccard, lines, mixing, packing, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,31 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, RULES).drop("url")
 
 
+@query("""
+    with held as (
+        select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scores as (
+        select q.vec_id as query_id, x.vec_id, list_inner_product(q.v, x.v)::bigint as score
+        from held q join held x on q.vec_id <> x.vec_id where q.vec_id % 20 = 0
+    ), ranked as (
+        select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores
+    )
+    select query_id, rank, vec_id, score from ranked where rank <= 20
+""")
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector with all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.exact_top_k(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@query()
+def op6_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 vectors found nearest by cosine to every 50th vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest_by_cosine(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def similar_documents_sql(width: int, percent: int) -> str:
     """SQL of `jaccard.similar_documents`."""
     shingle = " || ' ' || ".join(f"w[i + {n}]" for n in range(width))
