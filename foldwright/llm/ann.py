@@ -10,7 +10,10 @@ estimate less error, and the k-th score found elsewhere, are reranked by their t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,15 +92,20 @@ def nearest_by_cosine(
     asked and none is a candidate for it; rows that share another vec_id are candidates each. No
     vectors give no rows. Other columns are not looked at.
     """
-    largest = F.array_max(F.transform("wide", lambda x: F.abs(x)))
-    scaled = F.transform("wide", lambda x: x / largest)  # keeps squares in range
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for vector in batch.column(1).to_pylist():
+                vector = np.array(vector, float)
+                vector /= np.abs(vector).max()  # keeps squares in range
+                out.append(vector / np.linalg.norm(vector))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "vector"])
 
     def prepared(df: DataFrame) -> DataFrame:
         rows = df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), nonzero=True))
-        rows = rows.select(F.col("vec_id").cast("bigint"), F.transform("embedding", lambda x: x.cast("double")).alias("wide"))
-        rows = rows.withColumn("scaled", scaled).withColumn("norm", norm)
-        return rows.select("vec_id", F.transform("scaled", lambda x: x / F.col("norm")).alias("vector"))
+        rows = rows.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+        return rows.mapInArrow(unit, "vec_id bigint, vector array<double>")
 
     held = prepared(vectors)
     first = held.orderBy("vec_id").select(F.size("vector")).first()
