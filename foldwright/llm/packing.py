@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,43 +31,88 @@ CARRIED = 2_000
 # A bin counts as nearly full when at most this share of it is free.
 SLACK = 1 / 256
 # Distinct words whose ids a task keeps between batches.
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 300_000
 
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class WordTokenizer:
-    """Token ids of whole batches, by a tokenizer file whose tokens never span white space.
+    """Token ids of whole batches, by a tokenizer file of byte-pair encoding with word ends.
 
-    Each distinct white-space-separated word is encoded once and its ids are kept.
+    It must lower-case, drop white space, and never join letters and other signs in one token. Then a
+    text's ids are those of its white-space-separated words in turn, so each distinct word
+    is encoded once; closing punctuation is encoded apart, and words of letters are encoded many at a time.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        # Units are what is encoded at once; number 0 is no unit. Their ids lie in one pool.
+        self.units: dict[str, int] = {"": 0}
+        self.pool = np.zeros(0, np.uint32)
+        self.sizes, self.starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        # A word is one unit or two.
+        self.known: dict[str, int] = {}
+        self.parts = np.zeros((0, 2), np.int64)
+
+    def _encode_units(self, units: list[str]) -> None:
+        letters = [u for u in units if u.isalpha()]
+        other = [u for u in units if not u.isalpha()]
+        names, ids, sizes = [], [self.pool], [self.sizes]
+        for at in range(0, len(letters), 500):
+            part = letters[at : at + 500]
+            found = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[found]) + 1
+            if len(last) == len(part):  # one word end each: the ids can be told apart
+                names += part
+                ids.append(found)
+                sizes.append(np.diff(last, prepend=0))
+            else:
+                other += part
+        for at in range(0, len(other), 5_000):
+            part = other[at : at + 5_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            names += part
+            ids.append(np.fromiter((i for f in found for i in f), np.uint32))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        self.units.update(zip(names, range(len(self.units), len(self.units) + len(names))))
+        self.pool, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _learn(self, words: list[str]) -> None:
+        heads = [w.rstrip(".,;:!?") for w in words]
+        heads = [h if h and h[-1].isalnum() else w for h, w in zip(heads, words)]
+        tails = [w[len(h) :] for h, w in zip(heads, words)]
+        units = self.units
+        self._encode_units([u for u in dict.fromkeys(heads + tails) if u not in units])
+        parts = [np.fromiter(map(units.__getitem__, p), np.int64, len(p)) for p in (heads, tails)]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.parts = np.concatenate([self.parts, np.stack(parts, axis=1)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of text i are ids[bounds[i]:bounds[i + 1]]."""
-        words, bounds = split_words(texts, lower=False)
+        # Special tokens are found before lower-casing, so a text that may hold one keeps its case.
+        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
+        words, bounds = split_words(texts, lower=plain)
         codes, distinct = coded_words(words)
         if len(self.known) > _KEPT_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(found.ids, np.uint32)
-        tables = [known[w] for w in distinct]
-        sizes = np.fromiter((len(t) for t in tables), np.int64, len(tables))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.concatenate(tables) if tables else np.zeros(0, np.uint32)
-        counts = sizes[codes]
+            self._forget()
+        new = [w for w in distinct if w not in self.known]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        units = self.parts[number][codes].ravel()
+        counts = self.sizes[units]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        at = np.arange(ends[-1]) - np.repeat(ends[:-1], counts) + np.repeat(starts[codes], counts)
-        return flat[at], ends[bounds]
+        at = np.arange(ends[-1]) + np.repeat(self.starts[units] - ends[:-1], counts)
+        return self.pool[at], ends[2 * bounds]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -78,8 +124,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordTokenizer(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids, bounds = encoder.encode(as_texts(part.column(2)))
                 rows = {n: [] for n in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
                 keys, numbers = part.column(0).to_pylist(), part.column(1).to_pylist()
