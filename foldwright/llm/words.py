@@ -43,7 +43,9 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One Arrow array of text without NULLs (NULL becomes empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    # Casting a slice leaves offsets that do not begin at 0, which some kernels misread: copy.
+    return texts.take(pa.array(np.arange(len(texts))))
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
