@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import ann, jaccard, lines, mixing, packing, topk, urls
+from foldwright.llm import ann, jaccard, lines, mixing, packing, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,6 +140,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, tokenizer_path())
 
 
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels that are not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(documents, table(spark, sf_dir, "labels"), keep=~quality.held_out(F.col("doc_id")))
+    scored = quality.score_quality(documents, model)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
 @query()
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a 5:2:1 mix takes of every document."""
