@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import ann, jaccard, lines, mixing, packing, quality, topk, urls
+from foldwright.llm import ann, jaccard, licenses, lines, mixing, packing, quality, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +92,42 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
 
 
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES.items())
+_NORMAL = """trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^a-z0-9]+', ' ', 'g'), ' ')"""
+_BIGRAMS = """case when l = [''] then [] when len(l) = 1 then l else list_distinct(list_transform(
+            range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) end"""
+
+
+@query(f"""
+    with templates(license, body) as (values {_TEMPLATE_ROWS}),
+    known as (select license, {_BIGRAMS} as b from (
+        select license, string_split({_NORMAL.format('body')}, ' ') as l from templates
+    )),
+    units as (
+        select doc_id, unnest(range(len(l)))::int as line_no, unnest(l) as unit
+        from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)
+        union all
+        select doc_id, null, text from documents where strpos(text, chr(10)) > 0
+    ),
+    held as (
+        select doc_id, line_no, {_BIGRAMS} as b
+        from (select doc_id, line_no, string_split({_NORMAL.format('unit')}, ' ') as l from units)
+    ),
+    pairs as (
+        select doc_id, line_no, license, len(list_intersect(h.b, k.b))::bigint as shared,
+            len(h.b)::bigint as unit_size, len(k.b)::bigint as license_size
+        from held h join known k on 11 * len(h.b) >= 9 * len(k.b) and 9 * len(h.b) <= 11 * len(k.b) and len(h.b) > 0
+    )
+    select *, 2.0::double * shared / (unit_size + license_size) as dice from pairs
+    where 20 * shared >= 9 * (unit_size + license_size)
+""")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice in every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(documents)
+
+
 @query()
 def op6_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 vectors found nearest by cosine to every 50th vector."""
