@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import ann, jaccard, licenses, lines, mixing, packing, quality, topk, urls
+from foldwright.llm import ann, jaccard, licenses, lines, mixing, packing, quality, quotes, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,16 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents)
 
 
+@query()
+def op5_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message's place in its reply-ordered thread, and its text without quotes as a digest."""
+    rows = quotes.link_quotations(table(spark, sf_dir, "conversations"))
+    return rows.select(
+        "conv_id", "turn", "role", "parent_conv", "parent_turn", "depth", "thread_conv", "position",
+        F.length("own_text").alias("own_chars"), F.md5("own_text").alias("own_md5"),
+    )
+
+
 @query()
 def op6_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 vectors found nearest by cosine to every 50th vector."""
