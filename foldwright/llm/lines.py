@@ -15,18 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.linking import link_classes
 from foldwright.session import stored
 
 _BROADCAST_IDS = 200_000
-_ROWS = "key bigint, node bigint, is_index boolean, low bigint, doc_id bigint, line_no int"
-_SCHEMA = pa.schema(
-    [("key", pa.int64()), ("node", pa.int64()), ("is_index", pa.bool_()), ("low", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32())]
-)
-_MASK = (1 << 64) - 1
+# Keys a task holds before it joins equal ones on its own.
+_HELD = 4_000_000
+_ROWS = "key bigint, node bigint, is_index boolean, centre bigint, low bigint, doc_id bigint, line_no int"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+_SCHEMA = pa.schema(list(zip([c.split()[0] for c in _ROWS.split(", ")], _KINDS)))
 
 
 def line_digest(line: str) -> tuple[int, int]:
@@ -124,12 +124,36 @@ def _plain_distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def _joined_here(keys: np.ndarray, nodes: np.ndarray, indexed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, node, is_index), and the least index node of the key in this task where
+    that is another node; rows without one have centre = node."""
+    order = np.lexsort((nodes, ~indexed, keys))
+    keys, nodes, indexed = keys[order], nodes[order], indexed[order]
+    kept = np.concatenate([[True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])])
+    keys, nodes, indexed = keys[kept], nodes[kept], indexed[kept]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    at = np.repeat(first, np.diff(np.append(first, len(keys))))
+    return keys, nodes, indexed, np.where(indexed[at], nodes[at], nodes)
+
+
 def line_table(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """`_ROWS`: every line's place, and the index and probe keys of the lines a task sees first."""
+    """`_ROWS`: every line's place, and the index and probe keys of the lines a task sees first.
+
+    Lines of one task that meet an indexed line in a key are joined to it here, so that a very
+    frequent key is few rows a task.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, seen = xxhash.xxh3_64_intdigest, set()
         plans: dict[int, list] = {}
+        held, count = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, owners, indexed, centre = _joined_here(*(np.concatenate(x) for x in zip(*held)))
+            none = [pa.nulls(len(keys), k) for k in _KINDS[4:]]
+            columns = [pa.array(keys.view(np.int64)), pa.array(owners), pa.array(indexed), pa.array(centre, mask=centre == owners)]
+            return pa.RecordBatch.from_arrays([*columns, *none], schema=_SCHEMA)
+
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -149,31 +173,35 @@ def line_table(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                         seen.add(node)
                         plan = plans.get(length)
                         if plan is None:
-                            own = [(at, at + size, (length << 8 | i) & _MASK, True) for i, (at, size) in enumerate(segments(length, edits))]
-                            plan = own + [(at, at + size, (indexed << 8 | i) & _MASK, False) for indexed, i, at, size in probes(length, edits)]
+                            plan = [(at, at + size, length << 8 | i) for i, (at, size) in enumerate(segments(length, edits))]
+                            plan += [(at, at + size, other << 8 | i) for other, i, at, size in probes(length, edits)]
                             if len(plans) < 20_000:
                                 plans[length] = plan
-                        for a, b, seed, own in plan:
-                            keys.append(digest(line[a:b].encode("utf-8", "surrogatepass"), seed))
-                            owners.append(node)
-                            indexed.append(own)
+                        keys += [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in plan]
+                        owners.append((node, len(plan)))
                 if len(seen) > 2_000_000:
                     seen.clear()
-                n, k = len(nodes), len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(lows, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())],
-                    schema=_SCHEMA,
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(owners, pa.int64()), pa.array(indexed, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())],
-                    schema=_SCHEMA,
-                )
+                if keys:
+                    sizes = np.array([n for _, n in owners])
+                    place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    owner = np.repeat(np.array([o for o, _ in owners], np.int64), sizes)
+                    held.append((np.array(keys, np.uint64), owner, place <= edits))
+                    count += len(keys)
+                n = len(nodes)
+                columns = [pa.nulls(n, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64())]
+                columns += [pa.array(v, k) for v, k in zip((lows, ids, numbers), _KINDS[4:])]
+                yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
+                if count > _HELD:
+                    yield flush()
+                    held, count = [], 0
+        if count:
+            yield flush()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, _ROWS)
 
 
-def _verifier(docs: DataFrame, firsts: DataFrame, edits: int):
-    """Function from pairs of line numbers to those within `edits` edits."""
+def _texts_of(docs: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line) of some distinct lines, read from where they stand first."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,6 +215,19 @@ def _verifier(docs: DataFrame, firsts: DataFrame, edits: int):
                         lines.append(own[w["line_no"]])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], ["node", "line"])
 
+    wanted = firsts.join(nodes, "node").groupBy("doc_id").agg(
+        F.collect_list(F.struct("line_no", "node", "low")).alias("wanted")  # lines of one document
+    )
+    wanted = stored(wanted, "wanted")
+    if wanted.count() <= _BROADCAST_IDS // 8:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
+    return stored(texts.select("text", "wanted").mapInArrow(fetch, "node bigint, line string"), "texts")
+
+
+def _verifier(docs: DataFrame, firsts: DataFrame, edits: int):
+    """Function from pairs of line numbers to those within `edits` edits."""
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
@@ -194,14 +235,7 @@ def _verifier(docs: DataFrame, firsts: DataFrame, edits: int):
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = firsts.join(nodes, "node").groupBy("doc_id").agg(
-            F.collect_list(F.struct("line_no", "node", "low")).alias("wanted")  # lines of one document
-        )
-        wanted = stored(wanted, "wanted")
-        if wanted.count() <= _BROADCAST_IDS // 8:
-            wanted = F.broadcast(wanted)
-        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
-        lines = stored(texts.select("text", "wanted").mapInArrow(fetch, "node bigint, line string"), "lines")
+        lines = _texts_of(docs, firsts, nodes)
         sides = [lines.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b")]
         both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "line_a", "line_b")
         return both.mapInArrow(near, "a bigint, b bigint").distinct()
@@ -209,6 +243,37 @@ def _verifier(docs: DataFrame, firsts: DataFrame, edits: int):
     return verify
 
 
+def count_keys(line: str, edits: int) -> list[int]:
+    """Digests of the character counts of groups of the alphabet.
+
+    An edit changes the counts of two groups at most, so of 2 * edits + 2 groups at least two are as before;
+    there is a digest for every two groups.
+    """
+    groups = 2 * edits + 2
+    held: list[dict[str, int]] = [{} for _ in range(groups)]
+    for c in line:
+        own = held[(ord(c) * 2654435761 >> 8) % groups]
+        own[c] = own.get(c, 0) + 1
+    names = [str(sorted(h.items())) for h in held]
+    return [xxhash.xxh3_64_intdigest(f"{i}{names[i]}|{j}{names[j]}") for i in range(groups) for j in range(i + 1, groups)]
+
+
+def _refiner(docs: DataFrame, firsts: DataFrame, edits: int):
+    """Split buckets by character counts: lines within `edits` edits still share a bucket."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(count_keys(line, edits), np.uint64).view(np.int64) for line in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "counts"])
+
+    def refine(members: DataFrame) -> DataFrame:
+        counts = _texts_of(docs, firsts, members.select("node").distinct()).mapInArrow(counted, "node bigint, counts array<bigint>")
+        split = members.join(stored(counts, "counts"), "node").select("key", "node", "is_index", F.explode("counts").alias("c"))
+        return split.select(F.xxhash64("key", "c").alias("key"), "node", "is_index")
+
+    return refine
+
+
 def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
     """(doc_id, removed): the lines of each document that repeat an earlier one, as structs
     (line_no, node, low) with the line's digest; documents that lose nothing are left out.
@@ -219,15 +284,18 @@ def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataF
         places.groupBy("node", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")),
         "distinct",
     )
-    keys = rows.where("key is not null").select("key", "node", "is_index")
-    # Buckets with an indexed line and another one; both aggregates are combined before the shuffle.
-    shared = keys.groupBy("key").agg(
-        F.min("node").alias("_low"), F.max("node").alias("_high"), F.max("is_index").alias("_indexed")
+    keys = rows.where("key is not null").select("key", "node", "is_index", "centre")
+    here = keys.where("centre is not null")
+    bucket = Window.partitionBy("key")
+    across = keys.where("centre is null").select(
+        "key", "node", "is_index", F.min("node").over(bucket).alias("_low"), F.max("node").over(bucket).alias("_high"), F.max("is_index").over(bucket).alias("_indexed")
     )
-    shared = shared.where("_low <> _high and _indexed").select("key")
-    members = keys.join(shared, "key").groupBy("key", "node").agg(F.max("is_index").alias("is_index"))
+    members = across.where("_low <> _high and _indexed").select("key", "node", "is_index")
+    members = members.unionByName(here.select("key", "node", "is_index"))
+    members = members.unionByName(here.select("key", F.col("centre").alias("node"), F.lit(True).alias("is_index")))
+    members = members.groupBy("key", "node").agg(F.max("is_index").alias("is_index"))
     firsts = distinct.select("node", "low", "first.doc_id", "first.line_no")
-    labels = link_classes(members, _verifier(docs, firsts, edits))
+    labels = link_classes(members, _verifier(docs, firsts, edits), refine=_refiner(docs, firsts, edits))
     # A class is a component of links or else one distinct line, told by both halves of its digest.
     classes = distinct.join(labels, "node", "left").where("n > 1 or component is not null")
     classes = classes.select(

@@ -57,39 +57,54 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "node"))
 
 
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold an index member and more than one class."""
+    keys = members.groupBy("key").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("is_index").alias("_indexed")
+    )
+    keys = keys.where("_low <> _high and _indexed").select("key")
+    return stored(members.join(keys, "key"), "members")
+
+
+def _pairs_left(members: DataFrame) -> tuple[float, int]:
+    """(pairs of different classes, members) over all buckets."""
+    classes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n").cast("double")
+    buckets = classes.groupBy("key").agg(((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("pairs"), F.sum("n").alias("n"))
+    pairs, count = buckets.agg(F.sum("pairs"), F.sum("n")).first()
+    return pairs or 0.0, count or 0
+
+
 def link_classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     known: DataFrame | None = None,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) of all linked nodes.
 
     `members` has key, node and is_index; pairs of a bucket count when at least one of
     them is_index. `verify` gets distinct pairs (a, b) with a < b and returns those that are links.
-    `known` are links (a, b) that need no check.
+    `known` are links (a, b) that need no check. `refine` turns members (key, node, is_index) into
+    members of narrower buckets that still hold every link; it is used once, after the first
+    round, when many pairs are left.
     """
     links = None if known is None else stored(known.select("a", "b"), "links")
     labels = None if links is None else stored(components(links), "labels")
     live = stored(_labelled(members.select("key", "node", "is_index").distinct(), labels), "members")
     checked = None
     for share in _SHARES:
-        open_keys = (
-            live.groupBy("key")
-            .agg(
-                F.min("component").alias("_low"),
-                F.max("component").alias("_high"),
-                F.max("is_index").alias("_indexed"),
-            )
-            .where("_low <> _high and _indexed")
-            .select("key")
-        )
-        live = stored(live.join(open_keys, "key"), "members")
-        size = live.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n")
-        )
-        pairs_left, n = size.agg(F.sum("pairs"), F.sum("n")).first()
+        live = _open_buckets(live)
+        pairs_left, n = _pairs_left(live)
         if not n:
             break
+        if refine is not None and share != _SHARES[0] and pairs_left > _FEW_PAIRS * n:
+            narrower = refine(live.select("key", "node", "is_index")).distinct()
+            live = _open_buckets(stored(_labelled(narrower, labels), "members"))
+            refine = None
+            pairs_left, n = _pairs_left(live)
+            if not n:
+                break
         last = share == 1 or pairs_left <= _FEW_PAIRS * n
         indexed = live.where("is_index")
         if last:
