@@ -74,11 +74,14 @@ def eliminate(
     repeats: int = 3,
     folds_needed: int = 4,
     seed: int = 0,
+    run_id: str = "run",
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """(round, feature, total_importance, non_positive_folds, ..., kept) of all rounds until nothing is dropped.
 
     Every round fits, scores and permutes on the cluster; only one row per feature
-    comes back. Each round adds its scores to the run log.
+    comes back. Each round adds its scores and the model's settings to the run log under `run_id`. At most
+    `max_rounds` rounds run, where given; one round with 2 folds is the one-shot rule.
     """
     spark = df.sparkSession
     names, rounds = list(features), []
@@ -91,14 +94,17 @@ def eliminate(
         decided = decide(fold_importances(rows, fitted, key, names, target, repeats, seed), folds_needed)
         found = [(number, *row) for row in decided.collect()]
         rounds.extend([found])
-        log = [("elimination", number, names, scores["mean_rmse"], scores["std_rmse"], test, len(names))]
+        estimator = make()
+        settings = {p.name: str(v) for p, v in estimator.extractParamMap().items()}
+        params = {type(estimator).__name__: settings}
+        log = [("elimination", run_id, number, names, params, scores["mean_rmse"], scores["std_rmse"], test, len(names))]
         schema = (
-            "experiment string, round int, features array<string>, mean_rmse double, std_rmse double, "
-            "test_rmse double, n_features int"
+            "experiment string, run_id string, round int, features array<string>, "
+            "params map<string,map<string,string>>, mean_rmse double, std_rmse double, test_rmse double, n_features int"
         )
         append_runs(spark.createDataFrame(log, schema), log_path)
         kept = {row[1] for row in found if row[-1]}
-        if len(kept) == len(names):
+        if len(kept) == len(names) or len(rounds) == max_rounds:
             break
         names = [n for n in names if n in kept]
     columns = (

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,20 +66,58 @@ def encode_categories(df: DataFrame, levels: DataFrame, columns: list[str]) -> D
 
 
 def one_hot(df: DataFrame, levels: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace each column by 0/1 columns `<column>_<level>`, appended; NULL and unseen are all 0."""
+    """Replace each column by 0/1 columns `<column>_<level>`, appended; NULL and unseen are all 0.
+
+    The levels become a schema, so there can only be so many; `one_hot_positions` has no limit.
+    Names that would coincide, with one another or with a column that stays, are refused.
+    """
     known = levels.where(F.col("column").isin(columns)).select("column", "level")
     rows = known.limit(MAX_ONE_HOT_LEVELS + 1).collect()
     if len(rows) > MAX_ONE_HOT_LEVELS:
-        raise ValueError(f"more than {MAX_ONE_HOT_LEVELS} levels: encode by index instead")
-    flags = {}
+        raise ValueError(f"more than {MAX_ONE_HOT_LEVELS} levels: use one_hot_positions")
+    flags, taken = {}, {c.lower() for c in df.columns if c not in columns}
     for column in columns:
         for level in sorted(r["level"] for r in rows if r["column"] == column):
             same = F.col(f"`{column}`").cast("string").eqNullSafe(F.lit(level))
-            flags[f"{column}_{level}"] = F.when(same, 1).otherwise(0)
+            name = f"{column}_{level}"
+            if name.lower() in taken:
+                raise ValueError(f"two one-hot columns would be named {name}: rename a column or use one_hot_positions")
+            taken.add(name.lower())
+            flags[name] = F.when(same, 1).otherwise(0)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*kept, *[flag.alias(name) for name, flag in flags.items()])
 
 
+def one_hot_names(levels: DataFrame, columns: list[str]) -> DataFrame:
+    """(position, column, level): what each position of `one_hot_positions` stands for, any number of them."""
+    known = levels.where(F.col("column").isin(columns))
+    place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])[F.col("column")]
+    starts = _starts(levels, columns)
+    start = F.get(F.lit(starts).cast("array<bigint>"), place)
+    return known.select((start + F.col("index")).alias("position"), "column", "level")
+
+
+def _starts(levels: DataFrame, columns: list[str]) -> list[int]:
+    counts = {r["column"]: r["count"] for r in levels.groupBy("column").count().collect()}  # one row per column
+    return [sum(counts.get(c, 0) for c in columns[:i]) for i in range(len(columns) + 1)]
+
+
+def one_hot_positions(df: DataFrame, levels: DataFrame, columns: list[str], name: str = "positions") -> DataFrame:
+    """Replace the columns by `name`, the sorted positions that hold a 1 in the one-hot vector.
+
+    The vector has one position per level of each column in turn, as `one_hot_names` lists them; NULL and
+    unseen levels have none. There is no limit to the number of levels, and equal names do no harm.
+    """
+    starts = _starts(levels, columns)
+    coded = encode_categories(df, levels, columns)
+    places = [
+        F.when(F.col(f"`{c}`") < starts[i + 1] - starts[i], F.col(f"`{c}`").cast("bigint") + starts[i])
+        for i, c in enumerate(columns)
+    ]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return coded.select(*kept, F.array_compact(F.array(*places)).alias(name))
+
+
 @dataclass(frozen=True)
 class Standardiser:
     """Means and deviations of training columns."""
@@ -98,6 +136,16 @@ class Standardiser:
         )
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(c, self.means[c], self.stds[c], self.eps) for c in self.means]
+        spark.createDataFrame(rows, "column string, mean double, std double, eps double").write.parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Standardiser:
+        rows = spark.read.parquet(path).collect()  # one per column
+        return Standardiser({r["column"]: r["mean"] for r in rows}, {r["column"]: r["std"] for r in rows}, rows[0]["eps"])
+
+
 def fit_standardiser(train: DataFrame, columns: list[str], eps: float = 1e-4) -> Standardiser:
     """Learn from training rows only; one small row per column reaches the driver."""
     rows = {r["column"]: r for r in moments(train, columns).collect()}
@@ -112,6 +160,17 @@ class FeaturePlan:
     coded: list[str]
     levels: DataFrame
 
+    def save(self, path: str) -> None:
+        """Write the plan under `path`, for jobs that score later."""
+        self.levels.write.parquet(f"{path}/levels")
+        names = [("dropped", self.dropped), ("coded", self.coded)]
+        self.levels.sparkSession.createDataFrame(names, "part string, names array<string>").write.parquet(f"{path}/names")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FeaturePlan:
+        names = {r["part"]: r["names"] for r in spark.read.parquet(f"{path}/names").collect()}
+        return FeaturePlan(names["dropped"], names["coded"], spark.read.parquet(f"{path}/levels"))
+
 
 def derive_features(df: DataFrame) -> DataFrame:
     """Text lengths and agent parts in, free text and group out."""

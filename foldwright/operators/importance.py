@@ -36,6 +36,11 @@ def placed_rows(
     return stored(with_seeded_position(stored(base), key, seed, "_place", groups).drop(key))
 
 
+def _same(columns: list[str]):
+    """Join condition of equal columns, NULL being a group of its own."""
+    return [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns]
+
+
 def importance_of(
     placed: DataFrame, features: list[str], score: Scorer, repeats: int, seed: int, within: list[str] | None = None
 ) -> DataFrame:
@@ -54,7 +59,8 @@ def importance_of(
     plain = score(placed).withColumn("_plain", squared_error(F.col("_target"), F.col("prediction")))
     receivers = plain.select(*groups, "_place", "_target", "_plain", F.col("features").alias("_own"))
     if groups:
-        receivers = receivers.join(sizes, groups)
+        sizes = sizes.withColumnsRenamed({g: f"_of_{g}" for g in groups})
+        receivers = receivers.join(sizes, _same(groups)).drop(*[f"_of_{g}" for g in groups])
     else:
         receivers = receivers.withColumn("_rows", sizes.scalar())
     receivers = receivers.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -63,7 +69,8 @@ def importance_of(
     ).drop("_place", "_rows")
     donors = placed.select(*groups, F.col("_place").alias("_from"), F.col("features").alias("_donor"))
 
-    met = receivers.join(donors, [*groups, "_from"])
+    donors = donors.withColumnsRenamed({g: f"_of_{g}" for g in (*groups, "_from")})
+    met = receivers.join(donors, _same([*groups, "_from"])).drop(*[f"_of_{g}" for g in (*groups, "_from")])
     varied = met.withColumn("_feature", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     swapped = F.transform(
         "_own", lambda own, i: F.when(i == F.col("_feature"), F.get("_donor", i)).otherwise(own)

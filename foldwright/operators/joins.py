@@ -9,6 +9,7 @@ from foldwright.session import stored
 
 # A group counts as hot when it holds at least one row in this many.
 HOT_SHARE = 1000
+_SALTS = 1000
 # Lookups of up to this many groups are broadcast whole.
 BROADCAST_GROUPS = 100_000
 
@@ -43,9 +44,19 @@ def attach_by_group(
 
     if groups <= BROADCAST_GROUPS:
         return joined(rows, F.broadcast(kept.drop(weight)), how)
-    hot = F.broadcast(kept.where(F.col(weight) * HOT_SHARE >= total).drop(weight))
-    cold = kept.where(F.col(weight) * HOT_SHARE < total).drop(weight)
-    return joined(rows, hot, "inner").unionByName(joined(joined(rows, hot, "left_anti"), cold, how))
+    # The rows are read once: those of hot groups find their values in the first join and go through
+    # the second under random salts, where nothing meets them.
+    hot = kept.where(F.col(weight) * HOT_SHARE >= total).select(*[f"_{k}" for k in keys], F.struct(*values, F.lit(1).alias("_in")).alias("_hot"))
+    cold = kept.where(F.col(weight) * HOT_SHARE < total).select(
+        *[F.col(f"_{k}") for k in keys], F.lit(0).alias("_none"), F.struct(*values, F.lit(1).alias("_in")).alias("_cold")
+    )
+    marked = joined(rows, F.broadcast(hot), "left")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)) + 1).otherwise(0)
+    met = marked.withColumn("_salt", salt.cast("int")).join(cold, [*same, F.col("_salt") == F.col("_none")], "left")
+    found = F.coalesce("_hot", "_cold")
+    if how == "inner":
+        met = met.where(found.isNotNull())
+    return met.select(*rows.columns, *[found[v].alias(v) for v in values])
 
 
 def lookup_or(df: DataFrame, table: DataFrame, on: Column, value: str, default: Column) -> DataFrame:

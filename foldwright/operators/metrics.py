@@ -37,7 +37,9 @@ def out_of_fold_means(df: DataFrame, fold: str, category: str, target: str) -> D
     whole_sum, whole_n = whole.select("_sum").scalar(), whole.select("_n").scalar()
 
     level = per_level.withColumnRenamed(category, "_level")
-    seen = own.join(level, F.col(category).eqNullSafe(F.col("_level"))).join(per_fold, fold)
+    per_fold = per_fold.withColumnRenamed(fold, "_of_fold")
+    seen = own.join(level, F.col(category).eqNullSafe(F.col("_level")))
+    seen = seen.join(per_fold, F.col(fold).eqNullSafe(F.col("_of_fold")))  # rows without a fold are one
     n = F.col("_level_n") - F.col("_n")
     learned = F.when(n > 0, (F.col("_level_sum") - F.col("_sum")) / n)
     overall = F.try_divide(whole_sum - F.col("_fold_sum"), whole_n - F.col("_fold_n"))

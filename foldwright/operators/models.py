@@ -14,7 +14,6 @@ from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,20 +201,23 @@ def search(
     folds: int,
     parallelism: int = 4,
 ) -> DataFrame:
-    """(trial, params, score): mean RMSE over the folds of each trial; `build` makes the estimator."""
-    first = build(settings[0])
-    grid = [build(s).extractParamMap() for s in settings]
-    grid = [{first.getParam(p.name): v for p, v in trial.items()} for trial in grid]
-    evaluator = RegressionEvaluator(labelCol=target, predictionCol=first.getPredictionCol(), metricName="rmse")
-    validator = CrossValidator(
-        estimator=first,
-        estimatorParamMaps=grid,
-        evaluator=evaluator,
-        numFolds=folds,
-        foldCol=fold,
-        parallelism=parallelism,
-    )
-    scores = validator.fit(df).avgMetrics
+    """(trial, params, score): mean RMSE over the folds of each trial; `build` makes the estimator.
+
+    `parallelism` fits run side by side, one for each trial and fold; nothing is fitted beyond those.
+    `df` should be a stored table with the `vector` column.
+    """
+    parts = [(df.where(F.col(fold) != f), df.where(F.col(fold) == f)) for f in range(folds)]
+
+    def error(task: tuple[int, int]) -> float:
+        estimator = build(settings[task[0]])
+        train, test = parts[task[1]]
+        evaluator = RegressionEvaluator(labelCol=target, predictionCol=estimator.getPredictionCol(), metricName="rmse")
+        return evaluator.evaluate(estimator.fit(train).transform(test))
+
+    tasks = [(trial, f) for trial in range(len(settings)) for f in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        errors = list(pool.map(error, tasks))
+    scores = [sum(errors[i * folds : (i + 1) * folds]) / folds for i in range(len(settings))]
     trials = [
         (i, {k: float(v) for k, v in s.items()}, float(score)) for i, (s, score) in enumerate(zip(settings, scores))
     ]

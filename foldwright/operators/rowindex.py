@@ -68,8 +68,10 @@ def with_seeded_position(
     if not groups:
         starts = F.broadcast(starts)  # at most one row per bucket
     inside = Window.partitionBy(*groups, "_bucket").orderBy("_digest", key)
+    starts = starts.withColumnsRenamed({c: f"_of_{c}" for c in (*groups, "_bucket")})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in groups]  # NULL is a group of its own
     return (
-        bucketed.join(starts, [*groups, "_bucket"])
+        bucketed.join(starts, [F.col("_bucket") == F.col("_of__bucket"), *same])
         .withColumn(name, F.col("_start") + F.row_number().over(inside))
         .select(*df.columns, name)
     )

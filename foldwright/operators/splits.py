@@ -15,8 +15,6 @@ from foldwright.session import scratch_path
 
 # Fixed value: fold sizes may differ by this many rows before size alone decides.
 SIZE_GAP = 100
-# Size-class tables up to this many rows are broadcast.
-BROADCAST_CLASSES = 100_000
 
 
 def _spread(loads: list[int], size: int, count: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
@@ -70,9 +68,8 @@ def balanced_group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
         segments, loads = _spread(loads, row["n"], row["groups"])
         table.append((row["n"], row["first"], [s for s, _ in segments], [c for _, c in segments]))
     schema = "n bigint, _first bigint, _starts array<bigint>, _cycles array<array<int>>"
-    turns = df.sparkSession.createDataFrame(table, schema)
-    if len(table) <= BROADCAST_CLASSES:
-        turns = F.broadcast(turns)
+    # Always small: N rows have at most sqrt(2 N) group sizes, and the loop above has held them all.
+    turns = F.broadcast(df.sparkSession.createDataFrame(table, schema))
 
     rank = F.col("_row") - F.col("_first")
     segment = F.size(F.filter("_starts", lambda start: start <= rank))

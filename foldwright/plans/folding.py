@@ -10,7 +10,7 @@ from foldwright.operators import encode, metrics, profile, splits
 from foldwright.operators.joins import attach_by_group
 from foldwright.plans.inputs import FOLDED_ORDERS, FOLDS, MATCHES, folded_orders, matches, sql_agent_part, table
 from foldwright.plans.registry import query
-from foldwright.session import stored
+from foldwright.session import scratch_path, stored
 
 BALANCED = f"""with recursive g as (
     select o_custkey, count(*) as n, row_number() over (order by count(*) desc, o_custkey) as rn from orders group by 1),
@@ -200,10 +200,51 @@ def ensemble_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey", "o_totalprice")
     keys = ["o_orderpriority", "o_orderstatus", "o_custkey"]
-    predictions = []
+    out = rows
     for key in keys:
         means = rows.groupBy(key).agg(F.avg("o_totalprice").alias(f"by_{key}"), F.count(F.lit(1)).alias("n"))
-        predictions.append(attach_by_group(rows.select("o_orderkey", key), means, [key], "n").drop(key))
-    first, second, third = predictions
-    both = first.join(second, "o_orderkey").join(third, "o_orderkey")
-    return both.select("o_orderkey", F.round(average_of([f"by_{k}" for k in keys]), 4).alias("prediction"))
+        out = attach_by_group(out, means, [key], "n")
+    return out.select("o_orderkey", F.round(average_of([f"by_{k}" for k in keys]), 4).alias("prediction"))
+
+
+_CODED = ["o_orderpriority", "o_clerk"]
+_SQL_CODES = ", ".join(
+    f"""{c}_l as (select {c}, row_number() over (order by {c}) - 1 as i from (
+        select distinct {c} from t where fold <> 0 and not holdout and {c} is not null))"""
+    for c in _CODED
+)
+
+
+@query(
+    f"""with t as (select * from ({FOLDED_ORDERS})), {_SQL_CODES},
+    s as (select avg(o_totalprice) as m, stddev_samp(o_totalprice) as d from t where fold <> 0 and not holdout)
+    select o_orderkey, coalesce(p.i, (select count(*) from o_orderpriority_l))::int as o_orderpriority,
+        coalesce(c.i, (select count(*) from o_clerk_l))::int as o_clerk, round((o_totalprice - m) / (d + 1e-4), 6) as o_totalprice
+    from t left join o_orderpriority_l p using (o_orderpriority) left join o_clerk_l c using (o_clerk), s where fold = 0"""
+)
+def saved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and scores of unseen rows, by a plan that was fitted, saved and loaded."""
+    orders = folded_orders(spark, sf_dir)
+    train = splits.training_rows(orders, 0)
+    root = scratch_path(spark, "plan")
+    encode.FeaturePlan([], _CODED, encode.category_levels(train, _CODED)).save(f"{root}/features")
+    encode.fit_standardiser(train, ["o_totalprice"]).save(spark, f"{root}/scores")
+    plan, scores = encode.FeaturePlan.load(spark, f"{root}/features"), encode.Standardiser.load(spark, f"{root}/scores")
+    coded = encode.encode_categories(orders.where("fold = 0"), plan.levels, plan.coded)
+    return scores.apply(coded).select("o_orderkey", *_CODED, F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+@query(
+    """with l as (
+        select 0 as place, o_orderpriority as level, row_number() over (order by o_orderpriority) - 1 as i
+            from (select distinct o_orderpriority from orders)
+        union all select 1, o_clerk, row_number() over (order by o_clerk) - 1 from (select distinct o_clerk from orders)),
+    n as (select count(*) as first from l where place = 0)
+    select o_orderkey, p.i::bigint as first_position, (n.first + c.i)::bigint as second_position
+    from orders join l p on p.place = 0 and p.level = o_orderpriority join l c on c.place = 1 and c.level = o_clerk, n"""
+)
+def one_hot_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the ones of a one-hot vector over any number of levels."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", *_CODED)
+    found = encode.one_hot_positions(orders, encode.category_levels(orders, _CODED), _CODED)
+    return found.select("o_orderkey", *[F.get("positions", F.lit(i)).alias(n) for i, n in enumerate(["first_position", "second_position"])])

@@ -27,6 +27,16 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumn("day", F.expr(DAY)).drop("o_orderdate")
 
 
+@query("select doc_id, length(text)::int as n, md5(text) as digest from documents where text <> ''")
+def csv_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes and line breaks, through CSV files and back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "documents_csv")
+    tables.write_csv(documents.repartition("doc_id"), path)
+    read = tables.read_csv(spark, path, documents.schema, free_text=True).where("text <> ''")
+    return read.select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
 @query("select doc_id as id from labels")
 def id_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ids")

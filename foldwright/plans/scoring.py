@@ -27,8 +27,8 @@ def score_with_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_files(df: DataFrame, path: str) -> None:
-    """Four files in the order of time, as they would arrive."""
-    df.repartitionByRange(4, "ts").write.parquet(path)
+    """Files in the order of time, as they would arrive; as many as Spark makes of that much data."""
+    df.repartitionByRange("ts").write.parquet(path)
 
 
 def sample_plus_value(batch: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
@@ -53,6 +53,50 @@ def batch_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).withColumn("prediction", F.round("prediction", 6))
 
 
+@query(
+    """with p as (select event_id, value, row_number() over (order by md5(event_id::varchar || '|7'), event_id) - 1 as place,
+        count(*) over () as n from events)
+    select event_id, round(value + least(300, n - place // 300 * 300), 6) as prediction from p"""
+)
+def batch_evaluation_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in batches of 300."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    sample = events.select("event_id", F.lit(0.0).alias("prediction"))
+    out = scratch_path(spark, "submission")
+    known = predictors.Predictors(sample_plus_value)
+    status = predictors.evaluate(events, sample, known, "sample_plus_value", out, 7, 300).first()
+    if not status["Succeeded"]:
+        raise RuntimeError(status["ErrorDetails"])
+    return spark.read.parquet(out).withColumn("prediction", F.round("prediction", 6))
+
+
+def forgetful(batch: pd.DataFrame) -> pd.DataFrame:
+    """A sample callback that leaves an id out."""
+    return half_value(batch).iloc[1:]
+
+
+def failing(batch: pd.DataFrame) -> pd.DataFrame:
+    """A sample callback that fails."""
+    raise KeyError("no such column")
+
+
+@query(
+    """select * from (values ('half_value', true, null::varchar), ('forgetful', false, 'INVALID_SUBMISSION'),
+        ('failing', false, 'SERVER_RAISED_EXCEPTION'), ('absent', false, 'SERVER_MISSING_ENDPOINT')) v(predictor, succeeded, failure)
+    where exists (select 1 from events)"""
+)
+def failure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How evaluation runs over all events end, by predictor."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    sample = events.select("event_id", F.lit(0.0).alias("prediction"))
+    known = predictors.Predictors(half_value, forgetful, failing)
+    rows = []
+    for name in ("half_value", "forgetful", "failing", "absent"):
+        status = predictors.evaluate(events, sample, known, name, scratch_path(spark, "submission"), 7).first()
+        rows.append((name, status["Succeeded"], status["ErrorName"]))
+    return spark.createDataFrame(rows, "predictor string, succeeded boolean, failure string")
+
+
 @query("select event_id, round(value * 2 + user_id, 6) as prediction from events")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -75,6 +119,6 @@ def stream_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "unique")
     _as_files(events.unionByName(events.where(F.col("event_id") % 3 == 0)), f"{root}/in")
     stream = micro_batches.read_stream(spark, f"{root}/in", events.schema)
-    unique = micro_batches.unique_stream(stream, "event_id", "ts", "31 days")
+    unique = micro_batches.unique_stream(stream, "event_id", "ts", "1 hour")
     micro_batches.write_stream(unique, f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type")

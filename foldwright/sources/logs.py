@@ -40,6 +40,11 @@ def important_features(log: DataFrame, below: float = -0.001) -> DataFrame:
     return last.orderBy("importance", "feature")
 
 
+def important_feature_list(log: DataFrame, below: float = -0.001) -> DataFrame:
+    """(feature, importance) of every line under the threshold in the order of the log, repeats included."""
+    return log.where(F.col("importance") < below).orderBy("file", "position").select("feature", "importance")
+
+
 def append_runs(runs: DataFrame, path: str, experiment: str = "experiment") -> None:
     """Add runs to a log table, one folder per experiment."""
     runs.write.mode("append").partitionBy(experiment).parquet(path)

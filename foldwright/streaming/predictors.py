@@ -60,27 +60,70 @@ def _as_table(result, schema: pa.Schema) -> pa.Table:
     return result.select(schema.names).cast(schema)
 
 
-def predict(df: DataFrame, predictor: Callable, schema: T.StructType, size: int | None = None) -> DataFrame:
+def _whole_batches(parts: Iterator[pa.RecordBatch], size: int | None, batch: str | None) -> Iterator[pa.Table]:
+    """The batches a callback is to see, whatever the size of Arrow's.
+
+    With `batch`, the rows that follow one another with one value of that column; with `size`,
+    as many rows, less at the end of a partition; otherwise Arrow's own.
+    """
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        start = 0
+        if batch is not None:
+            numbers = part.column(batch).to_pylist()
+            for i, number in enumerate(numbers):
+                last = numbers[i - 1] if i else held[-1].column(batch)[-1].as_py() if held else number
+                if number != last:
+                    held.append(part.slice(start, i - start))
+                    yield pa.Table.from_batches(held)
+                    held, start = [], i
+        elif size is not None:
+            missing = size - sum(h.num_rows for h in held)
+            while part.num_rows - start >= missing:
+                held.append(part.slice(start, missing))
+                yield pa.Table.from_batches(held)
+                held, start, missing = [], start + missing, size
+        if part.num_rows > start:
+            held.append(part.slice(start))
+        if held and batch is None and size is None:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def predict(
+    df: DataFrame, predictor: Callable, schema: T.StructType, size: int | None = None, batch: str | None = None
+) -> DataFrame:
     """Run a callback over batches of rows and cast its output to `schema`.
 
     The callback gets a pandas frame, and a second one with the expected ids and
-    empty predictions if it takes two. Batches are Arrow's, or at most `size` rows.
+    empty predictions if it takes two. Batches are Arrow's, or `size` rows, or, with `batch`, the
+    rows that hold one value of that column, which must follow one another in a partition. These are
+    collected across Arrow's batches, and every one must come back with its own ids.
     """
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
     key, value = schema.names
     takes_sample = len(inspect.signature(predictor).parameters) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = size or batch.num_rows
-            for start in range(0, batch.num_rows, step):
-                rows = batch.slice(start, step).to_pandas()
-                sample = [rows[[key]].assign(**{value: 0.0})] if takes_sample else []
-                yield from _as_table(predictor(rows, *sample), arrow).to_batches()
+        for whole in _whole_batches(batches, size, batch):
+            number = whole.column(batch)[0].as_py() if batch else None
+            rows = (whole.drop_columns([batch]) if batch else whole).to_pandas()
+            sample = [rows[[key]].assign(**{value: 0.0})] if takes_sample else []
+            found = _as_table(predictor(rows, *sample), arrow)
+            if batch is not None and sorted(found.column(key).to_pylist(), key=repr) != sorted(
+                whole.column(key).to_pylist(), key=repr
+            ):
+                raise ScoringFailure("INVALID_SUBMISSION", f"{_OTHER_IDS} {number}")
+            yield from found.to_batches()
 
     return df.mapInArrow(run, schema)
 
 
+_OTHER_IDS = "other ids than those of batch"
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     # The column types a prediction may have.
     simple = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string()}
@@ -93,11 +136,17 @@ def shuffled_batches(df: DataFrame, key: str, seed: int, size: int = 100) -> Dat
 
 
 def score(
-    df: DataFrame, predictors: Predictors, name: str, key: str, value: str = "prediction", size: int | None = None
+    df: DataFrame,
+    predictors: Predictors,
+    name: str,
+    key: str,
+    value: str = "prediction",
+    size: int | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
     """(key, value) from the named callback."""
     schema = T.StructType([df.schema[key], T.StructField(value, T.DoubleType())])
-    return predict(df, predictors.named(name), schema, size)
+    return predict(df, predictors.named(name), schema, size, batch)
 
 
 def check(expected: DataFrame, predicted: DataFrame, key: str, value: str) -> None:
@@ -118,6 +167,8 @@ def run_scoring(action: Callable[[], object], spark) -> DataFrame:
     except Exception as error:  # noqa: BLE001 - a status row reports every failure
         raised_in_callback = "PythonException" in type(error).__name__ or "PythonException" in str(error)
         kind = "SERVER_RAISED_EXCEPTION" if raised_in_callback else "GATEWAY_RAISED_EXCEPTION"
+        if raised_in_callback and _OTHER_IDS in str(error):
+            kind = "INVALID_SUBMISSION"
         row = (False, FAILURES[kind], kind, str(error)[:MAX_DETAILS] or None)
     return spark.createDataFrame([row], STATUS_SCHEMA)
 
@@ -144,7 +195,8 @@ def evaluate(
     """Score all rows in shuffled batches and write the submission to `out`; returns the status row.
 
     Each task takes whole batches of the shuffled order and calls the predictor once
-    per batch. Predictions are kept before they are checked, so a callback runs once.
+    per batch, which must return the ids of that batch. Predictions are kept before they are checked
+    as a whole, so a callback runs once.
     """
     key, value = sample.columns[:2]
 
@@ -153,7 +205,7 @@ def evaluate(
         check_inputs(rows, sample, key)
         batches = shuffled_batches(rows, key, seed, size)
         in_order = batches.repartitionByRange("batch_id").sortWithinPartitions("position")
-        predicted = stored(score(in_order.drop("position", "batch_id"), predictors, name, key, value, size))
+        predicted = stored(score(in_order.drop("position"), predictors, name, key, value, batch="batch_id"))
         check(sample, predicted, key, value)
         write_table(predicted, out)
 

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from foldwright.functions import text as tx
@@ -79,3 +80,50 @@ def test_column_choice(spark):
     assert project.matching(df, "^num_.*$") == ["num_a"]
     assert project.excluding(df, ["Id"], ["y", "y"]) == ["num_a", "name"]
     assert project.numeric_columns(df) == ["Id", "num_a", "y"]
+
+
+def test_one_hot_names_must_differ(spark):
+    df = spark.createDataFrame([(1, "b_c", "x"), (2, "d", "c")], "id int, a string, a_b string")
+    levels = encode.category_levels(df, ["a", "a_b"])
+    with pytest.raises(ValueError, match="a_b_c"):
+        encode.one_hot(df, levels, ["a", "a_b"])
+    taken = df.withColumn("A_D", F.lit(1))
+    with pytest.raises(ValueError, match="a_d"):
+        encode.one_hot(taken, levels, ["a"])
+    found = {r["id"]: r["positions"] for r in encode.one_hot_positions(df, levels, ["a", "a_b"]).collect()}
+    assert found == {1: [0, 3], 2: [1, 2]}
+    names = {r["position"]: (r["column"], r["level"]) for r in encode.one_hot_names(levels, ["a", "a_b"]).collect()}
+    assert names == {0: ("a", "b_c"), 1: ("a", "d"), 2: ("a_b", "c"), 3: ("a_b", "x")}
+    unseen = spark.createDataFrame([(3, None, "new")], df.schema)
+    assert encode.one_hot_positions(unseen, levels, ["a", "a_b"]).first()["positions"] == []
+
+
+def test_plans_can_be_saved(spark, tmp_path):
+    train = spark.createDataFrame([("x", 1.0), ("y", 3.0)], "c string, v double")
+    encode.FeaturePlan(["gone"], ["c"], encode.category_levels(train, ["c"])).save(str(tmp_path / "plan"))
+    plan = encode.FeaturePlan.load(spark, str(tmp_path / "plan"))
+    assert (plan.dropped, plan.coded) == (["gone"], ["c"])
+    rows = spark.createDataFrame([("y",), ("z",), (None,)], "c string")
+    assert [r["c"] for r in encode.encode_categories(rows, plan.levels, ["c"]).collect()] == [1, 2, 2]
+    fitted = encode.fit_standardiser(train, ["v"])
+    fitted.save(spark, str(tmp_path / "scores"))
+    assert encode.Standardiser.load(spark, str(tmp_path / "scores")) == fitted
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_rows_are_read_once_whatever_the_lookup(spark, monkeypatch, tmp_path, how):
+    from foldwright.operators import joins
+
+    keys = [1] * 2000 + [None] * 30 + list(range(2, 60)) + [99]
+    spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    lookup = rows.where("k is null or k < 99").groupBy("k").agg(F.max("i").alias("most"), F.count(F.lit(1)).alias("n"))
+    expected = joins.attach_by_group(rows, lookup, ["k"], "n", how)
+    monkeypatch.setattr(joins, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(joins, "HOT_SHARE", 10)
+    found = joins.attach_by_group(rows, lookup, ["k"], "n", how)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [k#") == 1
+    assert found.columns == expected.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+    assert found.count() == len(keys) - (how == "inner")

@@ -53,3 +53,23 @@ def test_one_row_group_has_no_deviation(spark):
 def test_row_sums_take_null_as_zero(spark):
     df = spark.createDataFrame([(1, None, 9), (None, None, 9), (1, 2, 9)], "num_a int, num_b int, other int")
     assert [tuple(r) for r in profile.row_sum_histogram(df, "^num_", "total").collect()] == [(0, 1), (1, 1), (3, 1)]
+
+
+def test_nan_is_one_value(spark):
+    df = spark.createDataFrame(
+        [(float("nan"), float("nan"), 0.0), (float("nan"), 1.0, -0.0), (float("nan"), float("nan"), None)],
+        "all_nan double, two double, zero double",
+    )
+    for found in (profile.low_cardinality_columns(df), profile.n_unique(df)):
+        assert {r["column"]: r["n_unique"] for r in found.collect()} == {"all_nan": 1, "two": 2, "zero": 2}
+    assert profile.binary_column_count(df).first()["binary_columns"] == 2
+
+
+def test_instants_of_a_repeated_hour_differ(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.sql("select timestamp_seconds(explode(array(1729989000, 1729992600))) as t, repeat('x', 500) as s")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert {r["column"]: r["n_unique"] for r in profile.n_unique(df).collect()} == {"t": 2, "s": 1}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -89,3 +89,14 @@ def test_importance_of_single_row_groups(spark):
 def test_best_trial_skips_nan(spark):
     df = spark.createDataFrame([(1, float("nan")), (2, 0.5), (3, 0.5), (4, None)], "trial int, score double")
     assert tuple(metrics.best_by(df, "score", "trial", "score").first()) == (2, 0.5)
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.range(40).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"), F.col("id").cast("double").alias("x"))
+    placed = rowindex.with_seeded_position(df, "id", 1, "p", ["g"])
+    assert sorted(r["p"] for r in placed.where("g is null").collect()) == list(range(1, 11)) and placed.count() == 40
+    means = metrics.out_of_fold_means(df.withColumn("c", F.lit("a")), "g", "c", "x")
+    assert means.count() == 40 and means.where("prediction is null").isEmpty()
+    scorer = importance.linear_scorer([1.0])
+    found = importance.permutation_importance(df, "id", ["x"], "x", scorer, 2, 1, ["g"])
+    assert found.count() == 8 and found.where("g is null").count() == 2

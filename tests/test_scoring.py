@@ -142,3 +142,40 @@ def test_stream_stops_at_a_bad_batch(spark, rows, tmp_path):
 def test_batches_of_a_hundred(spark):
     placed = predictors.shuffled_batches(spark.range(230), "id", 1)
     assert sorted(r["count"] for r in placed.groupBy("batch_id").count().collect()) == [30, 100, 100]
+
+
+def counts_rows(batch, sample):
+    return sample.assign(prediction=float(len(batch)))
+
+
+def other_batch(batch):
+    """Answers for the ids of the batch before."""
+    return pd.DataFrame({"id": (batch["id"] + 4) % 10, "prediction": 0.0})
+
+
+@pytest.mark.parametrize(("size", "limit", "setting"), [
+    (100, 250, "spark.sql.execution.arrow.maxRecordsPerBatch"),
+    (300, 250, "spark.sql.execution.arrow.maxRecordsPerBatch"),
+    (300, 1000, "spark.sql.execution.arrow.maxBytesPerBatch"),
+])
+def test_batches_do_not_follow_arrow(spark, tmp_path, size, limit, setting):
+    before = spark.conf.get(setting)
+    rows = spark.range(25_000).select("id", (F.col("id") / 2).alias("x"))
+    sample = rows.select("id", F.lit(0.0).alias("prediction"))
+    spark.conf.set(setting, limit)
+    try:
+        out = str(tmp_path / "out")
+        status = predictors.evaluate(rows, sample, predictors.Predictors(counts_rows), "counts_rows", out, 1, size).first()
+    finally:
+        spark.conf.set(setting, before)
+    assert status["Succeeded"]
+    found = {r["prediction"]: r["count"] for r in spark.read.parquet(out).groupBy("prediction").count().collect()}
+    rest = 25_000 % size
+    assert found == {float(size): 25_000 - rest, **({float(rest): rest} if rest else {})}
+
+
+def test_a_batch_must_bring_its_own_ids(spark, rows, tmp_path):
+    sample = rows.select("id", F.lit(0.0).alias("prediction"))
+    known = predictors.Predictors(other_batch)
+    status = predictors.evaluate(rows, sample, known, "other_batch", str(tmp_path / "out"), 1, 4).first()
+    assert status["ErrorName"] == "INVALID_SUBMISSION"
