@@ -4,12 +4,11 @@ Every shingle hash XORs into a bit sketch: it flips one bit of one word of the s
 XORs itself into that word's check value. Two sketches differ in at most as many bits as
 the sets differ in shingles, and words without a differing shingle are equal. Sets of
 similarity t differ in at most D = (1 - t) / (1 + t) * (sum of sizes) shingles, so of
-s = D + 2 words at least 2 are equal. Sizes are cut into bands, each with its own s; a
-set is sketched for its own band and, when it may have a partner in the next, for that one.
-Sets that agree in one word of one sketch are candidates. An empty word would match all
-others, so words that hold no shingle are left out; as two words must be equal, this
-loses a pair only if both sets have two empty words, and sets with more than one do
-keep theirs. Candidates are compared, first by their sketches, then by their sets.
+s = D + 1 + E words at least E + 1 are equal. Sizes are cut into bands, each with its own s;
+a set is sketched for its own band and, when it may have a partner in the next, for that one.
+Sets that agree in one word of one sketch are candidates. Words that hold hardly any shingles agree
+by chance, so a set leaves its poor words out unless it has more than E: of E + 1 equal
+words, one is then not poor. Candidates are compared, first by their sketches, then by their sets.
 """
 
 from __future__ import annotations
@@ -27,8 +26,6 @@ from foldwright.llm.linking import link_classes
 from foldwright.llm.words import as_texts, mixed, shingle_sets
 from foldwright.session import stored
 
-# Words of a sketch that are surely equal in linked sets.
-_SURE = 2
 # Sketch words a task holds before it joins equal ones on its own.
 _HELD = 4_000_000
 # Ids of candidates up to which they are broadcast to find their texts.
@@ -41,7 +38,7 @@ _ROWS = "is_word boolean, key bigint, node bigint, centre bigint, low bigint, si
 class Bands:
     """Size bands and the number of sketch words of each."""
 
-    def __init__(self, similarity: Fraction, growth: float = 1.5):
+    def __init__(self, similarity: Fraction, growth: float = 1.25):
         self.similarity = similarity
         growth = max(growth, float(1 / similarity))  # so that partners are at most one band apart
         lows = [1]
@@ -49,7 +46,12 @@ class Bands:
             lows.append(max(lows[-1] + 1, int(lows[-1] * growth)))
         self.lows = np.array(lows, np.int64)
         self.most = [self.apart(2 * (high - 1)) for high in lows[1:]]
-        self.words = np.array([d + _SURE if d else 0 for d in self.most], np.int64)
+        spare = [2 + d // 50 for d in self.most]
+        self.spare = np.array(spare, np.int64)  # E
+        self.words = np.array([d + 1 + e if d else 0 for d, e in zip(self.most, spare)], np.int64)
+        # A word is poor below this number of shingles: it follows the mean of the band's smallest sets.
+        mean = [low * float(similarity) / max(w, 1) for low, w in zip(lows, self.words)]
+        self.rich = np.array([1 + (x >= 4) + (x >= 6) for x in mean], np.int64)
 
     def apart(self, total: int) -> int:
         """How many shingles linked sets of `total` shingles together differ in, at most."""
@@ -66,19 +68,20 @@ class Bands:
 
 
 def sketch(values: np.ndarray, owner: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner, word number, parity bits, check) of all words that hold a shingle.
+    """(owner, word number, parity bits, check, shingles) of all words that hold a shingle.
 
     `values` are sorted shingle hashes inside each owner; `words` the number of words
     of each value's sketch. A value's leading bits tell its word, its last six the bit.
     """
     at = ((values >> np.uint64(32)) * words.astype(np.uint64)) >> np.uint64(32)
     if len(values) == 0:
-        return owner, at.astype(np.int64), values, values
+        return owner, at.astype(np.int64), values, values, owner
     first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])]))
     bits = np.left_shift(np.uint64(1), values & np.uint64(63))
     parity = np.bitwise_xor.reduceat(bits, first)
     check = np.bitwise_xor.reduceat(mixed(values + _SALT), first)
-    return owner[first], at[first].astype(np.int64), parity, check
+    held = np.diff(np.append(first, len(values)))
+    return owner[first], at[first].astype(np.int64), parity, check, held
 
 
 def _word_keys(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +98,15 @@ def _word_keys(flat: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np.n
         at = np.arange(ends[-1]) - np.repeat(ends[:-1], counts) + np.repeat(bounds[chosen], counts)
         owner = np.repeat(np.arange(len(chosen)), counts)
         words = bands.words[band]
-        own, number, parity, check = sketch(flat[at], owner, np.repeat(words, counts))
+        own, number, parity, check, held = sketch(flat[at], owner, np.repeat(words, counts))
+        rich = held >= bands.rich[band[own]]
+        poor = words - np.bincount(own[rich], minlength=len(chosen))
+        all_words = poor > bands.spare[band]
         place = mixed(band[own].astype(np.uint64) * np.uint64(1 << 40) + number.astype(np.uint64))
-        keys.append(mixed(mixed(parity + place) + check))
-        rows.append(chosen[own])
-        empty = words - np.bincount(own, minlength=len(chosen))
-        for i in np.flatnonzero(empty >= _SURE):
+        taken = rich | all_words[own]
+        keys.append(mixed(mixed(parity + place) + check)[taken])
+        rows.append(chosen[own[taken]])
+        for i in np.flatnonzero(all_words & (np.bincount(own, minlength=len(chosen)) < words)):
             gone = np.setdiff1d(np.arange(words[i]), number[own == i])
             place = mixed(np.uint64(int(band[i]) << 40) + gone.astype(np.uint64))
             keys.append(mixed(mixed(place)))
@@ -191,23 +197,84 @@ def _verifier(docs: DataFrame, width: int, bands: Bands):
                 yield part.select([0, 1]).filter(pa.array(ok))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        ids = stored(ids, "ids")
-        if ids.count() <= _BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        sides = [texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b")]
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = _texts_of(docs, nodes)
+        sides = [texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b")]
         both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(alike, "a bigint, b bigint").distinct()
 
     return verify
 
 
+def folded_sketch(values: np.ndarray) -> bytes:
+    """A parity sketch of 8 to 16 bits a shingle, its length a power of two.
+
+    A shorter sketch of the same set is the longer one folded by exclusive or, so sketches of all
+    lengths can be compared.
+    """
+    words = 1 << max(0, (len(values) - 1).bit_length() - 3)
+    line = np.zeros(words, np.uint64)
+    at = ((values >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
+    np.bitwise_xor.at(line, at, np.left_shift(np.uint64(1), values & np.uint64(63)))
+    return line.tobytes()
+
+
+def _folded(sketch: bytes, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words), axis=0)
+
+
+class _NearSketches:
+    """Bound for `link_classes`: sizes and Hamming distance that linked sets cannot exceed."""
+
+    def __init__(self, similarity: Fraction):
+        self.similarity = similarity
+        self.held: tuple = (None, None)
+
+    def __call__(self, sketches: list, sizes: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
+        if self.held[0] is not sketches:
+            words = min(len(x) for x in sketches) // 8
+            self.held = (sketches, np.stack([_folded(x, words) for x in sketches]))
+        lines, t = self.held[1], self.similarity
+        total = sizes[others] + sizes[n]
+        apart = total * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+        fits = np.minimum(sizes[others], sizes[n]) * t.denominator >= np.maximum(sizes[others], sizes[n]) * t.numerator
+        far = np.bitwise_count(lines[others] ^ lines[n]).sum(axis=1, dtype=np.int64)
+        return fits & (far <= apart)
+
+
+def _sketches_of(docs: DataFrame, width: int):
+    """Function from (node) to (node, size, sketch) of their sets."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                flat, bounds = shingle_sets(as_texts(part.column(1)), width)
+                lines = [folded_sketch(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(bounds)), pa.array(lines, pa.binary())], ["node", "size", "sketch"]
+                )
+
+    def sketches(nodes: DataFrame) -> DataFrame:
+        return _texts_of(docs, nodes).mapInArrow(rows, "node bigint, size bigint, sketch binary")
+
+    return sketches
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the wanted documents."""
+    ids = stored(nodes.select(F.col("node").alias("doc_id")), "ids")
+    if ids.count() <= _BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return texts.withColumnRenamed("doc_id", "node")
+
+
 def _similar(a: np.ndarray, b: np.ndarray, t: Fraction, apart: int) -> bool:
     if not len(a) or not len(b):
         return False
     # The sketches bound the difference from below: most unlike pairs end here.
-    words = np.uint64(apart + _SURE)
+    words = np.uint64(apart + 1)
     halves = []
     for values in (a, b):
         line = np.zeros(int(words), np.uint64)
@@ -252,7 +319,8 @@ def similar_documents(
     )
     members = here.select("key", "node").unionByName(here.select("key", F.col("centre").alias("node")))
     members = members.unionByName(across.select("key", "node")).withColumn("is_index", F.lit(True))
-    labels = link_classes(members, _verifier(named, width, bands), copies)
+    verify, sketches = _verifier(named, width, bands), _sketches_of(named, width)
+    labels = link_classes(members, verify, sketches, _NearSketches(similarity), copies)
     result = sets.select("doc_id", F.col("size").alias("n_shingles"))
     result = result.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")

@@ -243,35 +243,40 @@ def _verifier(docs: DataFrame, firsts: DataFrame, edits: int):
     return verify
 
 
-def count_keys(line: str, edits: int) -> list[int]:
-    """Digests of the character counts of groups of the alphabet.
+def counted(line: str) -> bytes:
+    """How often characters of each of 64 groups of the alphabet occur, modulo 2**16."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    groups = (codes * np.uint64(2654435761) >> np.uint64(16)) & np.uint64(63)
+    return np.bincount(groups.astype(np.int64), minlength=64).astype("<u2").tobytes()
 
-    An edit changes the counts of two groups at most, so of 2 * edits + 2 groups at least two are as before;
-    there is a digest for every two groups.
-    """
-    groups = 2 * edits + 2
-    held: list[dict[str, int]] = [{} for _ in range(groups)]
-    for c in line:
-        own = held[(ord(c) * 2654435761 >> 8) % groups]
-        own[c] = own.get(c, 0) + 1
-    names = [str(sorted(h.items())) for h in held]
-    return [xxhash.xxh3_64_intdigest(f"{i}{names[i]}|{j}{names[j]}") for i in range(groups) for j in range(i + 1, groups)]
 
+class _NearCounts:
+    """Bound for `link_classes`: an edit changes the length by one at most, and counts by two in all."""
 
-def _refiner(docs: DataFrame, firsts: DataFrame, edits: int):
-    """Split buckets by character counts: lines within `edits` edits still share a bucket."""
+    def __init__(self, edits: int):
+        self.edits = edits
+        self.held: tuple = (None, None)
+
+    def __call__(self, sketches: list, sizes: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
+        if self.held[0] is not sketches:
+            self.held = (sketches, np.frombuffer(b"".join(sketches), "<u2").reshape(-1, 64))
+        near = np.abs(sizes[others] - sizes[n]) <= self.edits
+        out = np.zeros(len(others), bool)
+        own = self.held[1][others[near]] - self.held[1][n]  # wraps around as the counts do
+        out[near] = np.minimum(own, -own).sum(axis=1, dtype=np.int64) <= 2 * self.edits
+        return out
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.array(count_keys(line, edits), np.uint64).view(np.int64) for line in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "counts"])
 
-    def refine(members: DataFrame) -> DataFrame:
-        counts = _texts_of(docs, firsts, members.select("node").distinct()).mapInArrow(counted, "node bigint, counts array<bigint>")
-        split = members.join(stored(counts, "counts"), "node").select("key", "node", "is_index", F.explode("counts").alias("c"))
-        return split.select(F.xxhash64("key", "c").alias("key"), "node", "is_index")
+def _counts_of(docs: DataFrame, firsts: DataFrame):
+    """Function from (node) to (node, size, sketch) of the lines."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            columns = [batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([counted(x) for x in lines], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "sketch"])
 
-    return refine
+    return lambda nodes: _texts_of(docs, firsts, nodes).mapInArrow(rows, "node bigint, size bigint, sketch binary")
 
 
 def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
@@ -295,7 +300,7 @@ def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataF
     members = members.unionByName(here.select("key", F.col("centre").alias("node"), F.lit(True).alias("is_index")))
     members = members.groupBy("key", "node").agg(F.max("is_index").alias("is_index"))
     firsts = distinct.select("node", "low", "first.doc_id", "first.line_no")
-    labels = link_classes(members, _verifier(docs, firsts, edits), refine=_refiner(docs, firsts, edits))
+    labels = link_classes(members, _verifier(docs, firsts, edits), _counts_of(docs, firsts), _NearCounts(edits))
     # A class is a component of links or else one distinct line, told by both halves of its digest.
     classes = distinct.join(labels, "node", "left").where("n > 1 or component is not null")
     classes = classes.select(

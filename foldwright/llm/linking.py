@@ -1,27 +1,28 @@
-"""Classes of linked items from buckets of candidates, without forming all pairs of a bucket.
+"""Classes of linked items from buckets of candidates, without emitting all pairs of a bucket.
 
 Items that may be linked share a bucket. Only classes are wanted, so two items known to
-be in one class need no comparison. Each round compares, in every bucket that still
-holds several classes, a few centres with the members outside their class, verifies
-those pairs, and joins classes along the links found. The share of items that serve as
-centres rises by rounds up to all, or at once when few pairs are left; after the
-last round every pair of a bucket is either in one class or has been compared.
+be in one class need no comparison. The first round compares one centre of every bucket with
+the other members, verifies those pairs and joins classes along the links found. What
+remains are buckets that hold several classes: their members are compared inside the
+tasks that hold them, by a bound that no link can fail, and of the pairs that pass
+only as many are emitted as join classes. Those are verified in turn; rounds go on until
+nothing passes that was not refused before. Then every pair of a bucket is in one
+class, or ruled out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.session import stored
 
-# Of the index members of a bucket, one in so many is a centre, by rounds.
-_SHARES = (1 << 40, 256, 16, 1)
-# So many pairs for each member may be left for all of them to be compared at once.
-_FEW_PAIRS = 4
-
+# Members of a bucket that one task compares with as many others at most.
+BLOCK_ROWS = 2048
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; nodes without links are left out.
@@ -66,73 +67,128 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return stored(members.join(keys, "key"), "members")
 
 
-def _pairs_left(members: DataFrame) -> tuple[float, int]:
-    """(pairs of different classes, members) over all buckets."""
-    classes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n").cast("double")
-    buckets = classes.groupBy("key").agg(((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("pairs"), F.sum("n").alias("n"))
-    pairs, count = buckets.agg(F.sum("pairs"), F.sum("n")).first()
-    return pairs or 0.0, count or 0
+def _crowded_pairs(
+    live: DataFrame, failed: DataFrame | None, sketches: DataFrame, bound: Callable, budget: int
+) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that pass `bound` and would join classes, at most `budget` for two classes.
+
+    Buckets of more than `BLOCK_ROWS` members are cut into blocks, and each task compares two of them.
+    """
+    sizes = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = live.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rows.withColumn("other", F.explode(others)).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "is_index"
+    )
+    rows = rows.join(sketches, "node")
+    if failed is None:
+        rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
+    else:
+        refused = failed.groupBy("a").agg(F.collect_list("b").alias("failed"))
+        rows = rows.join(refused.withColumnRenamed("a", "node"), "node", "left")
+    names = ["key", "i", "j", "block", "node", "component", "is_index", "size", "sketch", "failed"]
+    rows = rows.select(names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            pairs = _joining_pairs(pa.Table.from_batches(parts).to_pydict(), bound, budget)
+            columns = [pa.array([p[n] for p in pairs], pa.int64()) for n in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(n).to_pylist() for n in range(3))))
+            start = 0
+            for n, key in enumerate(keys):
+                if last is not None and key != last:
+                    if n > start:
+                        held.append(batch.slice(start, n - start))
+                    yield found(held)
+                    held, start = [], n
+                last = key
+            if len(keys) > start:
+                held.append(batch.slice(start))
+        if held:
+            yield found(held)
+
+    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _joining_pairs(rows: dict, bound: Callable, budget: int) -> list[tuple[int, int]]:
+    nodes, indexed = rows["node"], np.array(rows["is_index"], bool)
+    blocks, sizes = np.array(rows["block"]), np.array(rows["size"], np.int64)
+    within = rows["i"][0] == rows["j"][0]
+    class_of = {c: c for c in rows["component"]}
+
+    def top(c):
+        while class_of[c] != c:
+            class_of[c] = class_of[class_of[c]]
+            c = class_of[c]
+        return c
+
+    classes = np.array(rows["component"], np.int64)
+    sketches, pairs, tried = rows["sketch"], [], {}
+    for n in range(len(nodes)):
+        later = np.arange(n + 1, len(nodes))
+        keep = (classes[later] != classes[n]) & (indexed[later] | indexed[n])
+        if not within:
+            keep &= blocks[later] != blocks[n]
+        later = later[keep]
+        if not len(later):
+            continue
+        refused = set(rows["failed"][n] or ())
+        for m in later[bound(sketches, sizes, n, later)]:
+            one, two = top(rows["component"][n]), top(rows["component"][m])
+            # Nodes come sorted, so the smaller is `a`.
+            if one != two and nodes[m] not in refused:
+                pairs.append((nodes[n], nodes[m]))
+                both = (min(one, two), max(one, two))
+                tried[both] = tried.get(both, 0) + 1
+                if tried[both] >= budget:  # enough for this round
+                    class_of[one] = two
+    return pairs
 
 
 def link_classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    sketches: Callable[[DataFrame], DataFrame],
+    bound: Callable,
     known: DataFrame | None = None,
-    refine: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) of all linked nodes.
 
     `members` has key, node and is_index; pairs of a bucket count when at least one of
-    them is_index. `verify` gets distinct pairs (a, b) with a < b and returns those that are links.
-    `known` are links (a, b) that need no check. `refine` turns members (key, node, is_index) into
-    members of narrower buckets that still hold every link; it is used once, after the first
-    round, when many pairs are left.
+    them is_index. `verify` gets distinct pairs (a, b) with a < b and returns those that are links;
+    `sketches` gets (node) and returns (node, size, sketch), from which `bound(sketches,
+    sizes, n, others)` tells which others may be linked to row n; it must not refuse a link.
+    `known` are links (a, b) that need no check.
     """
     links = None if known is None else stored(known.select("a", "b"), "links")
     labels = None if links is None else stored(components(links), "labels")
-    live = stored(_labelled(members.select("key", "node", "is_index").distinct(), labels), "members")
-    checked = None
-    for share in _SHARES:
-        live = _open_buckets(live)
-        pairs_left, n = _pairs_left(live)
-        if not n:
-            break
-        if refine is not None and share != _SHARES[0] and pairs_left > _FEW_PAIRS * n:
-            narrower = refine(live.select("key", "node", "is_index")).distinct()
-            live = _open_buckets(stored(_labelled(narrower, labels), "members"))
-            refine = None
-            pairs_left, n = _pairs_left(live)
-            if not n:
-                break
-        last = share == 1 or pairs_left <= _FEW_PAIRS * n
-        indexed = live.where("is_index")
-        if last:
-            centres = indexed
-        else:
-            chosen = F.pmod(F.xxhash64("node"), F.lit(share)) == 0
-            one_each = indexed.groupBy("key", "component").agg(F.min("node").alias("node"))
-            centres = indexed.where(chosen).select("key", "component", "node").unionByName(
-                one_each.select("key", "component", "node")
-            ).distinct()
-            if share == _SHARES[0]:
-                # The first round: one centre a bucket, so that most pairs are the same in many buckets.
-                centres = one_each.groupBy("key").agg(F.min(F.struct("node", "component")).alias("c"))
-                centres = centres.select("key", "c.node", "c.component")
-        centres = centres.select("key", F.col("node").alias("_a"), F.col("component").alias("_class"))
-        pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
-        pairs = pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+    live = _open_buckets(_labelled(members.select("key", "node", "is_index").distinct(), labels))
+    one_each = live.where("is_index").groupBy("key").agg(F.min(F.struct("node", "component")).alias("c"))
+    centres = one_each.select("key", F.col("c.node").alias("_a"), F.col("c.component").alias("_class"))
+    pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
+    pairs = stored(pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct(), "pairs")
+    failed, held, budget = None, None, 1
+    while not pairs.isEmpty():
         found = stored(verify(pairs).select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
+        refused = pairs.join(found, ["a", "b"], "left_anti")
+        failed = refused if failed is None else failed.unionByName(refused)
         if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
             labels = stored(components(links), "labels")
-            live = stored(_labelled(live.drop("component"), labels), "members")
-        if last:
+            live = _labelled(live.drop("component"), labels)
+        live = _open_buckets(live)
+        if live.isEmpty():
             break
+        if held is None:  # once: later rounds only have fewer nodes
+            held = stored(sketches(live.select("node").distinct()), "sketches")
+        pairs = stored(_crowded_pairs(live, failed, held, bound, budget), "pairs")
+        budget *= 4  # so that pairs which pass but are refused end soon
     if labels is None:
         labels = members.sparkSession.createDataFrame([], "node bigint, component bigint")
     return labels

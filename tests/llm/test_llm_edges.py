@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldwright.llm import ann, jaccard, licenses, lines, mixing, packing, quality, quotes, topk, urls
 from foldwright.llm.queries import tokenizer_path
@@ -123,6 +124,9 @@ def test_sketches_bound_the_difference():
         linked = len(a & b) >= t * len(a | b)
         assert jaccard._similar(*flat, t, bands.apart(len(a) + len(b))) == linked
         if linked:
+            sizes = np.array([len(a), len(b)])
+            near = jaccard._NearSketches(t)([jaccard.folded_sketch(x) for x in flat], sizes, 0, np.array([1]))
+            assert near.all()
             keys = [set(jaccard._word_keys(x, np.array([0, len(x)]), bands)[0].tolist()) for x in flat]
             assert a == b or keys[0] & keys[1]
 
@@ -325,18 +329,26 @@ def test_edits_against_plain_table():
                 cut = lambda x, e: {(len(x), i, x[p : p + n]) for i, (p, n) in enumerate(lines.segments(len(x), e))}
                 probed = {(m, i, l[p : p + n]) for m, i, p, n in lines.probes(len(l), edits)}
                 assert cut(s, edits) & (probed | cut(l, edits))
-                assert set(lines.count_keys(a, edits)) & set(lines.count_keys(b, edits))
+            if near:
+                sizes = np.array([len(a), len(b)])
+                assert lines._NearCounts(edits)([lines.counted(a), lines.counted(b)], sizes, 0, np.array([1])).all()
 
 
-def test_classes_need_no_common_centre(spark):
-    from foldwright.llm.linking import link_classes
+@pytest.mark.parametrize("block_rows", [2048, 7])
+def test_classes_need_no_common_centre(spark, monkeypatch, block_rows):
+    from foldwright.llm import linking
 
+    monkeypatch.setattr(linking, "BLOCK_ROWS", block_rows)
     draw = random.Random(8)
-    buckets = [(k, n) for k in range(12) for n in draw.sample(range(60), 30)]
+    buckets = [(k, n) for k in range(8) for n in draw.sample(range(60), 20)]
     true = {(a, b) for a in range(60) for b in range(a + 1, 60) if draw.random() < 0.02}
     links = spark.createDataFrame(sorted(true), "a long, b long")
     members = spark.createDataFrame([(k, n, n % 2 == 0) for k, n in buckets], "key long, node long, is_index boolean")
-    got = {r["node"]: r["component"] for r in link_classes(members, lambda p: p.join(links, ["a", "b"])).collect()}
+    sketches = lambda nodes: nodes.select("node", F.lit(1).cast("long").alias("size"), F.lit(b"").alias("sketch"))
+    # A bound that passes most pairs, so that many are refused and rounds go on.
+    bound = lambda held, sizes, n, others: (others * 7 + n) % 5 > -1
+    verify = lambda pairs: pairs.join(links, ["a", "b"])
+    got = {r["node"]: r["component"] for r in linking.link_classes(members, verify, sketches, bound).collect()}
     least = {n: n for _, n in buckets}
     together = {}
     for k, n in buckets:
