@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foldwright.operators.joins import attach_by_group
 from foldwright.operators.rowindex import with_row_index
-from foldwright.session import scratch_path
-
-# Fixed value: fold sizes may differ by this many rows before size alone decides.
-SIZE_GAP = 100
 
 
 def _spread(loads: list[int], size: int, count: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
@@ -49,104 +41,62 @@ def _spread(loads: list[int], size: int, count: int) -> tuple[list[tuple[int, li
     return segments, [load + n * size for load, n in zip(loads, taken)]
 
 
+def _dealt(ranked: DataFrame, group: str, folds: int, place: Column) -> DataFrame:
+    """Add the fold to (group, n, _row, _first): groups of one size take turns in the order of `place`, from 0."""
+    classes = ranked.groupBy("n").agg(F.count(F.lit(1)).alias("groups"), F.min("_first").alias("first"))
+    loads, table = [0] * folds, []
+    for row in classes.orderBy(F.desc("n")).collect():
+        segments, loads = _spread(loads, row["n"], row["groups"])
+        table.append((row["n"], [s for s, _ in segments], [c for _, c in segments]))
+    schema = "_size bigint, _starts array<bigint>, _cycles array<array<int>>"
+    # Always small: N rows have at most sqrt(2 N) group sizes, and the loop above has held them all.
+    turns = F.broadcast(ranked.sparkSession.createDataFrame(table, schema))
+    segment = F.size(F.filter("_starts", lambda start: start <= F.col("_place")))
+    cycle = F.element_at("_cycles", segment)
+    turn = (F.col("_place") - F.element_at("_starts", segment)) % F.size(cycle)
+    placed = ranked.withColumn("_place", place).join(turns, F.col("n") == F.col("_size"))
+    return placed.withColumn("fold", F.get(cycle, turn.cast("int"))).drop("_place", "_size", "_starts", "_cycles")
+
+
+def _with_class_start(ranked: DataFrame) -> DataFrame:
+    """Add `_first`, the row number at which the groups of a size begin."""
+    first = F.broadcast(ranked.groupBy(F.col("n").alias("_size")).agg(F.min("_row").alias("_first")))  # one row per size
+    return ranked.join(first, F.col("n") == F.col("_size")).drop("_size")
+
+
 def balanced_group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, n, fold): groups by size, largest first, each to the fold with the least rows.
 
     Equal sizes go by key. The rule is sequential, but groups of one size take
     turns over the folds in a way that can be written down (see `_spread`), so
     only the distinct sizes are walked through on the driver: at most sqrt(2 N) of
-    them for N rows. Each group then finds its fold from its size and its rank
-    among the groups of that size. No fold splits a group, and every group count
+    them for N rows, one small row each. Each group then finds its fold from its size and its
+    rank among the groups of that size. No fold splits a group, and every group count
     gives the result of the plain rule.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ranked = with_row_index(sizes, [F.desc("n"), F.asc(group)], "_row")
-    classes = ranked.groupBy("n").agg(F.count(F.lit(1)).alias("groups"), F.min("_row").alias("first"))
+    ranked = _with_class_start(with_row_index(sizes, [F.desc("n"), F.asc(group)], "_row"))
+    return _dealt(ranked, group, folds, F.col("_row") - F.col("_first")).select(group, "n", "fold")
 
-    loads, table = [0] * folds, []
-    for row in classes.orderBy(F.desc("n")).collect():
-        segments, loads = _spread(loads, row["n"], row["groups"])
-        table.append((row["n"], row["first"], [s for s, _ in segments], [c for _, c in segments]))
-    schema = "n bigint, _first bigint, _starts array<bigint>, _cycles array<array<int>>"
-    # Always small: N rows have at most sqrt(2 N) group sizes, and the loop above has held them all.
-    turns = F.broadcast(df.sparkSession.createDataFrame(table, schema))
 
-    rank = F.col("_row") - F.col("_first")
-    segment = F.size(F.filter("_starts", lambda start: start <= rank))
-    cycle = F.element_at("_cycles", segment)
-    turn = (rank - F.element_at("_starts", segment)) % F.size(cycle)
-    return ranked.join(turns, "n").select(group, "n", F.get(cycle, turn.cast("int")).alias("fold"))
-
-
-def _target_rule(counts: list[int], totals: list[float]):
-    """The fold of each next group under the size and target rule; changes the state in place."""
-
-    def choose(size: int, total: float) -> int:
-        if max(counts) - min(counts) > SIZE_GAP or min(counts) == 0:
-            fold = counts.index(min(counts))
-        else:
-            means = [t / n for t, n in zip(totals, counts)]
-            fold = means.index(max(means) if total < 0 else min(means))
-        counts[fold] += size
-        totals[fold] += total
-        return fold
-
-    return choose
-
-
-def target_balanced_folds(
-    df: DataFrame, group: str, target: str, folds: int, chunk: int = 1_000_000
-) -> DataFrame:
-    """(group, n, total, fold): folds balanced by size and by the mean of `target`.
-
-    Groups come by size, largest first, then key. While the folds differ by more
-    than SIZE_GAP rows or one is empty, the fold with the least rows takes the
-    group; otherwise a group with a negative mean goes to the fold with the
-    highest mean and any other to the lowest. Each choice depends on all before,
-    so groups (one row each, not their rows) are walked in order. They are walked
-    `chunk` at a time; between chunks only one count and one sum per fold are
-    carried, so a task never holds more than a chunk.
+def target_balanced_folds(df: DataFrame, group: str, target: str, folds: int) -> DataFrame:
+    """(group, n, total, fold): folds balanced by size and, within each group size, by `target`.
+
+    Groups of one size stand in the order of their totals (which is that of their means), then of
+    their keys. They are cut into runs of `folds`, every second run is turned round, and in that order
+    each goes to the fold with the least rows. So the folds get as many rows as in
+    `balanced_group_folds`, and of each size high and low totals alike. A group finds its fold from its size and rank, as there;
+    no task walks over the groups. NULL targets count 0.
     """
-    spark = df.sparkSession
     items = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(target), F.lit(0)).alias("total"))
-    ordered = with_row_index(items, [F.desc("n"), F.asc(group)], "_row").withColumn(
-        "_chunk", F.floor((F.col("_row") - 1) / chunk).cast("int")
-    )
-    schema = ordered.drop("_row", "_chunk").schema.add("fold", T.IntegerType())
-    names = schema.names
-    chunks = ordered.agg(F.max("_chunk")).first()[0]
-    if chunks is None:
-        return spark.createDataFrame([], schema)
-
-    def walk(counts: list[int], totals: list[float]):
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            choose = _target_rule(list(counts), list(totals))
-            for batch in batches:
-                pairs = zip(batch["n"].to_pylist(), batch["total"].to_pylist())
-                fold = pa.array([choose(n, total) for n, total in pairs], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch[group], batch["n"], batch["total"], fold], names)
-
-        return assign
-
-    def assigned(part: DataFrame, counts: list[int], totals: list[float]) -> DataFrame:
-        in_order = part.drop("_chunk").repartition(1).sortWithinPartitions("_row")
-        return in_order.mapInArrow(walk(counts, totals), schema)
-
-    counts, totals = [0] * folds, [0] * folds
-    if chunks == 0:
-        return assigned(ordered, counts, totals)
-
-    by_chunk, done = scratch_path(spark, "groups"), scratch_path(spark, "folds")
-    ordered.write.partitionBy("_chunk").parquet(by_chunk)
-    by_number = spark.read.schema(ordered.schema).parquet(by_chunk)
-    for number in range(chunks + 1):
-        path = f"{done}/part={number}"
-        assigned(by_number.where(F.col("_chunk") == number), counts, totals).write.parquet(path)
-        state = spark.read.parquet(path).groupBy("fold").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-        for row in state.collect():
-            counts[row["fold"]] += row["n"]
-            totals[row["fold"]] += row["total"]
-    return spark.read.parquet(done).drop("part")
+    ranked = _with_class_start(with_row_index(items, [F.desc("n"), F.asc("total"), F.asc(group)], "_row"))
+    sizes = ranked.groupBy(F.col("n").alias("_size")).agg(F.count(F.lit(1)).alias("_groups"))
+    ranked = ranked.join(F.broadcast(sizes), F.col("n") == F.col("_size")).drop("_size")  # one row per size
+    rank = F.col("_row") - F.col("_first")
+    run = F.floor(rank / folds)
+    length = F.least(F.lit(folds), F.col("_groups") - run * folds)
+    place = F.when(run % 2 == 0, rank).otherwise(run * folds + (length - 1 - rank % folds)).cast("bigint")
+    return _dealt(ranked, group, folds, place).select(group, "n", "total", "fold")
 
 
 def attach_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:

@@ -31,25 +31,20 @@ def balanced_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Cents above or below the middle: whole numbers, so sums are exact in any order.
 CENTRED = "cast(round(o_totalprice * 100) as bigint) - 25000000"
-_LEAST = "list_position(counts, list_min(counts))"
-_BY_MEAN = "list_position(means, case when g.total < 0 then list_max(means) else list_min(means) end)"
 
 
 @query(
-    f"""with recursive g as (
-    select o_custkey, count(*) as n, sum({CENTRED})::bigint as total,
-        row_number() over (order by count(*) desc, o_custkey) as rn from orders group by 1),
+    f"""with recursive items as (select o_custkey, count(*) as n, sum({CENTRED})::bigint as total from orders group by 1),
+k as (select *, row_number() over (partition by n order by total, o_custkey) - 1 as rank, count(*) over (partition by n) as groups from items),
+p as (select *, case when rank // {FOLDS} % 2 = 0 then rank
+    else rank // {FOLDS} * {FOLDS} + least({FOLDS}, groups - rank // {FOLDS} * {FOLDS}) - 1 - rank % {FOLDS} end as place from k),
+g as (select *, row_number() over (order by n desc, place) as rn from p),
 r as (
-    select 0::bigint as rn, 0::bigint as o_custkey, -1 as fold, list_transform(range({FOLDS}), lambda x: 0::bigint) as counts,
-        list_transform(range({FOLDS}), lambda x: 0::bigint) as totals
+    select 0::bigint as rn, 0::bigint as o_custkey, -1 as fold, list_transform(range({FOLDS}), lambda x: 0::bigint) as loads
     union all
-    select rn, o_custkey, (pick - 1)::int, list_transform(counts, lambda v, i: if(i = pick, v + n, v)),
-        list_transform(totals, lambda v, i: if(i = pick, v + total, v))
-    from (
-        select g.*, counts, totals,
-            case when list_max(counts) - list_min(counts) > 100 or list_min(counts) = 0 then {_LEAST} else {_BY_MEAN} end as pick
-        from (select *, list_transform(counts, lambda c, i: if(c = 0, 0, totals[i]::double / c)) as means from r) s
-        join g on g.rn = s.rn + 1))
+    select g.rn, g.o_custkey, (list_position(loads, list_min(loads)) - 1)::int,
+        list_transform(loads, lambda v, i: if(i = list_position(loads, list_min(loads)), v + g.n, v))
+    from r join g on g.rn = r.rn + 1)
 select o_custkey, fold from r where rn > 0"""
 )
 def target_balanced_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,10 +202,10 @@ def ensemble_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", F.round(average_of([f"by_{k}" for k in keys]), 4).alias("prediction"))
 
 
-_CODED = ["o_orderpriority", "o_clerk"]
+_CODED = ["o_orderpriority", "o_custkey"]
 _SQL_CODES = ", ".join(
     f"""{c}_l as (select {c}, row_number() over (order by {c}) - 1 as i from (
-        select distinct {c} from t where fold <> 0 and not holdout and {c} is not null))"""
+        select distinct {c}::varchar as {c} from t where fold <> 0 and not holdout and {c} is not null))"""
     for c in _CODED
 )
 
@@ -219,8 +214,8 @@ _SQL_CODES = ", ".join(
     f"""with t as (select * from ({FOLDED_ORDERS})), {_SQL_CODES},
     s as (select avg(o_totalprice) as m, stddev_samp(o_totalprice) as d from t where fold <> 0 and not holdout)
     select o_orderkey, coalesce(p.i, (select count(*) from o_orderpriority_l))::int as o_orderpriority,
-        coalesce(c.i, (select count(*) from o_clerk_l))::int as o_clerk, round((o_totalprice - m) / (d + 1e-4), 6) as o_totalprice
-    from t left join o_orderpriority_l p using (o_orderpriority) left join o_clerk_l c using (o_clerk), s where fold = 0"""
+        coalesce(c.i, (select count(*) from o_custkey_l))::int as o_custkey, round((o_totalprice - m) / (d + 1e-4), 6) as o_totalprice
+    from t left join o_orderpriority_l p using (o_orderpriority) left join o_custkey_l c on c.o_custkey = t.o_custkey::varchar, s where fold = 0"""
 )
 def saved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and scores of unseen rows, by a plan that was fitted, saved and loaded."""
@@ -238,10 +233,10 @@ def saved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """with l as (
         select 0 as place, o_orderpriority as level, row_number() over (order by o_orderpriority) - 1 as i
             from (select distinct o_orderpriority from orders)
-        union all select 1, o_clerk, row_number() over (order by o_clerk) - 1 from (select distinct o_clerk from orders)),
+        union all select 1, c, row_number() over (order by c) - 1 from (select distinct o_custkey::varchar as c from orders)),
     n as (select count(*) as first from l where place = 0)
     select o_orderkey, p.i::bigint as first_position, (n.first + c.i)::bigint as second_position
-    from orders join l p on p.place = 0 and p.level = o_orderpriority join l c on c.place = 1 and c.level = o_clerk, n"""
+    from orders join l p on p.place = 0 and p.level = o_orderpriority join l c on c.place = 1 and c.level = o_custkey::varchar, n"""
 )
 def one_hot_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of the ones of a one-hot vector over any number of levels."""
