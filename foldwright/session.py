@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,14 +50,43 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/foldwright/{uuid.uuid4().hex}/{name}"
+# Folders written inside the open scratch spaces, the innermost last; each thread has its own.
+_spaces = threading.local()
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path under the shared folder; it belongs to the scratch space that is open.
+
+    With `keep` it belongs to the one around that, or to none.
+    """
+    folder = f"{shared_root(spark)}/foldwright/{uuid.uuid4().hex}"
+    open_spaces = getattr(_spaces, "open", [])
+    if len(open_spaces) > keep:
+        open_spaces[-1 - keep].append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was stored inside, but for tables stored with `keep`.
+
+    Frames that leave the block must not read the others.
+    """
+    if not hasattr(_spaces, "open"):
+        _spaces.open = []
+    _spaces.open.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _spaces.open.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
+def stored(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Write `df` once as Parquet and go on from there: for tables that several jobs read."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
