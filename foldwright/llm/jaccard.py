@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from foldwright.llm.linking import link_classes
 from foldwright.llm.words import as_texts, mixed, shingle_sets
-from foldwright.session import stored
+from foldwright.session import scratch_space, stored
 
 # Sketch words a task holds before it joins equal ones on its own.
 _HELD = 4_000_000
@@ -302,34 +302,35 @@ def similar_documents(
     them links to, all do; rows without doc_id have no component and link with nothing.
     Repeated rows stay. An empty table gives an empty result. Other columns are not looked at.
     """
-    bands = Bands(similarity)
-    named = docs.where("doc_id is not null")
-    # Partitions for the sketches as the files give them; very long texts are handled whole.
-    rows = stored(sketch_table(named, width, bands), "sketches")
-    sets = rows.where("not is_word").select(F.col("node").alias("doc_id"), "key", "low", "size")
-    least = sets.where("size > 0").groupBy("key", "low").agg(F.min("doc_id").alias("a"))
-    copies = sets.where("size > 0").join(least, ["key", "low"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-    words = rows.where("is_word")
-    here = words.where("centre is not null")
-    bucket = Window.partitionBy("key")
-    across = (
-        words.where("centre is null")
-        .select("key", "node", F.min("node").over(bucket).alias("centre"), F.max("node").over(bucket).alias("_most"))
-        .where("centre <> _most")
-    )
-    members = here.select("key", "node").unionByName(here.select("key", F.col("centre").alias("node")))
-    members = members.unionByName(across.select("key", "node")).withColumn("is_index", F.lit(True))
-    verify, sketches = _verifier(named, width, bands), _sketches_of(named, width)
-    labels = link_classes(members, verify, sketches, _NearSketches(similarity), copies)
-    result = sets.select("doc_id", F.col("size").alias("n_shingles"))
-    result = result.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
-    unnamed = docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("bigint"))
-    unnamed = sketch_table(unnamed, width, bands).where("not is_word")
-    return result.unionByName(
-        unnamed.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("size").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
-    )
+    with scratch_space(docs.sparkSession):
+        bands = Bands(similarity)
+        named = docs.where("doc_id is not null")
+        # Partitions for the sketches as the files give them; very long texts are handled whole.
+        rows = stored(sketch_table(named, width, bands), "sketches")
+        sets = rows.where("not is_word").select(F.col("node").alias("doc_id"), "key", "low", "size")
+        least = sets.where("size > 0").groupBy("key", "low").agg(F.min("doc_id").alias("a"))
+        copies = sets.where("size > 0").join(least, ["key", "low"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+        words = rows.where("is_word")
+        here = words.where("centre is not null")
+        bucket = Window.partitionBy("key")
+        across = (
+            words.where("centre is null")
+            .select("key", "node", F.min("node").over(bucket).alias("centre"), F.max("node").over(bucket).alias("_most"))
+            .where("centre <> _most")
+        )
+        members = here.select("key", "node").unionByName(here.select("key", F.col("centre").alias("node")))
+        members = members.unionByName(across.select("key", "node")).withColumn("is_index", F.lit(True))
+        verify, sketches = _verifier(named, width, bands), _sketches_of(named, width)
+        labels = link_classes(members, verify, sketches, _NearSketches(similarity), copies)
+        result = sets.select("doc_id", F.col("size").alias("n_shingles"))
+        result = result.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+            "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+        )
+        unnamed = docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("bigint"))
+        unnamed = sketch_table(unnamed, width, bands).where("not is_word")
+        nothing = F.lit(None).cast("bigint")
+        unnamed = unnamed.select(nothing.alias("doc_id"), F.col("size").alias("n_shingles"), nothing.alias("component_id"))
+        return stored(result.unionByName(unnamed), "similar", keep=True)
 
 
 def keep_one_per_group(docs: DataFrame, **settings) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.linking import link_classes
-from foldwright.session import stored
+from foldwright.session import scratch_space, stored
 
 _BROADCAST_IDS = 200_000
 # Keys a task holds before it joins equal ones on its own.
@@ -283,38 +283,40 @@ def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataF
     """(doc_id, removed): the lines of each document that repeat an earlier one, as structs
     (line_no, node, low) with the line's digest; documents that lose nothing are left out.
     """
-    rows = stored(line_table(docs.where("doc_id is not null"), edits, min_chars), "lines")
-    places = rows.where("key is null").select("node", "low", "doc_id", "line_no")
-    distinct = stored(
-        places.groupBy("node", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")),
-        "distinct",
-    )
-    keys = rows.where("key is not null").select("key", "node", "is_index", "centre")
-    here = keys.where("centre is not null")
-    bucket = Window.partitionBy("key")
-    across = keys.where("centre is null").select(
-        "key", "node", "is_index", F.min("node").over(bucket).alias("_low"), F.max("node").over(bucket).alias("_high"), F.max("is_index").over(bucket).alias("_indexed")
-    )
-    members = across.where("_low <> _high and _indexed").select("key", "node", "is_index")
-    members = members.unionByName(here.select("key", "node", "is_index"))
-    members = members.unionByName(here.select("key", F.col("centre").alias("node"), F.lit(True).alias("is_index")))
-    members = members.groupBy("key", "node").agg(F.max("is_index").alias("is_index"))
-    firsts = distinct.select("node", "low", "first.doc_id", "first.line_no")
-    labels = link_classes(members, _verifier(docs, firsts, edits), _counts_of(docs, firsts), _NearCounts(edits))
-    # A class is a component of links or else one distinct line, told by both halves of its digest.
-    classes = distinct.join(labels, "node", "left").where("n > 1 or component is not null")
-    classes = classes.select(
-        "node",
-        "low",
-        "first",
-        F.coalesce("component", "node").alias("class"),
-        F.when(F.col("component").isNull(), F.col("low")).otherwise(0).alias("class_low"),
-    )
-    kept = classes.groupBy("class", "class_low").agg(F.min("first").alias("kept"))
-    classes = classes.join(kept, ["class", "class_low"])
-    repeats = places.join(classes.select("node", "low", "kept"), ["node", "low"])
-    repeats = repeats.where(F.struct("doc_id", "line_no") != F.col("kept"))
-    return repeats.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "node", "low"))).alias("removed"))
+    with scratch_space(docs.sparkSession):
+        rows = stored(line_table(docs.where("doc_id is not null"), edits, min_chars), "lines")
+        places = rows.where("key is null").select("node", "low", "doc_id", "line_no")
+        distinct = stored(
+            places.groupBy("node", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")),
+            "distinct",
+        )
+        keys = rows.where("key is not null").select("key", "node", "is_index", "centre")
+        here = keys.where("centre is not null")
+        bucket = Window.partitionBy("key")
+        across = keys.where("centre is null").select(
+            "key", "node", "is_index", F.min("node").over(bucket).alias("_low"), F.max("node").over(bucket).alias("_high"), F.max("is_index").over(bucket).alias("_indexed")
+        )
+        members = across.where("_low <> _high and _indexed").select("key", "node", "is_index")
+        members = members.unionByName(here.select("key", "node", "is_index"))
+        members = members.unionByName(here.select("key", F.col("centre").alias("node"), F.lit(True).alias("is_index")))
+        members = members.groupBy("key", "node").agg(F.max("is_index").alias("is_index"))
+        firsts = distinct.select("node", "low", "first.doc_id", "first.line_no")
+        labels = link_classes(members, _verifier(docs, firsts, edits), _counts_of(docs, firsts), _NearCounts(edits))
+        # A class is a component of links or else one distinct line, told by both halves of its digest.
+        classes = distinct.join(labels, "node", "left").where("n > 1 or component is not null")
+        classes = classes.select(
+            "node",
+            "low",
+            "first",
+            F.coalesce("component", "node").alias("class"),
+            F.when(F.col("component").isNull(), F.col("low")).otherwise(0).alias("class_low"),
+        )
+        kept = classes.groupBy("class", "class_low").agg(F.min("first").alias("kept"))
+        classes = classes.join(kept, ["class", "class_low"])
+        repeats = places.join(classes.select("node", "low", "kept"), ["node", "low"])
+        repeats = repeats.where(F.struct("doc_id", "line_no") != F.col("kept"))
+        removed = F.sort_array(F.collect_list(F.struct("line_no", "node", "low"))).alias("removed")
+        return stored(repeats.groupBy("doc_id").agg(removed), "removed", keep=True)
 
 
 def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, drop_emptied: bool = False) -> DataFrame:
@@ -332,7 +334,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, drop_empti
     Columns named n_lines or n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    removed = stored(removed_lines(docs, edits, min_chars), "removed")
+    removed = removed_lines(docs, edits, min_chars)
     removed = removed.select(F.col("doc_id").alias("_removed_id"), "removed")
     joined = docs.join(removed, docs["doc_id"].cast("bigint") == F.col("_removed_id"), "left")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.session import stored
+from foldwright.session import scratch_space, stored
 
 # Members of a bucket that one task compares with as many others at most.
 BLOCK_ROWS = 2048
@@ -31,24 +31,25 @@ def components(links: DataFrame) -> DataFrame:
     tables, until the edges no longer change; every minimum is pre-aggregated, so a node
     with very many links costs its group no more than others.
     """
-    edges = stored(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+    with scratch_space(links.sparkSession):
+        edges = stored(
+            links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+        )
+        before = None
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = stored(large.where("u <> v").distinct(), "edges")
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if tuple(state) == before:
+                break
+            before = tuple(state)
+        nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return stored(nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct()), "labels", keep=True)
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -166,29 +167,30 @@ def link_classes(
     sizes, n, others)` tells which others may be linked to row n; it must not refuse a link.
     `known` are links (a, b) that need no check.
     """
-    links = None if known is None else stored(known.select("a", "b"), "links")
-    labels = None if links is None else stored(components(links), "labels")
-    live = _open_buckets(_labelled(members.select("key", "node", "is_index").distinct(), labels))
-    one_each = live.where("is_index").groupBy("key").agg(F.min(F.struct("node", "component")).alias("c"))
-    centres = one_each.select("key", F.col("c.node").alias("_a"), F.col("c.component").alias("_class"))
-    pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
-    pairs = stored(pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct(), "pairs")
-    failed, held, budget = None, None, 1
-    while not pairs.isEmpty():
-        found = stored(verify(pairs).select("a", "b"), "links")
-        refused = pairs.join(found, ["a", "b"], "left_anti")
-        failed = refused if failed is None else failed.unionByName(refused)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = stored(components(links), "labels")
-            live = _labelled(live.drop("component"), labels)
-        live = _open_buckets(live)
-        if live.isEmpty():
-            break
-        if held is None:  # once: later rounds only have fewer nodes
-            held = stored(sketches(live.select("node").distinct()), "sketches")
-        pairs = stored(_crowded_pairs(live, failed, held, bound, budget), "pairs")
-        budget *= 4  # so that pairs which pass but are refused end soon
-    if labels is None:
-        labels = members.sparkSession.createDataFrame([], "node bigint, component bigint")
-    return labels
+    with scratch_space(members.sparkSession):
+        links = None if known is None else stored(known.select("a", "b"), "links")
+        labels = None if links is None else components(links)
+        live = _open_buckets(_labelled(members.select("key", "node", "is_index").distinct(), labels))
+        one_each = live.where("is_index").groupBy("key").agg(F.min(F.struct("node", "component")).alias("c"))
+        centres = one_each.select("key", F.col("c.node").alias("_a"), F.col("c.component").alias("_class"))
+        pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
+        pairs = stored(pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct(), "pairs")
+        failed, held, budget = None, None, 1
+        while not pairs.isEmpty():
+            found = stored(verify(pairs).select("a", "b"), "links")
+            refused = pairs.join(found, ["a", "b"], "left_anti")
+            failed = refused if failed is None else failed.unionByName(refused)
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                labels = components(links)
+                live = _labelled(live.drop("component"), labels)
+            live = _open_buckets(live)
+            if live.isEmpty():
+                break
+            if held is None:  # once: later rounds only have fewer nodes
+                held = stored(sketches(live.select("node").distinct()), "sketches")
+            pairs = stored(_crowded_pairs(live, failed, held, bound, budget), "pairs")
+            budget *= 4  # so that pairs which pass but are refused end soon
+        if labels is None:
+            return members.sparkSession.createDataFrame([], "node bigint, component bigint")
+        return stored(labels, "classes", keep=True)
\ No newline at end of file

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from foldwright.llm.words import word_count
 from foldwright.operators.rowindex import with_row_index
-from foldwright.session import stored
+from foldwright.session import scratch_space, stored
 
 # Documents a chunk holds on average, and chunks whose open documents meet.
 CHUNK_ROWS = 4_000
@@ -124,39 +124,41 @@ def mix_to_targets(
     of `twins` rows that is taken or left together (also where doc_id is NULL). An empty
     table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    units = stored(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("twins")), "units")
-    targets = source_targets(units.withColumn("size", F.col("size") * F.col("twins")), weights, max_copies)
-    targets = stored(targets, "targets").withColumnRenamed("source", "_source")
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    attached = (
-        units.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_whole", F.floor(wanted).cast("bigint"))
-        .withColumn("_p", wanted - F.col("_whole"))
-        .withColumn("_mass", F.col("size") * F.col("twins"))
-        .withColumn("_digest", F.md5(F.to_json(F.struct("doc_id", "source", "size", F.lit(seed).alias("seed")))))
-        .withColumn("_chunk", F.pmod(F.xxhash64("_digest"), F.ceil(F.col("docs") / CHUNK_ROWS).cast("bigint")))
-        .drop("_source")
-    )
-    is_open = (F.col("_p") > 0) & (F.col("_p") < 1)
-    level = stored(_settled(attached.where(F.col("size") > 0), seed), "settled")
-    done = [attached.where(F.col("size") == 0).withColumn("_p", F.lit(0.0)), level.where(~is_open)]
-    left, step = level.where(is_open), 1
-    groups = -(-(targets.agg(F.max("docs")).first()[0] or 0) // CHUNK_ROWS)
-    while groups > 1:
-        groups, step = -(-groups // FAN_IN), step + 1
-        merged = left.withColumn("_chunk", F.floor(F.col("_chunk") / FAN_IN).cast("bigint"))
-        level = stored(_settled(merged, seed + step), "settled")
-        done.append(level.where(~is_open))
-        left = level.where(is_open)
-    # At most one open unit a source: a draw decides.
-    draw = (F.pmod(F.xxhash64("_digest", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    result = left.withColumn("_p", F.when(draw < F.col("_p"), 1.0).otherwise(0.0))
-    for part in done:
-        result = result.unionByName(part)
-    copies = (F.col("_whole") + F.col("_p").cast("bigint")).alias("copies")
-    sizeless = F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("bigint")).alias("copies")
-    return result.select("doc_id", "source", "size", "twins", "source_size", "target", sizeless)
+    with scratch_space(docs.sparkSession):
+        sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+        units = stored(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("twins")), "units")
+        targets = source_targets(units.withColumn("size", F.col("size") * F.col("twins")), weights, max_copies)
+        targets = stored(targets, "targets").withColumnRenamed("source", "_source")
+        wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        attached = (
+            units.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+            .withColumn("_whole", F.floor(wanted).cast("bigint"))
+            .withColumn("_p", wanted - F.col("_whole"))
+            .withColumn("_mass", F.col("size") * F.col("twins"))
+            .withColumn("_digest", F.md5(F.to_json(F.struct("doc_id", "source", "size", F.lit(seed).alias("seed")))))
+            .withColumn("_chunk", F.pmod(F.xxhash64("_digest"), F.ceil(F.col("docs") / CHUNK_ROWS).cast("bigint")))
+            .drop("_source")
+        )
+        is_open = (F.col("_p") > 0) & (F.col("_p") < 1)
+        level = stored(_settled(attached.where(F.col("size") > 0), seed), "settled")
+        done = [attached.where(F.col("size") == 0).withColumn("_p", F.lit(0.0)), level.where(~is_open)]
+        left, step = level.where(is_open), 1
+        groups = -(-(targets.agg(F.max("docs")).first()[0] or 0) // CHUNK_ROWS)
+        while groups > 1:
+            groups, step = -(-groups // FAN_IN), step + 1
+            merged = left.withColumn("_chunk", F.floor(F.col("_chunk") / FAN_IN).cast("bigint"))
+            level = stored(_settled(merged, seed + step), "settled")
+            done.append(level.where(~is_open))
+            left = level.where(is_open)
+        # At most one open unit a source: a draw decides.
+        draw = (F.pmod(F.xxhash64("_digest", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        result = left.withColumn("_p", F.when(draw < F.col("_p"), 1.0).otherwise(0.0))
+        for part in done:
+            result = result.unionByName(part)
+        copies = (F.col("_whole") + F.col("_p").cast("bigint")).alias("copies")
+        sizeless = F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("bigint")).alias("copies")
+        result = result.select("doc_id", "source", "size", "twins", "source_size", "target", sizeless)
+        return stored(result, "mix", keep=True)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
