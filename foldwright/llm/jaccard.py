@@ -207,12 +207,12 @@ def _verifier(docs: DataFrame, width: int, bands: Bands):
 
 
 def folded_sketch(values: np.ndarray) -> bytes:
-    """A parity sketch of 8 to 16 bits a shingle, its length a power of two.
+    """A parity sketch of 2 to 4 bits a shingle, its length a power of two.
 
     A shorter sketch of the same set is the longer one folded by exclusive or, so sketches of all
     lengths can be compared.
     """
-    words = 1 << max(0, (len(values) - 1).bit_length() - 3)
+    words = 1 << max(0, (len(values) - 1).bit_length() - 5)
     line = np.zeros(words, np.uint64)
     at = ((values >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
     np.bitwise_xor.at(line, at, np.left_shift(np.uint64(1), values & np.uint64(63)))

@@ -60,11 +60,19 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold an index member and more than one class."""
+    """The members of buckets that hold an index member and more than one class; of equal buckets one.
+
+    Equal buckets are told by two 64-bit digests of their members and their number.
+    """
     keys = members.groupBy("key").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"), F.max("is_index").alias("_indexed")
+        F.min("component").alias("_low"),
+        F.max("component").alias("_high"),
+        F.max("is_index").alias("_indexed"),
+        F.bit_xor(F.xxhash64("node", "is_index")).alias("_one"),
+        F.bit_xor(F.xxhash64(F.lit("two"), "is_index", "node")).alias("_two"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    keys = keys.where("_low <> _high and _indexed").select("key")
+    keys = keys.where("_low <> _high and _indexed").groupBy("_one", "_two", "_n").agg(F.min("key").alias("key")).select("key")
     return stored(members.join(keys, "key"), "members")
 
 
