@@ -47,6 +47,34 @@ def out_of_fold_means(df: DataFrame, fold: str, category: str, target: str) -> D
     return attach_by_group(df, table, [fold, category], "_rows")
 
 
+def mean_of_fold_models(train: DataFrame, rows: DataFrame, fold: str, category: str, target: str) -> DataFrame:
+    """`rows` with the average, over the folds of `train`, of the category mean learned outside each fold.
+
+    Every fold's model predicts every row, as for a holdout; one aggregation of `train` by (fold, category) serves
+    all of them. Levels that a model has not seen get its overall mean, NULL is a level of its own.
+    """
+    own = stored(train.groupBy(fold, category).agg(F.sum(target).alias("_sum"), F.count(target).alias("_n")))
+    folds = own.groupBy(fold).agg(F.sum("_sum").alias("_fold_sum"), F.sum("_n").alias("_fold_n"))
+    totals = own.agg(F.sum("_sum"), F.sum("_n")).first()
+    # One row per fold: what its model answers for levels it has not seen.
+    overall = folds.select(
+        F.col(fold).alias("_fold"), F.try_divide(F.lit(totals[0]) - F.col("_fold_sum"), F.lit(totals[1]) - F.col("_fold_n")).alias("_overall")
+    )
+    levels = own.groupBy(category).agg(F.sum("_sum").alias("_level_sum"), F.sum("_n").alias("_level_n"))
+    listed = overall.agg(F.collect_list(F.struct("_fold", "_overall"))).scalar()
+    every = levels.withColumn("_f", F.explode(listed)).select(category, "_level_sum", "_level_n", "_f._fold", "_f._overall")
+    held = own.withColumnsRenamed({fold: "_own_fold", category: "_own_level"})
+    same = F.col("_fold").eqNullSafe(F.col("_own_fold")) & F.col(category).eqNullSafe(F.col("_own_level"))
+    met = every.join(held, same, "left")
+    n = F.col("_level_n") - F.coalesce("_n", F.lit(0))
+    learned = F.when(n > 0, (F.col("_level_sum") - F.coalesce("_sum", F.lit(0.0))) / n)
+    table = met.groupBy(category).agg(F.avg(F.coalesce(learned, F.col("_overall"))).alias("prediction"))
+    unseen = overall.agg(F.avg("_overall")).first()[0]
+    table = table.withColumnRenamed(category, "_level")
+    found = rows.join(table, F.col(category).eqNullSafe(F.col("_level")), "left").drop("_level")
+    return found.withColumn("prediction", F.coalesce("prediction", F.lit(unseen)))
+
+
 def importance_rollup(importances: DataFrame) -> DataFrame:
     """Per feature over folds: sum of positive importances, non-positive folds, mean, std (over n)."""
     value = F.col("importance")

@@ -92,6 +92,20 @@ def cv_category_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out_of_fold(spark, sf_dir).select("o_orderkey", "fold", F.round("prediction", 4).alias("prediction"))
 
 
+@query(
+    f"""with t as (select * from ({FOLDED_ORDERS})),
+    m as (select k.fold, o.o_orderpriority, avg(o.o_totalprice) as mean from (select unnest(range({FOLDS})) as fold) k
+        join t o on o.fold <> k.fold and not o.holdout group by 1, 2)
+    select o_orderkey, round(avg(mean), 4) as prediction from t join m using (o_orderpriority) where holdout group by 1"""
+)
+def fold_models_on_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holdout predicted by every fold's model, and their mean."""
+    orders = folded_orders(spark, sf_dir)
+    kept, held = orders.where(~F.col("holdout")), orders.where("holdout")
+    found = metrics.mean_of_fold_models(kept, held, "fold", "o_orderpriority", "o_totalprice")
+    return found.select("o_orderkey", F.round("prediction", 4).alias("prediction"))
+
+
 @query(f"select fold, round(sqrt(avg((o_totalprice - prediction) ** 2)), 4) as rmse from ({OUT_OF_FOLD}) group by 1")
 def rmse_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = metrics.rmse_by(_out_of_fold(spark, sf_dir), "o_totalprice", "prediction", "fold")

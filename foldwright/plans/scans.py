@@ -66,6 +66,19 @@ def metadata_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
     select feature, arg_max(importance, p_partkey) as importance from lines where importance < -0.001 group by 1"""
 )
 def importance_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.important_features(_importance_log(spark, sf_dir))
+
+
+@query(
+    """select p_brand as feature, (25 - p_size) / 1000.0::double as importance from part
+    where p_partkey % 10 <> 3 and p_partkey % 10 <> 4 and p_size > 26"""
+)
+def importance_log_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line under the threshold, a feature as often as it was logged."""
+    return logs.important_feature_list(_importance_log(spark, sf_dir))
+
+
+def _importance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     number = F.when(F.col("p_partkey") % 10 == 3, "n/a").otherwise(((25 - F.col("p_size")) / 1000).cast("string"))
     ends = F.when(F.col("p_partkey") % 10 == 4, ", cut").otherwise("")
@@ -74,7 +87,7 @@ def importance_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = scratch_path(spark, "importance_log")
     part.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select(line.alias("value")).write.text(path)
-    return logs.important_features(logs.read_importance_log(spark, path))
+    return logs.read_importance_log(spark, path)
 
 
 RUNS = """
