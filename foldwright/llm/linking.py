@@ -178,7 +178,8 @@ def link_classes(
     with scratch_space(members.sparkSession):
         links = None if known is None else stored(known.select("a", "b"), "links")
         labels = None if links is None else components(links)
-        live = _open_buckets(_labelled(members.select("key", "node", "is_index").distinct(), labels))
+        live = _labelled(members.select("key", "node", "is_index").distinct(), labels)
+        live = _open_buckets(stored(live, "members"))  # read twice
         one_each = live.where("is_index").groupBy("key").agg(F.min(F.struct("node", "component")).alias("c"))
         centres = one_each.select("key", F.col("c.node").alias("_a"), F.col("c.component").alias("_class"))
         pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
@@ -191,7 +192,7 @@ def link_classes(
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links)
-                live = _labelled(live.drop("component"), labels)
+                live = stored(_labelled(live.drop("component"), labels), "members")
             live = _open_buckets(live)
             if live.isEmpty():
                 break
