@@ -79,7 +79,8 @@ def _open_buckets(members: DataFrame) -> DataFrame:
 def _crowded_pairs(
     live: DataFrame, failed: DataFrame | None, sketches: DataFrame, bound: Callable, budget: int
 ) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that pass `bound` and would join classes, at most `budget` for two classes.
+    """Distinct pairs (a, b), a < b, that pass `bound` and would join classes: in each bucket as many as join all
+    that can be joined, and up to `budget` more for each member, as some will be refused.
 
     Buckets of more than `BLOCK_ROWS` members are cut into blocks, and each task compares two of them.
     """
@@ -138,7 +139,7 @@ def _joining_pairs(rows: dict, bound: Callable, budget: int) -> list[tuple[int,
         return c
 
     classes = np.array(rows["component"], np.int64)
-    sketches, pairs, tried = rows["sketch"], [], {}
+    sketches, pairs = rows["sketch"], []
     for n in range(len(nodes)):
         later = np.arange(n + 1, len(nodes))
         keep = (classes[later] != classes[n]) & (indexed[later] | indexed[n])
@@ -147,16 +148,14 @@ def _joining_pairs(rows: dict, bound: Callable, budget: int) -> list[tuple[int,
         later = later[keep]
         if not len(later):
             continue
-        refused = set(rows["failed"][n] or ())
+        refused, more = set(rows["failed"][n] or ()), budget
         for m in later[bound(sketches, sizes, n, later)]:
             one, two = top(rows["component"][n]), top(rows["component"][m])
             # Nodes come sorted, so the smaller is `a`.
-            if one != two and nodes[m] not in refused:
+            if nodes[m] not in refused and (one != two or more > 0):
                 pairs.append((nodes[n], nodes[m]))
-                both = (min(one, two), max(one, two))
-                tried[both] = tried.get(both, 0) + 1
-                if tried[both] >= budget:  # enough for this round
-                    class_of[one] = two
+                more -= one == two
+                class_of[one] = two
     return pairs
 
 
@@ -184,7 +183,7 @@ def link_classes(
         centres = one_each.select("key", F.col("c.node").alias("_a"), F.col("c.component").alias("_class"))
         pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
         pairs = stored(pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct(), "pairs")
-        failed, held, budget = None, None, 1
+        failed, held, budget = None, None, 2
         while not pairs.isEmpty():
             found = stored(verify(pairs).select("a", "b"), "links")
             refused = pairs.join(found, ["a", "b"], "left_anti")
@@ -199,7 +198,7 @@ def link_classes(
             if held is None:  # once: later rounds only have fewer nodes
                 held = stored(sketches(live.select("node").distinct()), "sketches")
             pairs = stored(_crowded_pairs(live, failed, held, bound, budget), "pairs")
-            budget *= 4  # so that pairs which pass but are refused end soon
+            budget *= 16  # so that pairs which pass but are refused end soon
         if labels is None:
             return members.sparkSession.createDataFrame([], "node bigint, component bigint")
         return stored(labels, "classes", keep=True)
\ No newline at end of file
