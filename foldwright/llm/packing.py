@@ -31,7 +31,7 @@ CARRIED = 2_000
 # A bin counts as nearly full when at most this share of it is free.
 SLACK = 1 / 256
 # Distinct words whose ids a task keeps between batches.
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 600_000
 
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -104,10 +104,11 @@ class WordTokenizer:
         codes, distinct = coded_words(words)
         if len(self.known) > _KEPT_WORDS:
             self._forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        number = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([distinct[i] for i in new])
         units = self.parts[number][codes].ravel()
         counts = self.sizes[units]
         ends = np.concatenate([[0], np.cumsum(counts)])
@@ -124,8 +125,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordTokenizer(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 3072):
+                part = batch.slice(at, 3072)
                 ids, bounds = encoder.encode(as_texts(part.column(2)))
                 rows = {n: [] for n in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
                 keys, numbers = part.column(0).to_pylist(), part.column(1).to_pylist()
