@@ -77,6 +77,8 @@ def test_packing_is_whole_and_dense(spark, sf_dir):
 
 
 def test_quality_on_held_out_rows(spark, sf_dir):
+    # The smallest table has some 60 labels to learn from, fewer than there are kinds of junk to see.
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     got = {r["doc_id"]: r for r in QUERIES["op8_quality"](spark, sf_dir).collect()}
     labels = dict(rows_of(sf_dir, "select doc_id, quality FROM labels END"))
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
