@@ -301,7 +301,7 @@ def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataF
         members = members.unionByName(here.select("key", F.col("centre").alias("node"), F.lit(True).alias("is_index")))
         members = members.groupBy("key", "node").agg(F.max("is_index").alias("is_index"))
         firsts = distinct.select("node", "low", "first.doc_id", "first.line_no")
-        labels = link_classes(members, _verifier(docs, firsts, edits), _counts_of(docs, firsts), _NearCounts(edits))
+        labels = link_classes(members, _verifier(docs, firsts, edits), _counts_of(docs, firsts), _NearCounts(edits), spare=64)
         # A class is a component of links or else one distinct line, told by both halves of its digest.
         classes = distinct.join(labels, "node", "left").where("n > 1 or component is not null")
         classes = classes.select(

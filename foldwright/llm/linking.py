@@ -165,6 +165,7 @@ def link_classes(
     sketches: Callable[[DataFrame], DataFrame],
     bound: Callable,
     known: DataFrame | None = None,
+    spare: int = 2,
 ) -> DataFrame:
     """(node, component) of all linked nodes.
 
@@ -172,7 +173,8 @@ def link_classes(
     them is_index. `verify` gets distinct pairs (a, b) with a < b and returns those that are links;
     `sketches` gets (node) and returns (node, size, sketch), from which `bound(sketches,
     sizes, n, others)` tells which others may be linked to row n; it must not refuse a link.
-    `known` are links (a, b) that need no check.
+    `known` are links (a, b) that need no check. `spare` is how many pairs beyond those that join classes a member
+    may emit in the first comparison of a bucket: more for a bound that often passes what is then refused.
     """
     with scratch_space(members.sparkSession):
         links = None if known is None else stored(known.select("a", "b"), "links")
@@ -183,7 +185,7 @@ def link_classes(
         centres = one_each.select("key", F.col("c.node").alias("_a"), F.col("c.component").alias("_class"))
         pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
         pairs = stored(pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct(), "pairs")
-        failed, held, budget = None, None, 2
+        failed, held, budget = None, None, spare
         while not pairs.isEmpty():
             found = stored(verify(pairs).select("a", "b"), "links")
             refused = pairs.join(found, ["a", "b"], "left_anti")
