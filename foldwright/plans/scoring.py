@@ -27,7 +27,7 @@ def score_with_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_files(df: DataFrame, path: str) -> None:
-    """Files in the order of time, as they would arrive; as many as Spark makes of that much data."""
+    """Files of consecutive times, as many as Spark makes of that much data; tasks may close them in another order."""
     df.repartitionByRange("ts").write.parquet(path)
 
 
@@ -119,6 +119,7 @@ def stream_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "unique")
     _as_files(events.unionByName(events.where(F.col("event_id") % 3 == 0)), f"{root}/in")
     stream = micro_batches.read_stream(spark, f"{root}/in", events.schema)
-    unique = micro_batches.unique_stream(stream, "event_id", "ts", "1 hour")
+    disorder = micro_batches.arrival_disorder(spark, f"{root}/in", "ts")
+    unique = micro_batches.unique_stream(stream, "event_id", "ts", f"{disorder + 3600} seconds")
     micro_batches.write_stream(unique, f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type")

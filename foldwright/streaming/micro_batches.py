@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +49,31 @@ def score_stream(
     query.awaitTermination()
 
 
+def arrival_disorder(spark: SparkSession, path: str, time: str) -> int:
+    """Seconds of event time by which a file of the folder may lie behind one that the stream reads before it.
+
+    The stream reads files by modification time; those of the same millisecond may come in any order.
+    """
+    written = F.col("_metadata.file_modification_time").alias("written")
+    stamp = F.col(time).cast("timestamp").cast("double")
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), written, stamp.alias("stamp"))
+    files = rows.groupBy("written", "file").agg(F.min("stamp").alias("low"), F.max("stamp").alias("high"))
+    latest, disorder = -math.inf, 0.0
+    timed = files.where("low is not null").orderBy("written").collect()  # one row a file
+    for _, group in groupby(timed, key=lambda file: file["written"]):
+        spans = [(file["low"], file["high"]) for file in group]
+        if len(spans) > 1:
+            latest = max(latest, *(high for _, high in spans))
+        disorder = max(disorder, latest - min(low for low, _ in spans))
+        latest = max([latest, *(high for _, high in spans)])
+    return math.ceil(disorder)
+
+
 def unique_stream(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
-    """First arrival of each id; ids are remembered for `delay` of event time, which bounds the state."""
+    """First arrival of each id; ids are remembered for `delay` of event time, which bounds the state.
+
+    Rows that come later than that are dropped, so `delay` must exceed the disorder of the files.
+    """
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
     return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 

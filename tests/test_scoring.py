@@ -179,3 +179,29 @@ def test_a_batch_must_bring_its_own_ids(spark, rows, tmp_path):
     known = predictors.Predictors(other_batch)
     status = predictors.evaluate(rows, sample, known, "other_batch", str(tmp_path / "out"), 1, 4).first()
     assert status["ErrorName"] == "INVALID_SUBMISSION"
+
+
+def written_backwards(df, path):
+    """Five files of consecutive times; the last range is closed first."""
+    bounds = df.selectExpr("percentile_approx(ts, array(0.2, 0.4, 0.6, 0.8)) as p").first()["p"]
+    edges = [None, *bounds, None]
+    for low, high in reversed(list(zip(edges, edges[1:]))):
+        part = df.where(F.col("ts") >= low) if low else df
+        part.where(F.col("ts") < high if high else F.lit(True)).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_unique_ids_of_files_out_of_order(spark, sf_dir, monkeypatch):
+    from foldwright.plans import scoring
+
+    monkeypatch.setattr(scoring, "_as_files", written_backwards)
+    found = scoring.stream_unique_ids(spark, sf_dir)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    assert sorted(found.collect()) == sorted(events.collect())
+
+
+def test_arrival_disorder(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for n, (low, high) in enumerate([(100, 200), (201, 300), (50, 90), (301, 310)]):
+        rows = spark.createDataFrame([(low,), (high,), (None,)], "s long").select(F.col("s").cast("timestamp").alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(path)
+        assert micro_batches.arrival_disorder(spark, path, "ts") == (250 if n >= 2 else 0)
