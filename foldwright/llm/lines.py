@@ -22,6 +22,7 @@ from foldwright.llm.linking import link_classes
 from foldwright.session import scratch_space, stored
 
 _BROADCAST_IDS = 200_000
+_BLANK = " \t\n\v\f\r"
 # Keys a task holds before it joins equal ones on its own.
 _HELD = 4_000_000
 _ROWS = "key bigint, node bigint, is_index boolean, centre bigint, low bigint, doc_id bigint, line_no int"
@@ -136,9 +137,11 @@ def _joined_here(keys: np.ndarray, nodes: np.ndarray, indexed: np.ndarray) -> tu
     return keys, nodes, indexed, np.where(indexed[at], nodes[at], nodes)
 
 
-def line_table(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def line_table(docs: DataFrame, edits: int, min_chars: int, short_repeats: bool = False) -> DataFrame:
     """`_ROWS`: every line's place, and the index and probe keys of the lines a task sees first.
 
+    With `short_repeats`, lines under `min_chars` that are not blank have places too, but no keys.
+
     Lines of one task that meet an indexed line in a key are joined to it here, so that a very
     frequent key is few rows a task.
     """
@@ -161,14 +164,14 @@ def line_table(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     for number, line in enumerate(text.split("\n") if text else ()):
                         length = len(line)
-                        if length < min_chars:
+                        if length < min_chars and not (short_repeats and line.strip(_BLANK)):
                             continue
                         node, low = line_digest(line)
                         nodes.append(node)
                         lows.append(low)
                         ids.append(key)
                         numbers.append(number)
-                        if node in seen:
+                        if length < min_chars or node in seen:
                             continue
                         seen.add(node)
                         plan = plans.get(length)
@@ -279,12 +282,12 @@ def _counts_of(docs: DataFrame, firsts: DataFrame):
     return lambda nodes: _texts_of(docs, firsts, nodes).mapInArrow(rows, "node bigint, size bigint, sketch binary")
 
 
-def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, short_repeats: bool = False) -> DataFrame:
     """(doc_id, removed): the lines of each document that repeat an earlier one, as structs
     (line_no, node, low) with the line's digest; documents that lose nothing are left out.
     """
     with scratch_space(docs.sparkSession):
-        rows = stored(line_table(docs.where("doc_id is not null"), edits, min_chars), "lines")
+        rows = stored(line_table(docs.where("doc_id is not null"), edits, min_chars, short_repeats), "lines")
         places = rows.where("key is null").select("node", "low", "doc_id", "line_no")
         distinct = stored(
             places.groupBy("node", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")),
@@ -319,12 +322,15 @@ def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataF
         return stored(repeats.groupBy("doc_id").agg(removed), "removed", keep=True)
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, edits: int = 2, min_chars: int = 20, drop_emptied: bool = False, short_repeats: bool = False
+) -> DataFrame:
     """`docs` with repeated lines taken out of `text`, and n_lines, n_removed added.
 
     A line is what stands between newlines. Of all lines of at least `min_chars`
     characters that are within `edits` edits of one another, directly or along a chain,
-    the first by (doc_id, line number) stays; shorter lines stay where they are. With
+    the first by (doc_id, line number) stays. Shorter lines stay where they are, or with
+    `short_repeats` go when the very same line stands before; blank ones always stay. With
     `drop_emptied`, documents go that lose lines and keep no other than white space. A column
     n_chars is brought up to date.
 
@@ -334,7 +340,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, drop_empti
     Columns named n_lines or n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    removed = removed_lines(docs, edits, min_chars)
+    removed = removed_lines(docs, edits, min_chars, short_repeats)
     removed = removed.select(F.col("doc_id").alias("_removed_id"), "removed")
     joined = docs.join(removed, docs["doc_id"].cast("bigint") == F.col("_removed_id"), "left")
 

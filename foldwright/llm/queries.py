@@ -212,3 +212,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     left = lines.dedup_lines(documents)
     return left.select("doc_id", "n_lines", "n_removed", F.col("n_chars").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+@query()
+def op10_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with exact repeats of lines under 20 characters removed too."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    left = lines.dedup_lines(documents, short_repeats=True)
+    return left.select("doc_id", "n_lines", "n_removed", F.col("n_chars").alias("kept_chars"), F.md5("text").alias("kept_md5"))

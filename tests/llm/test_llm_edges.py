@@ -312,6 +312,13 @@ def test_lines(spark, odd, none):
     assert len(lines.dedup_lines(odd).collect()) == len(ODD)
 
 
+def test_short_lines(spark):
+    rows = [(5, "short\n\nshort\n  \nshorter", "s"), (2, "Of.\nshort\n\n  ", "s"), (7, "Of.", "s"), (None, "Of.", "s")]
+    got = lines.dedup_lines(documents(spark, rows), short_repeats=True)
+    held = {(r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()}
+    assert held == {(5, "\n  \nshorter", 2), (2, "Of.\nshort\n\n  ", 0), (7, "", 1), (None, "Of.", 0)}
+
+
 def test_edits_against_plain_table():
     draw = random.Random(1)
     for _ in range(5000):

@@ -150,3 +150,17 @@ def test_line_dedup_equals_all_pairs(spark, sf_dir):
         left = [x for n, x in enumerate(own) if len(x) < 20 or kept[top(x)] == (r["doc_id"], n)]
         assert (r["n_lines"], r["n_removed"]) == (len(own), len(own) - len(left))
         assert r["kept_md5"] == hashlib.md5("\n".join(left).encode()).hexdigest()
+
+
+def test_no_exact_repeat_is_left(spark, sf_dir):
+    texts = dict(rows_of(sf_dir, "select doc_id, text FROM documents END"))
+    short = set()
+    repeats = dict.fromkeys(texts, 0)
+    for i in sorted(texts):
+        for line in (texts[i] or "").split("\n"):
+            if len(line) < 20 and line.strip():
+                repeats[i] += line in short
+                short.add(line)
+    without = {r["doc_id"]: r["n_removed"] for r in QUERIES["op10_line_dedup"](spark, sf_dir).collect()}
+    whole = {r["doc_id"]: r["n_removed"] for r in QUERIES["op10_line_dedup_short"](spark, sf_dir).collect()}
+    assert whole == {i: without[i] + repeats[i] for i in texts} and sum(repeats.values()) == 69
