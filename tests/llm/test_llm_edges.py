@@ -168,6 +168,43 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(none).collect() == licenses.scan_licenses(odd, {}).collect() == []
 
 
+def test_licenses_inside_texts(spark):
+    full, fill = licenses.full_texts(), "words of the code around it\n" * 30
+    commented = "\n".join(f" * {line}" for line in full["apache-2.0-header"].split("\n"))
+    rows = [(i, f"{fill}Copyright (c) 2020 Example\n{full[name]}\n{fill}", "s") for i, name in enumerate(sorted(full)) if name.endswith("-text")]
+    rows += [(100, commented, "s"), (101, 'Licensed under the Apache License, Version 2.0 (the "License");', "s"),
+             (102, "Licensed under the MIT License.", "s"), (103, "Copyright (c) 2020 Example. All rights reserved.", "s"),
+             (104, "This code is\nreleased under\nthe MIT license and more.", "s"), (105, "The license is MIT, and rights are reserved to all.", "s"),
+             (106, "All rights reserved.\nAgain: all rights reserved. Yes, all rights reserved!", "s")]
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    for i, name in enumerate(sorted(full)):
+        if name.endswith("-text"):
+            assert got[i, name]["dice"] > 0.99 and got[i, name]["line_no"] >= 30
+    assert got[100, "apache-2.0-header"]["dice"] == got[100, "apache-2.0"]["dice"] == 1.0
+    assert got[101, "apache-2.0"]["dice"] == got[102, "mit-notice"]["dice"] == got[103, "reserved"]["dice"] == 1.0
+    assert got[104, "mit"]["line_no"] == 1 and not any(i == 105 for i, _ in got)
+    found = licenses.scan_licenses(documents(spark, rows[-1:])).collect()
+    assert [(r["line_no"], r["license"]) for r in found] == [(0, "reserved"), (1, "reserved"), (1, "reserved")]
+
+
+def test_windows_against_all():
+    draw = random.Random(4)
+    index = licenses.WindowIndex({"t": "a b c d e f g h i j"}, Fraction(9, 10))
+    for _ in range(1500):
+        words = list("abcdefghij")
+        for _ in range(draw.randrange(0, 3)):
+            words[draw.randrange(0, 10)] = draw.choice("abxy")
+        words = draw.choices("abcxy", k=draw.randrange(0, 6)) + words + draw.choices("abhijx", k=draw.randrange(0, 6))
+        near = set()
+        for x in range(len(words)):
+            for y in range(x + 1, min(len(words), x + 12)):
+                unit = set(zip(words[x:y], words[x + 1 : y + 1]))
+                if 20 * len(unit & index.sets["t"]) >= 9 * (len(unit) + 9):
+                    near.add((x, y))
+        got = index.windows(words)
+        assert bool(got) == bool(near) and all((x, y) in near for _, x, y, _, _ in got)
+
+
 def test_quotes(spark):
     first = "Hello there everyone, this is the first message.\nSecond line of it, rather long."
     rows = [
