@@ -224,6 +224,34 @@ def search(
     return df.sparkSession.createDataFrame(trials, "trial int, params map<string,double>, score double")
 
 
+def search_families(
+    df: DataFrame,
+    target: str,
+    fold: str,
+    folds: int,
+    seed: int,
+    trials: int = 200,
+    ranges: dict[str, dict] | None = None,
+    overrides: dict | None = None,
+    parallelism: int = 4,
+) -> DataFrame:
+    """(family, trial, params, score): `search` over every family, by default over all of `SEARCH_RANGES`.
+
+    The budget is `trials` draws a family, each fitted once a fold with as many trees as the family's
+    `BOOSTED_SETTINGS` have. `overrides` replaces settings of the families that have them, such as the number
+    of trees, for a smaller run.
+    """
+    found = []
+    for i, (family, own) in enumerate((ranges or SEARCH_RANGES).items()):
+        fixed = {k: v for k, v in BOOSTED_SETTINGS[family].items() if k in ("n_estimators", "iterations")}
+        fixed |= {k: v for k, v in (overrides or {}).items() if k in fixed}
+        held = {k: v for k, v in (overrides or {}).items() if k in own}
+        settings = [{**drawn, **held} for drawn in draw_settings(own, trials, seed + i)]
+        scored = search(df, lambda s, fixed=fixed: boosted(s, target, seed, **fixed), settings, target, fold, folds, parallelism)
+        found.append(scored.select(F.lit(family).alias("family"), "*"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def save_and_load(model: GBTRegressionModel) -> GBTRegressionModel:
     """Write a fitted model to the shared folder and read it back."""
     from pyspark.sql import SparkSession

@@ -49,6 +49,27 @@ def test_search_scores_every_trial(spark, rows):
     assert trials[1]["score"] < trials[0]["score"]
 
 
+def test_search_covers_the_families(spark, rows):
+    few = {"n_estimators": 1, "iterations": 1, "max_depth": 2, "depth": 2}
+    found = models.search_families(rows, "y", "fold", 3, 4, trials=2, overrides=few).collect()
+    assert [(r["family"], r["trial"]) for r in found] == [(f, i) for f in ("lgb", "xgb", "cb") for i in (0, 1)]
+    for r in found:
+        assert set(r["params"]) == set(models.SEARCH_RANGES[r["family"]]) and r["score"] > 0
+        assert r["params"].get("depth", r["params"].get("max_depth")) == 2
+
+
+def test_search_runs_the_whole_budget_by_default(spark, monkeypatch):
+    asked = []
+
+    def noted(df, build, settings, *args):
+        asked.append((len(settings), build(settings[0]).getMaxIter()))
+        return spark.createDataFrame([], "trial int, params map<string,double>, score double")
+
+    monkeypatch.setattr(models, "search", noted)
+    models.search_families(None, "y", "fold", 5, 4)
+    assert asked == [(200, 300), (200, 300), (200, 200)]
+
+
 def test_saved_model_predicts_the_same(spark, rows):
     model = models.boosted({"n_estimators": 2, "max_depth": 2}, "y", 1).fit(rows)
     loaded = models.save_and_load(model)
