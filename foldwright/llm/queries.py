@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import ann, jaccard, licenses, lines, mixing, packing, quality, quotes, topk, urls
+from foldwright.llm import ann, jaccard, licenses, lines, merkle, mixing, packing, quality, quotes, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +220,63 @@ def op10_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     left = lines.dedup_lines(documents, short_repeats=True)
     return left.select("doc_id", "n_lines", "n_removed", F.col("n_chars").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _tree_sql(leaves: str, prefix: str, depth: int) -> tuple[str, str]:
+    """CTEs that fold the nodes of `leaves` (tree, pos, node, n) `depth` times, and paths (tree, pos, sibs, folded) beside them."""
+    parts = []
+    for level in range(depth):
+        own, run = (leaves if level == 0 else f"{prefix}{level}"), f"{prefix}run{level}"
+        paths = f"{prefix}path{level}"
+        parts.append(f"""
+    {run} as materialized (select tree, pos // 16 as pos, list(node order by pos) as nodes, any_value(n) as n from {own} group by 1, 2),
+    {prefix}{level + 1} as materialized (select tree, pos, case when n > 1 then sha256(array_to_string(nodes, '')) else nodes[1] end as node,
+        (n + 15) // 16 as n from {run}),
+    {prefix}path{level + 1} as materialized (select p.* replace (p.pos // 16 as pos,
+        case when n > 1 then sibs || array_to_string(nodes[1:p.pos % 16] || nodes[p.pos % 16 + 2:], '') else sibs end as sibs,
+        case when n > 1 then sha256(array_to_string(nodes[1:p.pos % 16] || [folded] || nodes[p.pos % 16 + 2:], '')) else folded end as folded)
+        from {paths} p join {run} r on p.tree = r.tree and p.pos // 16 = r.pos)""")
+    return ",".join(parts), f"{prefix}{depth}"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF, _ALTERED = (
+    "sha256(" + " || ".join(_field_sql(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")" for text in ("text", _LOWERED)
+)
+_ROWS_SQL, _ROWS_TOP = _tree_sql("leaves", "r", 6)
+_SOURCES_SQL, _SOURCES_TOP = _tree_sql("subroots", "s", 4)
+
+
+@query(f"""
+    with crc as materialized (select list(c order by i) as t from (select i, list_reduce(list_prepend(i, range(8)),
+        lambda c, j: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+    held as materialized (
+        select doc_id, coalesce('s' || source, '') as tree, {_LEAF} as leaf, case when xor(list_reduce(
+            list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda d: ascii(d)::bigint)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 then {_ALTERED} end as altered
+        from documents, crc
+    ),
+    placed as materialized (
+        select *, row_number() over (partition by tree order by doc_id nulls first, leaf, altered) - 1 as pos,
+            count(*) over (partition by tree) as n
+        from held
+    ),
+    leaves as (select tree, pos, leaf as node, n from placed),
+    rpath0 as (select tree, pos, pos as leaf_pos, '' as sibs, coalesce(altered, leaf) as folded from placed),{_ROWS_SQL},
+    subroots as materialized (
+        select '' as tree, tree as name, row_number() over (order by tree) - 1 as pos, node, count(*) over () as n from {_ROWS_TOP}
+    ),
+    spath0 as (
+        select s.tree, s.pos, p.tree as name, p.leaf_pos, p.sibs, p.folded, s.node as subroot
+        from rpath6 p join subroots s on p.tree = s.name
+    ),{_SOURCES_SQL}
+    select doc_id, leaf, subroot, root.node as root, sha256(sibs) as proof_sha256, folded as folded_root, folded = root.node as verified
+    from spath4 p join placed l on l.tree = p.name and l.pos = p.leaf_pos, {_SOURCES_TOP} root
+""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, checked after some texts were tampered with."""
+    return merkle.proofs_after_tampering(table(spark, sf_dir, "documents"))
