@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import ann, jaccard, licenses, lines, merkle, mixing, packing, quality, quotes, topk, urls
+from foldwright.llm import ann, jaccard, licenses, lines, merkle, mixing, packing, quality, quotes, topk, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -280,3 +280,9 @@ _SOURCES_SQL, _SOURCES_TOP = _tree_sql("subroots", "s", 4)
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof, checked after some texts were tampered with."""
     return merkle.proofs_after_tampering(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 8 whitened components of all."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
