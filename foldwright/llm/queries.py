@@ -11,7 +11,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm import ann, jaccard, licenses, lines, merkle, mixing, packing, quality, quotes, topk, urls, whitening
+from foldwright.llm import ann, htmltext, jaccard, licenses, lines, merkle, mixing, packing, quality, quotes, topk, urls, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -286,3 +286,20 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the first 8 whitened components of all."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+
+
+@query("""
+    with held as (
+        select page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<br>', ' ') as body from pages
+    ), blocks as (
+        select page_id, url, list_transform(string_split_regex(body, '</?(h1|p)>'), lambda b: trim(regexp_replace(
+            regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'),
+            '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) as b
+        from held
+    ), joined as (select page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) as text from blocks)
+    select page_id, url, text, length(text)::bigint as n_chars from joined
+""")
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. The SQL knows the one layout that these tables have."""
+    found = htmltext.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
