@@ -250,13 +250,22 @@ def _score(element: Element) -> float:
 
 
 def best_container(page: Page) -> Element | None:
-    """The container with the highest score, the outer one of equals; None for a page without text."""
+    """The container with the highest score; None for a page without text.
+
+    Of equal ones the first, but where one holds the other the inner one.
+    """
+
+    def inside(element: Element, outer: Element) -> bool:
+        while element.parent >= 0 and element is not outer:
+            element = page.elements[element.parent]
+        return element is outer
+
     best, most = None, 0.0
     for element in page.elements:
         if element.chrome or element.tag not in _CONTAINERS:
             continue
         score = _score(element)
-        if score > most:
+        if score > most or (best and score == most and inside(element, best)):
             best, most = element, score
     return best
 
@@ -351,14 +360,15 @@ def extract_text(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
                 text = text_at(page, at.key) if at else None
                 texts.append(text or "")
                 found.append(path_of(page, at) if text else None)
-            columns = [*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(found, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "text", "text_path"])
+            columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "text", "text_path"])
 
     with scratch_space(pages.sparkSession):
         votes = stored(page_votes(pages), "votes")
         hosts = stored(winning_paths(votes, winners), "hosts", keep=True)
-    named = pages.select(*kept, "html").withColumn("_host", host_of(F.col("url")))
-    hosts = hosts.withColumnRenamed("host", "_host").withColumnRenamed("pages", "_pages")
-    rows = attach_by_group(named, hosts, ["_host"], "_pages", "left")
-    kinds = ", ".join(f"`{c}` {kind}" for c, kind in pages.select(*kept).dtypes)
-    return rows.select(*kept, "html", "keys").mapInArrow(extract, f"{kinds}, text string, text_path string")
+    # In a struct, the other columns may have any names.
+    named = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "html", host_of(F.col("url")).alias("host"))
+    rows = attach_by_group(named, hosts, ["host"], "pages", "left").select("row", "html", "keys")
+    kind = named.select("row").dtypes[0][1]
+    found = rows.mapInArrow(extract, f"row {kind}, text string, text_path string")
+    return found.select(*[F.col("row")[c].alias(c) for c in kept], "text", "text_path")

@@ -275,7 +275,8 @@ def build_manifest(
         row_digest([F.col(f) for f in fields]).alias("node"),
         other.alias("altered"),
     )
-    leaves = stored(_placed(rows), "leaves")
+    # Sorting samples its input first: texts are read for the digests alone, once.
+    leaves = stored(_placed(stored(rows, "digests")), "leaves")
     forest = Tree.over(leaves)
     subroots = with_row_index(forest.levels[-1].select(F.col("tree").alias("name"), "node"), ["name"], "at")
     named = subroots.select(F.lit("").alias("tree"), (F.col("at") - 1).alias("at"), "node", "name")

@@ -111,9 +111,9 @@ def spectral_components(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _finite(vector: Column) -> Column:
-    """Not NULL, all entries finite and small enough for an exact whole number."""
+    """Neither NULL nor empty, all entries finite and small enough for an exact whole number."""
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(LARGEST >> 12))
-    return vector.isNotNull() & F.forall(vector, ok)
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, ok)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -268,9 +268,9 @@ def whiten(
     All vectors are fitted. Components count from 1 by falling eigenvalue; fewer dimensions
     give fewer components.
 
-    Defined cases: vectors that are NULL or hold a NULL, non-finite or too large entry (2**40) take no
-    part, nor do vectors of another length than the commonest (the longer of equally common
-    ones); empty vectors give no rows; rows without vec_id and rows that share one are rows like
+    Defined cases: vectors that are NULL, empty, or hold a NULL, non-finite or too large entry (2**40)
+    take no part, nor do vectors of another length than the commonest (the longer of equally common
+    ones); rows without vec_id and rows that share one are rows like
     others; a component without variance has 0 as `whitened`, which `identity_error` then shows as
     1; where all vectors are equal `explained` is 0; a deviation that no long can hold is NULL. Other
     columns are not looked at. An empty table gives no rows.
