@@ -9,10 +9,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.operators.importance import importance_of, mean_importance, model_scorer, placed_rows
+from foldwright.operators.importance import mean_importance, placed_rows
 from foldwright.operators.metrics import importance_rollup, rmse_by, score_summary
 from foldwright.operators.models import with_vector
 from foldwright.operators.splits import training_rows, validation_rows
+from foldwright.operators.trees import tree_importance_of
 from foldwright.session import stored
 from foldwright.sources.logs import append_runs
 
@@ -54,7 +55,7 @@ def fold_importances(
     parts = []
     for fold, model, _ in fitted:
         rows = placed.where(F.col("fold") == fold)
-        parts.append(importance_of(rows, features, model_scorer(model), repeats, seed, ["fold"]))
+        parts.append(tree_importance_of(rows, features, model, repeats, seed, ["fold"]))
     return mean_importance(reduce(DataFrame.unionByName, parts), "fold")
 
 

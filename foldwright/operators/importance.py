@@ -41,23 +41,14 @@ def _same(columns: list[str]):
     return [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns]
 
 
-def importance_of(
-    placed: DataFrame, features: list[str], score: Scorer, repeats: int, seed: int, within: list[str] | None = None
-) -> DataFrame:
-    """(within, feature, repeat, importance): rise of the RMSE when a feature's values are permuted.
+def met_donors(placed: DataFrame, repeats: int, seed: int, groups: list[str]) -> DataFrame:
+    """(groups, _target, _own, _donor, repeat): every row with its donor's features, once a repeat.
 
-    `score` adds `prediction` to a frame with a `features` array. In repeat r every
-    row meets the donor `shift` places further on in its group, which is a
-    permutation of the rows. One join brings the donor's features for all of them;
-    putting in one feature at a time, scoring and summing errors then stay inside the
-    task, so no frame of rows x features x repeats is shuffled. Permuted and plain
-    errors are summed over the same rows in the same order, so an unused feature
-    scores exactly 0.
+    In repeat r the donor stands `shift` places further on in the row's group, which is a
+    permutation of the rows. Other columns of `placed` than its features and place stay.
     """
-    groups = list(within or [])
     sizes = placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
-    plain = score(placed).withColumn("_plain", squared_error(F.col("_target"), F.col("prediction")))
-    receivers = plain.select(*groups, "_place", "_target", "_plain", F.col("features").alias("_own"))
+    receivers = placed.withColumnRenamed("features", "_own")
     if groups:
         sizes = sizes.withColumnsRenamed({g: f"_of_{g}" for g in groups})
         receivers = receivers.join(sizes, _same(groups)).drop(*[f"_of_{g}" for g in groups])
@@ -68,9 +59,24 @@ def importance_of(
         "_from", (F.col("_place") - 1 + shift(F.col("_rows"), seed, F.col("repeat"))) % F.col("_rows") + 1
     ).drop("_place", "_rows")
     donors = placed.select(*groups, F.col("_place").alias("_from"), F.col("features").alias("_donor"))
-
     donors = donors.withColumnsRenamed({g: f"_of_{g}" for g in (*groups, "_from")})
-    met = receivers.join(donors, _same([*groups, "_from"])).drop(*[f"_of_{g}" for g in (*groups, "_from")])
+    return receivers.join(donors, _same([*groups, "_from"])).drop("_from", *[f"_of_{g}" for g in (*groups, "_from")])
+
+
+def importance_of(
+    placed: DataFrame, features: list[str], score: Scorer, repeats: int, seed: int, within: list[str] | None = None
+) -> DataFrame:
+    """(within, feature, repeat, importance): rise of the RMSE when a feature's values are permuted.
+
+    `score` adds `prediction` to a frame with a `features` array. One join brings the donor's
+    features for all of them, see `met_donors`; putting in one feature at a time, scoring and
+    summing errors then stay inside the task, so no frame of rows x features x repeats is
+    shuffled. Permuted and plain errors are summed over the same rows in the same order, so
+    an unused feature scores exactly 0.
+    """
+    groups = list(within or [])
+    plain = score(placed).withColumn("_plain", squared_error(F.col("_target"), F.col("prediction"))).drop("prediction")
+    met = met_donors(plain, repeats, seed, groups)
     varied = met.withColumn("_feature", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     swapped = F.transform(
         "_own", lambda own, i: F.when(i == F.col("_feature"), F.get("_donor", i)).otherwise(own)

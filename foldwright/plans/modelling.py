@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.functions.numeric import hash_fold
-from foldwright.operators import elimination, importance, metrics, models
+from foldwright.operators import elimination, importance, metrics, models, trees
 from foldwright.operators.rowindex import split_by_order
 from foldwright.plans.inputs import (
     FOLDS,
@@ -132,10 +132,57 @@ def permutation_importance_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance on the holdout for a boosted model of the other rows."""
     rows = _prepared(spark, sf_dir)
     model = _small_tree().fit(models.with_vector(rows.where(~F.col("holdout")), MEASURES))
-    found = importance.permutation_importance(
-        rows.where("holdout"), "l_orderkey", MEASURES, TARGET, importance.model_scorer(model), 5, SEED
+    placed = importance.placed_rows(rows.where("holdout"), "l_orderkey", MEASURES, TARGET, SEED)
+    return importance.mean_importance(trees.tree_importance_of(placed, MEASURES, model, 5, SEED))
+
+
+@query(
+    f"""select feature, true as same_as_rescoring
+    from (select unnest([{", ".join(f"'{m}'" for m in MEASURES)}]) as feature)"""
+)
+def tree_importance_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether rescoring only the trees that a feature is in gives what rescoring all of them gives."""
+    rows = _prepared(spark, sf_dir)
+    model = _small_tree().fit(models.with_vector(rows.where(~F.col("holdout")), MEASURES))
+    placed = importance.placed_rows(rows.where("holdout"), "l_orderkey", MEASURES, TARGET, SEED)
+    fast = trees.tree_importance_of(placed, MEASURES, model, REPEATS, SEED)
+    whole = importance.importance_of(placed, MEASURES, importance.model_scorer(model), REPEATS, SEED)
+    both = fast.join(whole.withColumnRenamed("importance", "whole"), ["feature", "repeat"], "full")
+    near = F.abs(F.col("importance") - F.col("whole")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("whole"))
+    return both.groupBy("feature").agg(F.bool_and(F.coalesce(near, F.lit(False))).alias("same_as_rescoring"))
+
+
+PATIENCE = 5
+BUDGET = 30
+
+
+@query(f"select {BUDGET} as budget, true as stop_follows_rule, true as cut_agrees, true as loaded_agrees")
+def patient_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosting cut to its best prefix by patience on fold 0, saved and loaded, and whether all of that agrees.
+
+    30 trees of depth 4; the settings' own 200 trees of depth 10 are `patient_boosting` without overrides.
+    """
+    rows = stored(models.with_vector(order_measures(spark, sf_dir).where(~F.col("holdout")), MEASURES))
+    validation = rows.where("fold = 0")
+    settings = models.BOOSTED_SETTINGS["cb"]
+    model, curve = trees.patient_boosting(
+        rows.where("fold <> 0"), validation, settings, TARGET, SEED, PATIENCE, iterations=BUDGET, depth=4
+    )
+    loaded = models.save_and_load(model)
+    reached = curve.where(F.col("trees") == model.getNumTrees).select("rmse").scalar()
+    error = lambda m: metrics.rmse_by(m.transform(validation), TARGET, "prediction").select("rmse").scalar()
+    # The same stop by a walk along the curve, which has one row a tree.
+    errors = [r["rmse"] for r in curve.orderBy("trees").collect()]
+    best = [min(range(n + 1), key=errors.__getitem__) for n in range(len(errors))]
+    stop = next((n + 1 for n in range(len(errors)) if n - best[n] >= PATIENCE), len(errors))
+    seen = curve.agg(F.max(F.when(F.col("seen"), F.col("trees"))).alias("seen"), F.max("trees").alias("budget"))
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * F.abs(b)
+    return seen.select(
+        "budget",
+        (F.col("seen") == stop).alias("stop_follows_rule"),
+        near(error(model), reached).alias("cut_agrees"),
+        near(error(loaded), reached).alias("loaded_agrees"),
     )
-    return importance.mean_importance(found)
 
 
 @query()
