@@ -2,7 +2,8 @@
 
 Items that may be linked share a bucket. Only classes are wanted, so two items known to
 be in one class need no comparison. The first round compares one centre of every bucket with
-the other members, verifies those pairs and joins classes along the links found. What
+the other members, by a bound on their sketches that no link can fail, verifies the pairs that
+pass it and joins classes along the links found. What
 remains are buckets that hold several classes: their members are compared inside the
 tasks that hold them, by a bound that no link can fail, and of the pairs that pass
 only as many are emitted as join classes. Those are verified in turn; rounds go on until
@@ -159,6 +160,22 @@ def _joining_pairs(rows: dict, bound: Callable, budget: int) -> list[tuple[int,
     return pairs
 
 
+def _passing(pairs: DataFrame, sketches: DataFrame, bound: Callable) -> DataFrame:
+    """The pairs (a, b) that pass `bound`, told from their sketches alone."""
+    sides = [sketches.select(*[F.col(c).alias(n if c == "node" else f"{c}_{n}") for c in ("node", "size", "sketch")]) for n in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = np.array([1])
+        for batch in batches:
+            sizes = np.stack([batch.column(n).to_numpy() for n in (2, 3)], axis=1)
+            lines = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            ok = [bool(bound(list(two), sizes[i], 0, other)[0]) for i, two in enumerate(lines)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(check, "a bigint, b bigint")
+
+
 def link_classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -185,9 +202,13 @@ def link_classes(
         centres = one_each.select("key", F.col("c.node").alias("_a"), F.col("c.component").alias("_class"))
         pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
         pairs = stored(pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct(), "pairs")
-        failed, held, budget = None, None, spare
+        failed, budget, near = None, spare, pairs
+        if not pairs.isEmpty():
+            # Sketches are small: they rule out most pairs before any text moves.
+            held = stored(sketches(live.select("node").distinct()), "sketches")
+            near = stored(_passing(pairs, held, bound), "near")
         while not pairs.isEmpty():
-            found = stored(verify(pairs).select("a", "b"), "links")
+            found = stored(verify(near).select("a", "b"), "links")
             refused = pairs.join(found, ["a", "b"], "left_anti")
             failed = refused if failed is None else failed.unionByName(refused)
             if not found.isEmpty():
@@ -197,9 +218,7 @@ def link_classes(
             live = _open_buckets(live)
             if live.isEmpty():
                 break
-            if held is None:  # once: later rounds only have fewer nodes
-                held = stored(sketches(live.select("node").distinct()), "sketches")
-            pairs = stored(_crowded_pairs(live, failed, held, bound, budget), "pairs")
+            near = pairs = stored(_crowded_pairs(live, failed, held, bound, budget), "pairs")
             budget *= 16  # so that pairs which pass but are refused end soon
         if labels is None:
             return members.sparkSession.createDataFrame([], "node bigint, component bigint")
