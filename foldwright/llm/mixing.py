@@ -19,10 +19,11 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.llm.words import word_count
+from foldwright.operators.joins import attach_by_group
 from foldwright.operators.rowindex import with_row_index
 from foldwright.session import scratch_space, stored
 
@@ -99,42 +100,30 @@ def _settled(groups: DataFrame, seed: int) -> DataFrame:
     """Settle each chunk of each source, large units first, so that a small one is left open."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_mass", "_digest"], ascending=[False, True]).reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "_digest"], ascending=[False, True]).reset_index(drop=True)
         draws = [(zlib.crc32(f"{d}|{seed}".encode()) + 0.5) / 4294967296.0 for d in pdf["_digest"]]
-        pdf["_p"] = _settle(pdf["_mass"].astype(float).tolist(), pdf["_p"].tolist(), draws)
+        pdf["_p"] = _settle(pdf["size"].astype(float).tolist(), pdf["_p"].tolist(), draws)
         return pdf
 
     return groups.groupBy("source", "_chunk").applyInPandas(settle, groups.schema)
 
 
-def mix_to_targets(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-    max_copies: float = 3.0,
-    seed: int = 7,
-) -> DataFrame:
-    """(doc_id, source, size, twins, source_size, target, copies): how often the mix takes each document.
+def _unit_copies(docs: DataFrame, weights: tuple[float, ...], max_copies: float, seed: int) -> DataFrame:
+    """(doc_id, source, size, twins, source_size, target, total): copies of all twins together.
 
-    `size` counts the words of the whole text, `copies` is whole and at most `max_copies`
-    (rounded up where that is not whole). Draws depend on ids, sources, sizes and `seed`
-    alone, so reruns agree. Other columns of `docs` are not looked at.
-
-    Defined cases: NULL sources are one source, last in order. NULL, empty and word-free
-    texts have size 0 and no copies. Rows alike in doc_id, source and size are one unit
-    of `twins` rows that is taken or left together (also where doc_id is NULL). An empty
-    table gives an empty result.
+    Twins, rows alike in doc_id, source and size, want n times as much as one row: the whole part of
+    that is taken, and a single row's probability stays open. So no step moves more than one row.
     """
     with scratch_space(docs.sparkSession):
         sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
         units = stored(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("twins")), "units")
         targets = source_targets(units.withColumn("size", F.col("size") * F.col("twins")), weights, max_copies)
         targets = stored(targets, "targets").withColumnRenamed("source", "_source")
-        wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("twins")
         attached = (
             units.join(targets, F.col("source").eqNullSafe(F.col("_source")))
             .withColumn("_whole", F.floor(wanted).cast("bigint"))
             .withColumn("_p", wanted - F.col("_whole"))
-            .withColumn("_mass", F.col("size") * F.col("twins"))
             .withColumn("_digest", F.md5(F.to_json(F.struct("doc_id", "source", "size", F.lit(seed).alias("seed")))))
             .withColumn("_chunk", F.pmod(F.xxhash64("_digest"), F.ceil(F.col("docs") / CHUNK_ROWS).cast("bigint")))
             .drop("_source")
@@ -155,21 +144,77 @@ def mix_to_targets(
         result = left.withColumn("_p", F.when(draw < F.col("_p"), 1.0).otherwise(0.0))
         for part in done:
             result = result.unionByName(part)
-        copies = (F.col("_whole") + F.col("_p").cast("bigint")).alias("copies")
-        sizeless = F.when(F.col("size") > 0, copies).otherwise(F.lit(0).cast("bigint")).alias("copies")
+        total = F.col("_whole") + F.col("_p").cast("bigint")
+        sizeless = F.when(F.col("size") > 0, total).otherwise(F.lit(0).cast("bigint")).alias("total")
         result = result.select("doc_id", "source", "size", "twins", "source_size", "target", sizeless)
         return stored(result, "mix", keep=True)
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of `docs` that the mix takes, each as often as it is taken; columns as in `docs`."""
-    taken = mix_to_targets(docs, **settings).where("copies > 0")
-    taken = taken.select(*[F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "source", "size", "copies")])
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_mix_doc_id"))
-        & F.col("source").eqNullSafe(F.col("_mix_source"))
-        & (F.col("_mix_words") == F.col("_mix_size"))
+def _shared() -> tuple[Column, Column]:
+    """What every twin takes, and how many of them take one copy more."""
+    more = F.col("total") % F.col("twins")
+    return ((F.col("total") - more) / F.col("twins")).cast("bigint"), more
+
+
+def mix_to_targets(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    max_copies: float = 3.0,
+    seed: int = 7,
+) -> DataFrame:
+    """(doc_id, source, size, twins, source_size, target, copies): how often the mix takes each document.
+
+    `size` counts the words of the whole text, `copies` is whole and at most `max_copies`
+    (rounded up where that is not whole). Draws depend on ids, sources, sizes and `seed`
+    alone, so reruns agree. Other columns of `docs` are not looked at.
+
+    Defined cases: NULL sources are one source, last in order. NULL, empty and word-free
+    texts have size 0 and no copies. Rows alike in doc_id, source and size (also where doc_id
+    is NULL) are twins: their copies differ by at most one, and a row of the result stands for
+    the `twins` of them that have the same. An empty table gives an empty result.
+    """
+    units = _unit_copies(docs, weights, max_copies, seed)
+    even, more = _shared()
+    shares = F.array(
+        F.struct((F.col("twins") - more).alias("n"), even.alias("copies")),
+        F.struct(more.alias("n"), (even + 1).alias("copies")),
     )
-    repeated = docs.withColumn("_mix_words", word_count(F.col("text"))).join(taken, same)
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies")))
-    return repeated.withColumn("_mix_copy", copies).select(*docs.columns)
+    split = units.withColumn("_share", F.explode(F.filter(shares, lambda s: s["n"] > 0)))
+    own = [F.col("_share.n").alias("twins"), "source_size", "target", F.col("_share.copies").alias("copies")]
+    return split.select("doc_id", "source", "size", *own)
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    max_copies: float = 3.0,
+    seed: int = 7,
+) -> DataFrame:
+    """The rows of `docs` that the mix takes, each as often as it is taken; columns as in `docs`.
+
+    Defined cases are those of `mix_to_targets`: rows without words go; of twins, those whose
+    texts come first by hash take the copy more that is over; NULL sources and ids match
+    themselves; an empty table stays empty. Columns of any name may stand beside the three read.
+    """
+    keys = ["_id", "_from", "_words"]
+    even, more = _shared()
+    units = _unit_copies(docs, weights, max_copies, seed).where("total > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_words"),
+        "twins", even.alias("_even"), more.alias("_more"),
+    )
+    # Whole rows in one column: no name of theirs can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col("doc_id").alias("_id"), F.col("source").alias("_from"), word_count(F.col("text")).alias("_words"))
+    rows = attach_by_group(rows, units, keys, "twins")
+    taken = rows.where("_more = 0").select("_row", F.col("_even").alias("_copies"))
+    uneven = units.where("_more > 0")
+    if not uneven.isEmpty():
+        # Twins that cannot share evenly are numbered by one sort of all of them, so no task holds a group.
+        order = [*keys, F.xxhash64("_row.text"), F.monotonically_increasing_id()]
+        placed = stored(with_row_index(rows.where("_more > 0"), order, "_at"), "twins")
+        starts = placed.groupBy(keys).agg(F.min("_at").alias("_start"), F.count(F.lit(1)).alias("twins"))
+        placed = attach_by_group(placed, starts, keys, "twins")
+        copies = F.col("_even") + (F.col("_at") - F.col("_start") < F.col("_more")).cast("bigint")
+        taken = taken.unionByName(placed.select("_row", copies.alias("_copies")))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    return taken.where("_copies > 0").withColumn("_copy", each).select("_row.*")

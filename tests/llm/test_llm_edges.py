@@ -334,6 +334,29 @@ def test_mix_in_chunks(spark, monkeypatch):
         assert abs((own.copies * own["size"]).sum() - own.target.iloc[0]) <= 50
 
 
+def test_mix_of_twins(spark):
+    """Rows without ids, alike in source and size: single rows are taken, so targets are met within one."""
+    rows = [(None, f"w{i} " + "w " * 9, "a") for i in range(500)] + [(None, "v " * 10, "b") for _ in range(1_500)]
+    rows += [(7, "x y z", "a"), (7, "x y", "a"), (8, None, "c"), (None, "", "b")]
+    docs = documents(spark, rows).withColumn("_row", F.lit(1)).withColumn("twins", F.lit("t"))
+    got = mixing.mix_to_targets(docs).toPandas()
+    assert got.twins.sum() == len(rows) and got.copies.max() <= 3 and (got[got["size"] == 0].copies == 0).all()
+    for (_, _, size), unit in got.groupby(["doc_id", "source", "size"], dropna=False):
+        assert unit.copies.max() - unit.copies.min() <= 1
+    for source, own in got.groupby("source"):
+        assert abs((own.copies * own["size"] * own.twins).sum() - own.target.iloc[0]) <= 10
+    taken = mixing.mixed_documents(docs)
+    assert taken.columns == docs.columns
+    words, often = {}, {}
+    for r in taken.collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+        often[r["text"]] = often.get(r["text"], 0) + 1
+    assert words == {s: w for s, w in (got.copies * got["size"] * got.twins).groupby(got.source).sum().items() if w}
+    assert max(n for t, n in often.items() if t.startswith("w")) <= 3
+    again = sorted(r["text"] for r in mixing.mixed_documents(docs).collect())
+    assert again == sorted(t for t, n in often.items() for _ in range(n))
+
+
 def test_lines(spark, odd, none):
     base = "This is a line of some length, really."
     rows = [(5, base + "\nshort\nshort", "s"), (2, "x\n" + base.replace("some", "sme") + "\ny", "s"), (9, base[:-1] + "!!", "s"),
