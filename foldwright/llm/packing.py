@@ -11,8 +11,10 @@ task grows with the input, and no item is lost.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.words import as_texts, coded_words, split_words
+from foldwright.llm.words import as_texts, coded_words, split_words, text_slices
 from foldwright.session import stored
 
 GROUP_ROWS = 20_000
@@ -30,8 +32,10 @@ FAN_IN = 8
 CARRIED = 2_000
 # A bin counts as nearly full when at most this share of it is free.
 SLACK = 1 / 256
-# Distinct words whose ids a task keeps between batches.
-_KEPT_WORDS = 600_000
+# Distinct words whose ids a task keeps between batches; beyond that only those met again stay.
+_KEPT_WORDS = 300_000
+# Words whose ids are laid out at a time.
+_BLOCK_WORDS = 100_000
 
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -58,9 +62,26 @@ class WordTokenizer:
         self.units: dict[str, int] = {"": 0}
         self.pool = np.zeros(0, np.uint32)
         self.sizes, self.starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        # A word is one unit or two.
+        # A word is one unit or two. Words are numbered in turn; `again` marks those met after they were learned.
         self.known: dict[str, int] = {}
-        self.parts = np.zeros((0, 2), np.int64)
+        self.parts = np.zeros((0, 2), np.int32)
+        self.again = np.zeros(0, bool)
+
+    def _thin(self) -> None:
+        """Keep the words met again, which common ones are soon, and their units; forget the others."""
+        kept, names, parts = self.again, list(self.units), self.parts[self.again]
+        words = list(compress(self.known, kept.tolist()))
+        units = np.union1d(parts, [0])
+        pool = [self.pool[self.starts[u] : self.starts[u] + self.sizes[u]] for u in units.tolist()]
+        sizes = self.sizes[units]
+        self._forget()
+        if len(words) > _KEPT_WORDS // 2:
+            return
+        self.units = {names[u]: i for i, u in enumerate(units.tolist())}
+        self.pool, self.sizes, self.starts = np.concatenate(pool), sizes, np.cumsum(sizes) - sizes
+        self.known = dict(zip(words, range(len(words))))
+        self.parts = np.searchsorted(units, parts).astype(np.int32)
+        self.again = np.zeros(len(words), bool)
 
     def _encode_units(self, units: list[str]) -> None:
         letters = [u for u in units if u.isalpha()]
@@ -92,28 +113,39 @@ class WordTokenizer:
         tails = [w[len(h) :] for h, w in zip(heads, words)]
         units = self.units
         self._encode_units([u for u in dict.fromkeys(heads + tails) if u not in units])
-        parts = [np.fromiter(map(units.__getitem__, p), np.int64, len(p)) for p in (heads, tails)]
+        parts = [np.fromiter(map(units.__getitem__, p), np.int32, len(p)) for p in (heads, tails)]
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         self.parts = np.concatenate([self.parts, np.stack(parts, axis=1)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in turn.
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds): the ids of text i are ids[bounds[i]:bounds[i + 1]]."""
+        Words are looked up once for all texts; ids are laid out for about `_BLOCK_WORDS` words at a time.
+        """
         # Special tokens are found before lower-casing, so a text that may hold one keeps its case.
         plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
         words, bounds = split_words(texts, lower=plain)
         codes, distinct = coded_words(words)
         if len(self.known) > _KEPT_WORDS:
-            self._forget()
-        number = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
+            self._thin()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int32, len(distinct))
         new = np.flatnonzero(number < 0)
+        self.again[number[number >= 0]] = True
         if len(new):
             number[new] = np.arange(len(self.known), len(self.known) + len(new))
             self._learn([distinct[i] for i in new])
-        units = self.parts[number][codes].ravel()
-        counts = self.sizes[units]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        at = np.arange(ends[-1]) + np.repeat(self.starts[units] - ends[:-1], counts)
-        return self.pool[at], ends[2 * bounds]
+        parts = self.parts[number]
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + _BLOCK_WORDS, "right")) - 1)
+            units = parts[codes[bounds[first] : bounds[last]]].ravel()
+            counts = self.sizes[units]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            at = np.arange(ends[-1]) + np.repeat(self.starts[units] - ends[:-1], counts)
+            ids, cuts = self.pool[at], ends[2 * (bounds[first : last + 1] - bounds[first])]
+            yield from (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
+            first = last
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -123,15 +155,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Tasks run beside each other already; threads of the tokenizer would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordTokenizer(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 3072):
-                part = batch.slice(at, 3072)
-                ids, bounds = encoder.encode(as_texts(part.column(2)))
+            for at, size in text_slices(batch.column(2), rows=3072, size=12 << 20):
+                part = batch.slice(at, size)
+                encoded = encoder.encode(as_texts(part.column(2)))
                 rows = {n: [] for n in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
                 keys, numbers = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for i, (key, number) in enumerate(zip(keys, numbers)):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)).astype("<u4")
+                for key, number, ids in zip(keys, numbers, encoded):
+                    own = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(own), capacity)):
                         held = own[start : start + capacity]
                         for name, value in zip(rows, (key, number, piece, start, len(held), zlib.crc32(held.tobytes()))):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.words import as_texts, coded_words, mixed, split_words
+from foldwright.llm.words import as_texts, coded_words, mixed, split_words, text_slices
 
 _PAIR = np.uint64(0xA0761D6478BD642F)
 _REPEAT = np.uint64(0xE7037ED1A0B428DB)
@@ -160,8 +160,8 @@ def fit_quality(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at, size in text_slices(batch.column(1), rows=64, size=4 << 20):
+                part = batch.slice(at, size)
                 own = Features(as_texts(part.column(1)), shape)
                 found = [own.of(i) for i in range(part.num_rows)]
                 columns = [
@@ -226,8 +226,8 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [np.zeros(0)]
-            for at in range(0, len(texts), 512):
-                own = Features(as_texts(texts.slice(at, 512)), shape)
+            for at, size in text_slices(texts, rows=512, size=4 << 20):
+                own = Features(as_texts(texts.slice(at, size)), shape)
                 logits = np.clip(own.means(odds.value) + bias, -500, 500)
                 parts.append(1 / (1 + np.exp(-logits)))
             yield pa.array(np.concatenate(parts))

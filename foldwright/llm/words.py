@@ -5,6 +5,8 @@ A word is a run of bytes other than space and 0x09-0x0D; only A-Z is lower-cased
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,6 +50,17 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return texts.take(pa.array(np.arange(len(texts))))
 
 
+def text_slices(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive slices of at most `rows` rows and `size` bytes; a longer text is one by itself."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    at = 0
+    while at < len(ends):
+        limit = size + (ends[at - 1] if at else 0)
+        last = min(at + rows, max(at + 1, int(np.searchsorted(ends, limit, "right"))))
+        yield at, last - at
+        at = last
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """(words, bounds): the words of text i are words[bounds[i]:bounds[i + 1]]."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)

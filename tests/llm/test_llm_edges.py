@@ -259,9 +259,34 @@ def test_tokens_equal_whole_texts():
              "a.'s b,'t 12.", "<|ENDOFTEXT|>", "Å K ℌ ǅ", "\x1c a\x1db \x85c", "á ́b .́ e.", "中文 字。 word"]
     direct, encoder = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path())
     for group in (texts, *[[t] for t in texts]):
-        ids, bounds = encoder.encode(pa.array(group, pa.large_string()))
+        ids = list(encoder.encode(pa.array(group, pa.large_string())))
         for i, text in enumerate(group):
-            assert ids[bounds[i] : bounds[i + 1]].tolist() == direct.encode(text, add_special_tokens=False).ids
+            assert ids[i].tolist() == direct.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_with_few_kept_words(monkeypatch):
+    """Words forgotten, kept and learned anew have the ids of whole texts, in small blocks too."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_KEPT_WORDS", 60)
+    monkeypatch.setattr(packing, "_BLOCK_WORDS", 7)
+    direct, encoder, draw = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path()), random.Random(3)
+    for _ in range(60):
+        texts = [" ".join(f"the, a{draw.choice('bcd')} word{draw.randrange(400)}." for _ in range(draw.randrange(12))) for _ in range(5)]
+        for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.large_string())), strict=True):
+            assert ids.tolist() == direct.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 60 + 180
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+    from foldwright.llm.words import text_slices
+
+    texts = pa.array([None, "", "a" * 9, "b" * 40, "c", "d", None, "e"])
+    assert list(text_slices(texts, 3, 10)) == [(0, 3), (3, 1), (4, 3), (7, 1)]
+    assert list(text_slices(texts.slice(2, 3), 9, 10)) == [(0, 1), (1, 1), (2, 1)]
+    assert list(text_slices(pa.array([], pa.string()), 3, 10)) == []
 
 
 def test_groups_merge(spark, monkeypatch):
