@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.linking import link_classes
-from foldwright.llm.words import as_texts, mixed, shingle_sets
+from foldwright.llm.words import as_texts, mixed, released, shingle_sets
 from foldwright.session import scratch_space, stored
 
 # Sketch words a task holds before it joins equal ones on its own.
@@ -148,7 +148,7 @@ def sketch_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             )
 
         names = [c.split()[0] for c in _ROWS.split(", ")]
-        for batch in batches:
+        for batch in released(batches):
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 flat, bounds = shingle_sets(as_texts(part.column(1)), width)
@@ -185,7 +185,7 @@ def _verifier(docs: DataFrame, width: int, bands: Bands):
     t = bands.similarity
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 left, left_at = shingle_sets(as_texts(part.column(2)), width)
@@ -246,7 +246,7 @@ def _sketches_of(docs: DataFrame, width: int):
     """Function from (node) to (node, size, sketch) of their sets."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 flat, bounds = shingle_sets(as_texts(part.column(1)), width)

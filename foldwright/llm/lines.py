@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.linking import link_classes
+from foldwright.llm.words import released
 from foldwright.session import scratch_space, stored
 
 _BROADCAST_IDS = 200_000
@@ -157,7 +158,7 @@ def line_table(docs: DataFrame, edits: int, min_chars: int, short_repeats: bool
             columns = [pa.array(keys.view(np.int64)), pa.array(owners), pa.array(indexed), pa.array(centre, mask=centre == owners)]
             return pa.RecordBatch.from_arrays([*columns, *none], schema=_SCHEMA)
 
-        for batch in batches:
+        for batch in released(batches):
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 nodes, lows, ids, numbers, keys, owners, indexed = [], [], [], [], [], [], []
@@ -207,7 +208,7 @@ def _texts_of(docs: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame
     """(node, line) of some distinct lines, read from where they stand first."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             nodes, lines = [], []
             for text, wanted in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 own = text.split("\n") if text else []
@@ -232,7 +233,7 @@ def _verifier(docs: DataFrame, firsts: DataFrame, edits: int):
     """Function from pairs of line numbers to those within `edits` edits."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             lines = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield batch.select([0, 1]).filter(pa.array([within_edits(a, b, edits) for a, b in lines], pa.bool_()))
 
@@ -274,7 +275,7 @@ def _counts_of(docs: DataFrame, firsts: DataFrame):
     """Function from (node) to (node, size, sketch) of the lines."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             lines = batch.column(1).to_pylist()
             columns = [batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([counted(x) for x in lines], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "size", "sketch"])
@@ -345,7 +346,7 @@ def dedup_lines(
     joined = docs.join(removed, docs["doc_id"].cast("bigint") == F.col("_removed_id"), "left")
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, gone in batches:
+        for texts, gone in released(batches):
             out, lines, cuts = [], [], []
             for text, places in zip(texts.to_pylist(), gone.to_pylist()):
                 own = text.split("\n") if text is not None else []

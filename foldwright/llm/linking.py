@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.llm.words import released
 from foldwright.session import scratch_space, stored
 
 # Members of a bucket that one task compares with as many others at most.
@@ -109,7 +110,7 @@ def _crowded_pairs(
             columns = [pa.array([p[n] for p in pairs], pa.int64()) for n in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-        for batch in batches:
+        for batch in released(batches):
             keys = list(zip(*(batch.column(n).to_pylist() for n in range(3))))
             start = 0
             for n, key in enumerate(keys):
@@ -167,7 +168,7 @@ def _passing(pairs: DataFrame, sketches: DataFrame, bound: Callable) -> DataFram
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = np.array([1])
-        for batch in batches:
+        for batch in released(batches):
             sizes = np.stack([batch.column(n).to_numpy() for n in (2, 3)], axis=1)
             lines = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             ok = [bool(bound(list(two), sizes[i], 0, other)[0]) for i, two in enumerate(lines)]

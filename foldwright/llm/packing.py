@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.words import as_texts, coded_words, split_words, text_slices
+from foldwright.llm.words import as_texts, coded_words, released, split_words, text_slices
 from foldwright.session import stored
 
 GROUP_ROWS = 20_000
@@ -158,7 +158,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         # Tasks run beside each other already; threads of the tokenizer would only add memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordTokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in released(batches):
             for at, size in text_slices(batch.column(2), rows=3072, size=12 << 20):
                 part = batch.slice(at, size)
                 encoded = encoder.encode(as_texts(part.column(2)))

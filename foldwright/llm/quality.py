@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.words import as_texts, coded_words, mixed, split_words, text_slices
+from foldwright.llm.words import as_texts, coded_words, mixed, released, split_words, text_slices
 
 _PAIR = np.uint64(0xA0761D6478BD642F)
 _REPEAT = np.uint64(0xE7037ED1A0B428DB)
@@ -159,7 +159,7 @@ def fit_quality(
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(sample, "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at, size in text_slices(batch.column(1), rows=64, size=4 << 20):
                 part = batch.slice(at, size)
                 own = Features(as_texts(part.column(1)), shape)
@@ -224,7 +224,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
     bias, shape = model.bias, model.shape
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in released(batches):
             parts = [np.zeros(0)]
             for at, size in text_slices(texts, rows=512, size=4 << 20):
                 own = Features(as_texts(texts.slice(at, size)), shape)

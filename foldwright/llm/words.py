@@ -6,6 +6,7 @@ A word is a run of bytes other than space and 0x09-0x0D; only A-Z is lower-cased
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_Batch = TypeVar("_Batch")
+
 # What separates words, as a pattern of Java, RE2 and Python alike.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -50,6 +53,19 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return texts.take(pa.array(np.arange(len(texts))))
 
 
+def released(batches: Iterator[_Batch]) -> Iterator[_Batch]:
+    """The batches, unchanged; after each, memory that Arrow no longer uses goes back to the system.
+
+    Python workers outlive their tasks, and Arrow's pool would keep what the largest batch took.
+    """
+    pool = pa.default_memory_pool()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+    pool.release_unused()
+
+
 def text_slices(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
     """(first row, rows) of consecutive slices of at most `rows` rows and `size` bytes; a longer text is one by itself."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
