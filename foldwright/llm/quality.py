@@ -160,7 +160,7 @@ def fit_quality(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            for at, size in text_slices(batch.column(1), rows=64, size=4 << 20):
+            for at, size in text_slices(batch.column(1), rows=64, size=1 << 20):
                 part = batch.slice(at, size)
                 own = Features(as_texts(part.column(1)), shape)
                 found = [own.of(i) for i in range(part.num_rows)]
@@ -226,7 +226,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> D
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in released(batches):
             parts = [np.zeros(0)]
-            for at, size in text_slices(texts, rows=512, size=4 << 20):
+            for at, size in text_slices(texts, rows=128, size=1 << 20):
                 own = Features(as_texts(texts.slice(at, size)), shape)
                 logits = np.clip(own.means(odds.value) + bias, -500, 500)
                 parts.append(1 / (1 + np.exp(-logits)))
