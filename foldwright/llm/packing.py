@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress, repeat
 
 import numpy as np
@@ -67,7 +68,7 @@ class WordTokenizer:
         self.parts = np.zeros((0, 2), np.int32)
         self.again = np.zeros(0, bool)
 
-    def _thin(self) -> None:
+    def thin(self) -> None:
         """Keep the words met again, which common ones are soon, and their units; forget the others."""
         kept, names, parts = self.again, list(self.units), self.parts[self.again]
         words = list(compress(self.known, kept.tolist()))
@@ -128,7 +129,7 @@ class WordTokenizer:
         words, bounds = split_words(texts, lower=plain)
         codes, distinct = coded_words(words)
         if len(self.known) > _KEPT_WORDS:
-            self._thin()
+            self.thin()
         number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int32, len(distinct))
         new = np.flatnonzero(number < 0)
         self.again[number[number >= 0]] = True
@@ -148,6 +149,12 @@ class WordTokenizer:
             first = last
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordTokenizer:
+    """One encoder a Python worker, so that later tasks find the common words learned."""
+    return WordTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """`PIECES` of every document: its ids and `end_id`, cut every `capacity` ids.
 
@@ -157,7 +164,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Tasks run beside each other already; threads of the tokenizer would only add memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordTokenizer(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in released(batches):
             for at, size in text_slices(batch.column(2), rows=3072, size=12 << 20):
                 part = batch.slice(at, size)
@@ -172,6 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                             rows[name].append(value)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
+        encoder.thin()  # between tasks only common words stay
 
     keyed = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), "text")
     return keyed.mapInArrow(cut, PIECES)
