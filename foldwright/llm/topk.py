@@ -9,41 +9,59 @@ order of that bound until the next bound is below the k-th score found.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.blocks import Packed, choose_pivots, search, usable
 
-# Candidates evaluated between two looks at the k-th score.
-_STEP = 128
+# Candidates evaluated between two looks at the k-th scores.
+_STEP = 256
+# Pivots looked at before deciding whether the others can still rule out anything.
+_FIRST_PIVOTS = 4
+
+
+def _gaps(query: Packed, block: Packed, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds on inner products, block rows that some query may still need).
+
+    The first pivots bound every pair; the others only rows that are still open.
+    """
+    own = np.einsum("ij,ij->i", query.vectors, query.vectors)[:, None]
+    norms = own + np.einsum("ij,ij->i", block.vectors, block.vectors)[None, :]
+    slack = 1e-9 * (norms + 1)  # rounding must not rule out what fits
+    left = np.arange(len(block.ids))
+    gap = np.zeros(norms.shape)
+    pivots = query.distances.shape[1]
+    for start, stop in ((0, min(_FIRST_PIVOTS, pivots)), (_FIRST_PIVOTS, pivots)):
+        for i in range(start, stop):
+            np.maximum(gap, np.abs(query.distances[:, i, None] - block.distances[None, left, i]), out=gap)
+        bound = (norms - gap * gap) / 2 + slack
+        still = (bound >= least[:, None]).any(axis=0)
+        left, gap, norms, slack = left[still], gap[:, still], norms[:, still], slack[:, still]
+    return bound[:, still], left
 
 
 def _eliminate(k: int):
     def visit(query: Packed, least: np.ndarray, block: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        gap = np.zeros((len(query.ids), len(block.ids)))
-        for i in range(query.distances.shape[1]):
-            np.maximum(gap, np.abs(query.distances[:, i, None] - block.distances[None, :, i]), out=gap)
-        own = np.einsum("ij,ij->i", query.vectors, query.vectors)[:, None]
-        norms = own + np.einsum("ij,ij->i", block.vectors, block.vectors)[None, :]
-        bound = (norms - gap * gap) / 2 + 1e-9 * (norms + 1)
-        rows, places, scores = [], [], []
-        for i in range(len(query.ids)):
+        bound, left = _gaps(query, block, least)
+        # Candidates come in the order of the highest bound that any query of the batch gives them.
+        best = bound.max(axis=0, initial=-np.inf)
+        order = np.argsort(-best, kind="stable")
+        bound, left, kth = bound[:, order], left[order], least.copy()
+        top = np.full((len(query.ids), k + 1), -np.inf)
+        parts, at = [], 0
+        while at < len(left) and (bound[:, at:] >= kth[:, None]).any():
+            part = slice(at, at + _STEP)
+            score = query.vectors @ block.vectors[left[part]].T
             # More than k, as the query itself may be among them.
-            open_now = np.flatnonzero(bound[i] >= least[i])
-            order = open_now[np.argsort(-bound[i, open_now], kind="stable")]
-            found, at, kth = np.zeros(0), 0, least[i]
-            while at < len(order) and bound[i, order[at]] >= kth:
-                part = order[at : at + _STEP]
-                score = block.vectors[part] @ query.vectors[i]
-                found = np.concatenate([found, score])
-                at += len(part)
-                if len(found) > k:
-                    kth = max(kth, np.partition(found, len(found) - k - 1)[len(found) - k - 1])
-            kept = found >= kth
-            rows.append(np.full(int(kept.sum()), i))
-            places.append(order[:at][kept])
-            scores.append(found[kept])
-        return np.concatenate(rows), np.concatenate(places), np.concatenate(scores)
+            top = np.partition(np.concatenate([top, score], axis=1), -(k + 1), axis=1)[:, -(k + 1) :]
+            kth = np.maximum(kth, top[:, 0])
+            parts.append(score)
+            at += score.shape[1]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        scores = np.concatenate(parts, axis=1)
+        rows, places = np.nonzero(scores >= kth[:, None])
+        return rows, left[places], scores[rows, places]
 
     return visit
 
@@ -73,6 +91,10 @@ def exact_top_k(
     held = held.where(F.size("vector") == (first[0] if first else 0))
     asked = prepared(queries).where(F.size("vector") == (first[0] if first else 0))
     asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    # Equal vectors tie everywhere: only the k + 1 smallest ids can rank, one of which may be the query's own.
+    # Spark also applies the limit before the shuffle, so a vector that many rows share stays small.
+    alike = Window.partitionBy("vector").orderBy("vec_id")
+    held = held.withColumn("n", F.dense_rank().over(alike)).where(F.col("n") <= k + 1).select("vec_id", "vector")
     table = choose_pivots(held, pivots)
     found = search(held, asked, table, k, _eliminate(k))
     return found.withColumn("score", F.col("score").cast("bigint"))
