@@ -122,17 +122,17 @@ def _sums(values: np.ndarray, bounds: np.ndarray, short: int = 0) -> np.ndarray:
     return running[np.minimum(ends, last)] - running[np.minimum(bounds[:-1], last)]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, keep: Column | None = None) -> DataFrame:
-    """(doc_id, label) of at most `per_class` documents of each class, picked by hash of the id.
-
-    `labels` has doc_id and quality; ids with contradicting labels are left out.
-    """
+def agreed_labels(labels: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(doc_id, label): the quality of each labelled id; ids with contradicting labels are left out."""
     agreed = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(
         F.min("quality").alias("label"), F.max("quality").alias("_other")
     )
     agreed = agreed.where("label = _other").select("doc_id", "label")
-    if keep is not None:
-        agreed = agreed.where(keep)
+    return agreed if keep is None else agreed.where(keep)
+
+
+def training_rows(agreed: DataFrame, per_class: int) -> DataFrame:
+    """At most `per_class` rows (doc_id, label) of each class, picked by hash of the id."""
     parts = [agreed.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     return parts[0].unionByName(parts[1])
 
@@ -150,13 +150,16 @@ def fit_quality(
     """Learn label 1 of `labels` (doc_id, quality) from the texts of `docs` (doc_id, text).
 
     The sample holds at most `per_class` documents of each class; that bounds what the driver
-    holds. `keep` restricts the label rows that may be used. The share of each class among all
+    holds; of rows that share an id the smallest text is taken. `keep` restricts the ids that may be used. The share of each class among all
     usable labels corrects the log odds for the even sample. The fit depends on ids, texts
     and `seed` alone. Without labels of both classes every score is the share of class 1, or
     one half without any.
     """
-    sample = F.broadcast(training_rows(docs, labels, per_class, keep))  # at most 2 * per_class rows
+    agreed = agreed_labels(labels, keep)
+    sample = F.broadcast(training_rows(agreed, per_class))  # at most 2 * per_class rows
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(sample, "doc_id")
+    # One row an id, so that the bound holds whatever repeats.
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
@@ -174,8 +177,7 @@ def fit_quality(
         features, "doc_id bigint, label int, rows binary, counts binary"
     )
     examples = sorted((r["doc_id"], r["label"], bytes(r["rows"]), bytes(r["counts"])) for r in held.collect())
-    usable = labels if keep is None else labels.where(keep)
-    counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect() if r["quality"] in (0, 1)}
+    counts = {r["label"]: r["count"] for r in agreed.groupBy("label").count().collect()}
     return _descend(examples, (counts.get(0, 0), counts.get(1, 0)), epochs, rate, seed, shape)
 
 
