@@ -53,7 +53,7 @@ def _passages(rows: DataFrame, text: Column, min_chars: int, *keys: str) -> Data
     return each.select(*keys, F.xxhash64("_p").alias("a"), F.xxhash64(F.lit("second"), "_p").alias("b"), F.length("_p").alias("size"))
 
 
-def quoted_passages(messages: DataFrame, min_chars: int = 12) -> DataFrame:
+def quoted_passages(messages: DataFrame, min_chars: int = 1) -> DataFrame:
     """(message, conv_id, turn, level, a, b, size): what each message quotes, by level."""
     quoting = messages.where(F.col("text").rlike(r"(?m)" + _QUOTE))
     lines = quoting.select("message", "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -74,16 +74,16 @@ def reply_links(messages: DataFrame, min_chars: int = 12) -> DataFrame:
     """(message, to_message): the message each quoting message replies to.
 
     `messages` has message (a unique number), conv_id, turn, text and own. A passage belongs to
-    the first message of the same conversation that says it before the quoting one, else
-    to the first of all earlier conversations; earlier means by (conv_id, turn), so links never
+    the first message of the same conversation that says it before the quoting one, else,
+    from `min_chars` characters on, to the first of all earlier conversations; earlier means by (conv_id, turn), so links never
     run in a circle.
     """
-    quotes = stored(quoted_passages(messages, min_chars), "quotes")
+    quotes = stored(quoted_passages(messages), "quotes")
     wanted = quotes.select("a", "b").distinct()
-    said = _passages(messages, F.col("own"), min_chars, "message", "conv_id", "turn").drop("size").join(wanted, ["a", "b"], "left_semi")
+    said = _passages(messages, F.col("own"), 1, "message", "conv_id", "turn").join(wanted, ["a", "b"], "left_semi")
     place = F.struct("conv_id", "turn", "message").alias("place")
     here = said.groupBy("a", "b", "conv_id").agg(F.min(place).alias("here"))
-    first = said.groupBy("a", "b").agg(F.min(place).alias("first"))
+    first = said.where(F.col("size") >= min_chars).groupBy("a", "b").agg(F.min(place).alias("first"))
     found = quotes.join(here, ["a", "b", "conv_id"], "left").join(first, ["a", "b"], "left")
     now = F.struct("conv_id", "turn")
     earlier = lambda p: F.when(F.struct(p["conv_id"], p["turn"]) < now, p["message"])
@@ -104,7 +104,7 @@ def link_quotations(conversations: DataFrame, min_chars: int = 12) -> DataFrame:
     Defined cases: NULL and empty texts quote nothing and say nothing (own_text is as given); rows without
     conv_id or turn neither link nor are linked to; rows alike in conv_id and turn are messages
     of their own, ordered by role and text; a message of quotes alone has an empty own_text and keeps its
-    place; passages under `min_chars` characters do not link; messages without quotes
+    place; passages under `min_chars` characters link only inside their conversation; messages without quotes
     stay in their conversation's order; an empty table gives no rows. Other columns are not looked at.
     """
     held = conversations.select(
