@@ -72,6 +72,16 @@ def test_top_k_against_all_pairs(spark):
     assert {tuple(r) for r in got} == expected
 
 
+def test_top_k_of_equal_vectors_and_shared_ids(spark):
+    rows = [(i, [1.0, 0.25]) for i in range(3000)] + [(5, [1.0, 0.25]), (5, [1.0, 0.25]), (3, [2.0, 0.0]), (4000, [0.5, 0.5]), (4000, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, df.where("vec_id in (0, 3, 4000)"), 4).collect()
+    ranked = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 3, 4000)}
+    # Of the rows with id 3 the smallest vector is asked; no row with a query's own id is a candidate.
+    assert ranked[0] == [3, 1, 2, 3] and ranked[3] == [0, 1, 2, 4]
+    assert ranked[4000] == [3, 0, 1, 2]
+
+
 def test_jaccard(odd, none):
     got = [tuple(r) for r in jaccard.similar_documents(odd, 3, Fraction(9, 10)).collect()]
     by = {r[0]: r for r in got}
@@ -300,6 +310,21 @@ def test_groups_merge(spark, monkeypatch):
     assert got.sequence_id.nunique() <= 1.1 * got.length.sum() / 64
 
 
+def test_short_passages_link_inside_their_conversation(spark):
+    rows = [(1, 0, "u", "Which one?"), (1, 1, "v", "> Which one?\nThe second."), (2, 0, "u", "> Which one?\nNot said here.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    links = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in quotes.link_quotations(df).collect()}
+    assert links == {(1, 0): (None, None), (1, 1): (1, 0), (2, 0): (None, None)}
+
+
+def test_quality_sample_is_bounded_by_ids(spark):
+    rows = [(i % 4, f"text {'good' if i % 2 else 'poor'} {i}", "s") for i in range(400)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    once = documents(spark, [(i, min(t for j, t, _ in rows if j == i), "s") for i in range(4)])
+    assert np.array_equal(quality.fit_quality(docs, labels).odds(), quality.fit_quality(once, labels).odds())
+
+
 def test_quality(spark, odd, none):
     draw = random.Random(4)
     word = lambda: "".join(draw.choice("aeioulnrst") for _ in range(draw.randrange(2, 8)))
