@@ -16,28 +16,38 @@ from foldwright.llm.blocks import Packed, choose_pivots, search, usable
 
 # Candidates evaluated between two looks at the k-th scores.
 _STEP = 256
-# Pivots looked at before deciding whether the others can still rule out anything.
-_FIRST_PIVOTS = 4
+# Pivots are looked at in groups of this size; a group that rules out under 1 / _WORTH of the rows is the last.
+_GROUP = 4
+_WORTH = 16
 
 
 def _gaps(query: Packed, block: Packed, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bounds on inner products, block rows that some query may still need).
 
-    The first pivots bound every pair; the others only rows that are still open.
+    Pivots that tell batch and block apart come first. Where they hardly rule out rows, a product
+    costs less than the bounds of further pivots, and those so far hold as well.
     """
     own = np.einsum("ij,ij->i", query.vectors, query.vectors)[:, None]
     norms = own + np.einsum("ij,ij->i", block.vectors, block.vectors)[None, :]
-    slack = 1e-9 * (norms + 1)  # rounding must not rule out what fits
+    norms += 1e-9 * (norms + 1)  # rounding must not rule out what fits
+    asked, held = query.distances.T.astype(np.float32), block.distances.T.astype(np.float32)
+    # What single precision may add to a difference of distances.
+    blur = np.float32(4 * np.finfo(np.float32).eps * max(query.distances.max(), block.distances.max()))
+    best = np.argsort(-np.abs(asked.mean(axis=1) - held.mean(axis=1)), kind="stable")
     left = np.arange(len(block.ids))
-    gap = np.zeros(norms.shape)
-    pivots = query.distances.shape[1]
-    for start, stop in ((0, min(_FIRST_PIVOTS, pivots)), (_FIRST_PIVOTS, pivots)):
-        for i in range(start, stop):
-            np.maximum(gap, np.abs(query.distances[:, i, None] - block.distances[None, left, i]), out=gap)
-        bound = (norms - gap * gap) / 2 + slack
+    gap = np.zeros(norms.shape, np.float32)
+    for start in range(0, len(best), _GROUP):
+        away = np.empty_like(gap)
+        for i in best[start : start + _GROUP]:
+            np.subtract(asked[i][:, None], held[i][None, :], out=away)
+            np.abs(away, out=away)
+            np.maximum(gap, away, out=gap)
+        bound = (norms - np.maximum(gap - blur, 0).astype(float) ** 2) / 2
         still = (bound >= least[:, None]).any(axis=0)
-        left, gap, norms, slack = left[still], gap[:, still], norms[:, still], slack[:, still]
-    return bound[:, still], left
+        left, gap, norms, held, bound = left[still], gap[:, still], norms[:, still], held[:, still], bound[:, still]
+        if len(left) * _WORTH > len(still) * (_WORTH - 1) or not len(left):
+            break
+    return bound, left
 
 
 def _eliminate(k: int):
