@@ -5,6 +5,7 @@ A word is a run of bytes other than space and 0x09-0x0D; only A-Z is lower-cased
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import TypeVar
 
@@ -53,17 +54,25 @@ def as_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return texts.take(pa.array(np.arange(len(texts))))
 
 
+def _give_back() -> None:
+    """Return memory that neither Arrow nor the C library uses to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, others may not
+    if trim:
+        trim(0)
+
+
 def released(batches: Iterator[_Batch]) -> Iterator[_Batch]:
-    """The batches, unchanged; after each, memory that Arrow no longer uses goes back to the system.
+    """The batches, unchanged; after each, memory that is no longer used goes back to the system.
 
-    Python workers outlive their tasks, and Arrow's pool would keep what the largest batch took.
+    Python workers outlive their tasks, and Arrow's pool and the C library's heap would keep what the
+    largest batch took.
     """
-    pool = pa.default_memory_pool()
     for batch in batches:
         yield batch
         del batch
-        pool.release_unused()
-    pool.release_unused()
+        _give_back()
+    _give_back()
 
 
 def text_slices(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
