@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.linking import link_classes
-from foldwright.llm.words import as_texts, mixed, released, shingle_sets
+from foldwright.llm.words import as_texts, mixed, released, shingle_sets, sliced, text_slices
 from foldwright.session import scratch_space, stored
 
 # Sketch words a task holds before it joins equal ones on its own.
-_HELD = 4_000_000
+_HELD = 1_000_000
 # Ids of candidates up to which they are broadcast to find their texts.
 _BROADCAST_IDS = 200_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -149,8 +149,8 @@ def sketch_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
         names = [c.split()[0] for c in _ROWS.split(", ")]
         for batch in released(batches):
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start, size in text_slices(batch.column(1), rows=512, size=1 << 20):
+                part = batch.slice(start, size)
                 flat, bounds = shingle_sets(as_texts(part.column(1)), width)
                 nodes = np.asarray(part.column(0), np.int64)
                 sizes = np.diff(bounds)
@@ -172,10 +172,10 @@ def sketch_table(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
                 held.append((keys, nodes[own]))
                 count += len(keys)
                 if count > _HELD:
-                    yield flush()
+                    yield from sliced(flush())
                     held, count = [], 0
         if count:
-            yield flush()
+            yield from sliced(flush())
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, _ROWS)
 
@@ -186,8 +186,8 @@ def _verifier(docs: DataFrame, width: int, bands: Bands):
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start, size in text_slices(batch.column(2), rows=256, size=1 << 20):
+                part = batch.slice(start, size)
                 left, left_at = shingle_sets(as_texts(part.column(2)), width)
                 right, right_at = shingle_sets(as_texts(part.column(3)), width)
                 ok = np.zeros(part.num_rows, bool)
@@ -247,8 +247,8 @@ def _sketches_of(docs: DataFrame, width: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start, size in text_slices(batch.column(1), rows=512, size=1 << 20):
+                part = batch.slice(start, size)
                 flat, bounds = shingle_sets(as_texts(part.column(1)), width)
                 lines = [folded_sketch(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.linking import link_classes
-from foldwright.llm.words import released
+from foldwright.llm.words import released, sliced
 from foldwright.session import scratch_space, stored
 
 _BROADCAST_IDS = 200_000
 _BLANK = " \t\n\v\f\r"
 # Keys a task holds before it joins equal ones on its own.
-_HELD = 4_000_000
+_HELD = 1_000_000
 _ROWS = "key bigint, node bigint, is_index boolean, centre bigint, low bigint, doc_id bigint, line_no int"
 _KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 _SCHEMA = pa.schema(list(zip([c.split()[0] for c in _ROWS.split(", ")], _KINDS)))
@@ -196,10 +196,10 @@ def line_table(docs: DataFrame, edits: int, min_chars: int, short_repeats: bool
                 columns += [pa.array(v, k) for v, k in zip((lows, ids, numbers), _KINDS[4:])]
                 yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
                 if count > _HELD:
-                    yield flush()
+                    yield from sliced(flush())
                     held, count = [], 0
         if count:
-            yield flush()
+            yield from sliced(flush())
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, _ROWS)
 

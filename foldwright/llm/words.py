@@ -75,6 +75,12 @@ def released(batches: Iterator[_Batch]) -> Iterator[_Batch]:
     _give_back()
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows, so that the JVM never holds it whole."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 def text_slices(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
     """(first row, rows) of consecutive slices of at most `rows` rows and `size` bytes; a longer text is one by itself."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
