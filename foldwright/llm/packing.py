@@ -166,7 +166,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoder(tokenizer_path)
         for batch in released(batches):
-            for at, size in text_slices(batch.column(2), rows=3072, size=12 << 20):
+            for at, size in text_slices(batch.column(2), rows=1024, size=4 << 20):
                 part = batch.slice(at, size)
                 encoded = encoder.encode(as_texts(part.column(2)))
                 rows = {n: [] for n in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
