@@ -110,9 +110,10 @@ def _held_rows(support: DataFrame, tables: HashTables) -> DataFrame:
 
 
 def _asked_buckets(queries: DataFrame, tables: HashTables) -> DataFrame:
-    """(query_id, bucket): the buckets that each query looks for, shallow and deep ones alike.
+    """(query_id, bucket, home): the buckets that each query looks for, shallow and deep ones alike.
 
     Of the two only the one that the vectors went to exists. Vectors don't travel with them.
+    `home` tells the query's own buckets from those next to them.
     """
     shared = queries.sparkSession.sparkContext.broadcast(tables)
 
@@ -126,9 +127,10 @@ def _asked_buckets(queries: DataFrame, tables: HashTables) -> DataFrame:
                 for deep in (False, True):
                     keys = own.probed(vectors, table, deep)
                     ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel())], ["query_id", "bucket"])
+                    home = np.tile(np.arange(keys.shape[1]) == 0, len(keys))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys.ravel()), pa.array(home)], ["query_id", "bucket", "home"])
 
-    return queries.select("query_id", "vector").mapInArrow(probe, "query_id bigint, bucket bigint")
+    return queries.select("query_id", "vector").mapInArrow(probe, "query_id bigint, bucket bigint, home boolean")
 
 
 def _buckets(support: DataFrame, crowded: int) -> DataFrame:
@@ -150,7 +152,6 @@ def _candidates(queries: DataFrame, support: DataFrame, tables: HashTables, crow
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = attach_by_group(asked, buckets.select("bucket", "asked", "parts", "chunks"), ["bucket"], "asked")
     left = left.withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).withColumn("part", numbers("parts"))
-    left = left.join(queries.select("query_id", "vector"), "query_id")
     right = attach_by_group(held, buckets.select("bucket", "held", "parts", "chunks"), ["bucket"], "held")
     right = right.withColumn("part", F.pmod(F.xxhash64("support_id"), "parts").cast("int")).withColumn("chunk", numbers("chunks"))
     return left.drop("parts", "chunks"), right.drop("parts", "chunks"), buckets
@@ -183,8 +184,19 @@ def approximate_nearest(
             empty = queries.sparkSession.createDataFrame([], f"{kinds}, rank int, pairs bigint")
             return empty
         left, right, buckets = _candidates(queries, support, found, crowded)
+        left = stored(left, "asked")
         best = best_of(mask)
         nothing = to_arrow_schema(right.sparkSession.createDataFrame([], kinds).schema).empty_table()
+        unbound = to_arrow_schema(right.sparkSession.createDataFrame([], "query_id bigint, bound double").schema).empty_table()
+
+        def bound_of(own: pa.Table, others: pa.Table) -> pa.Table:
+            """Distances within which a bucket holds k neighbours of a query."""
+            found = compare(own, others)
+            if not found.num_rows:
+                return unbound
+            last = found.group_by("query_id").aggregate([("distance", "max"), ("support_id", "count_distinct")])
+            last = last.filter(pa.array(last.column("support_id_count_distinct").to_numpy() >= k))
+            return pa.table([last.column("query_id"), last.column("distance_max")], ["query_id", "bound"])
 
         def compare(own: pa.Table, others: pa.Table) -> pa.Table:
             if not own.num_rows or not others.num_rows:
@@ -195,7 +207,7 @@ def approximate_nearest(
             for start in range(0, own.num_rows, 512):  # keeps the table of distances small
                 part = own.slice(start, 512)
                 q = matrix(part.column("vector").combine_chunks())
-                rows, cols, away = best(q, s, ids, k, np.full(len(q), np.inf))
+                rows, cols, away = best(q, s, ids, k, part.column("bound").to_numpy())
                 columns = [part.column("query_id").combine_chunks().take(pa.array(rows)), pa.array(ids[cols]), pa.array(away)]
                 columns += [others.column(c).combine_chunks().take(pa.array(cols)) for c in carried]
                 parts.append(pa.table(columns, ["query_id", "support_id", "distance", *carried]))
@@ -203,9 +215,19 @@ def approximate_nearest(
 
         keys = ["bucket", "part", "chunk"]
         apart = right.select(*[F.col(c).alias(c) for c in right.columns])
-        pairs = left.groupBy(*keys).cogroup(apart.groupBy(*keys)).applyInArrow(compare, kinds)
-        # Tables find the same neighbours: each counts once.
-        once = pairs.dropDuplicates(["query_id", "support_id"])
+
+        def met(asked: DataFrame, vectors: DataFrame, function, schema: str) -> DataFrame:
+            own = asked.join(vectors, "query_id").groupBy(*keys)
+            return own.cogroup(apart.groupBy(*keys)).applyInArrow(function, schema)
+
+        # A query's own buckets give a bound first, beyond which the others return nothing.
+        unlimited = queries.select("query_id", "vector", F.lit(float("inf")).alias("bound"))
+        near = met(left.where("home").drop("home"), unlimited, bound_of, "query_id bigint, bound double")
+        near = near.groupBy("query_id").agg(F.min("bound").alias("_bound"))
+        limited = queries.join(near, "query_id", "left").select("query_id", "vector", F.coalesce("_bound", F.lit(float("inf"))).alias("bound"))
+        pairs = met(left.drop("home"), stored(limited, "limited"), compare, kinds)
+        # Tables find the same neighbours: each counts once. One shuffle serves this and the ranking.
+        once = pairs.repartition("query_id").dropDuplicates(["query_id", "support_id"])
         order = Window.partitionBy("query_id").orderBy("distance", "support_id")
         ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         seen = buckets.agg(F.coalesce(F.sum(F.col("held") * F.col("asked")), F.lit(0))).first()[0]

@@ -56,3 +56,32 @@ def test_probes_start_at_home():
             probed = tables.probed(points, table, deep)
             assert (probed[:, 0] == tables.keys(cells, table, deep)).all()
             assert all(len(set(row)) == 7 for row in probed.tolist())
+
+
+def test_own_buckets_bound_the_others(clustered, monkeypatch, tmp_path):
+    """Only neighbours within the distance found in a query's own buckets leave the buckets next to it."""
+    points, support = clustered
+    support = support.where("support_id < 2000")
+    queries = support.select(support.support_id.alias("query_id"), "vector")
+    best_of, folder = hashing.best_of, str(tmp_path)
+
+    def counting(mask):
+        best = best_of(mask)
+
+        def counted(q, s, ids, k, limits):
+            import pathlib
+            import uuid
+
+            found = best(q, s, ids, k, limits)
+            bound = limits[found[0]] < float("inf")
+            pathlib.Path(folder, uuid.uuid4().hex).write_text(f"{int(bound.sum())} {int((found[2] > limits[found[0]] + 1e-3).sum())}")
+            return found
+
+        return counted
+
+    monkeypatch.setattr(hashing, "best_of", counting)
+    found = hashing.approximate_nearest(queries, support, 5, crowded=64).toPandas()
+    monkeypatch.setattr(hashing, "best_of", best_of)
+    counts = np.array([list(map(int, f.read_text().split())) for f in tmp_path.iterdir()])
+    assert 0 < counts[:, 0].sum() < 2000 * 5 * 24 / 3 and counts[:, 1].sum() == 0
+    assert (found.groupby("query_id").size() <= 5).all() and found.query_id.nunique() == 2000
