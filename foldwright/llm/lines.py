@@ -10,6 +10,7 @@ the first line by (doc_id, line number) stays.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.linking import link_classes
-from foldwright.llm.words import released, sliced
+from foldwright.llm.words import released, sliced, text_slices
 from foldwright.session import scratch_space, stored
 
-_BROADCAST_IDS = 200_000
+# Bits of the table of wanted places: 32 a place, between these powers of two (64 KB and 16 MB).
+_LEAST_BITS, _MOST_BITS = 1 << 19, 1 << 27
 _BLANK = " \t\n\v\f\r"
 # Keys a task holds before it joins equal ones on its own.
 _HELD = 1_000_000
@@ -33,7 +35,7 @@ _SCHEMA = pa.schema(list(zip([c.split()[0] for c in _ROWS.split(", ")], _KINDS))
 
 def line_digest(line: str) -> tuple[int, int]:
     """The two halves of a 128-bit digest, as signed numbers."""
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), "<i8").tolist())
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -148,7 +150,7 @@ def line_table(docs: DataFrame, edits: int, min_chars: int, short_repeats: bool
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, seen = xxhash.xxh3_64_intdigest, set()
+        digest, whole, unpack, seen = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest, struct.unpack, set()
         plans: dict[int, list] = {}
         held, count = [], 0
 
@@ -167,7 +169,8 @@ def line_table(docs: DataFrame, edits: int, min_chars: int, short_repeats: bool
                         length = len(line)
                         if length < min_chars and not (short_repeats and line.strip(_BLANK)):
                             continue
-                        node, low = line_digest(line)
+                        raw = line.encode("utf-8", "surrogatepass")
+                        node, low = unpack("<qq", whole(raw))
                         nodes.append(node)
                         lows.append(low)
                         ids.append(key)
@@ -181,7 +184,10 @@ def line_table(docs: DataFrame, edits: int, min_chars: int, short_repeats: bool
                             plan += [(at, at + size, other << 8 | i) for other, i, at, size in probes(length, edits)]
                             if len(plans) < 20_000:
                                 plans[length] = plan
-                        keys += [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in plan]
+                        if len(raw) == length:  # one byte a character
+                            keys += [digest(raw[a:b], seed) for a, b, seed in plan]
+                        else:
+                            keys += [digest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in plan]
                         owners.append((node, len(plan)))
                 if len(seen) > 2_000_000:
                     seen.clear()
@@ -204,48 +210,88 @@ def line_table(docs: DataFrame, edits: int, min_chars: int, short_repeats: bool
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(rows, _ROWS)
 
 
+def _bit_table(places: DataFrame, bits: int) -> np.ndarray:
+    """Bytes in which bit `place` modulo `bits` is set for every place; bit i is bit i % 8 of byte i // 8."""
+    slot = F.col("place").bitwiseAND(F.lit(bits - 1).cast("bigint")) + 1  # Spark's bitmaps count from 1
+    parts = places.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit"))
+    table = np.zeros((bits >> 15, 4096), np.uint8)
+    for part, held in parts.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():
+        table[part - 1] = np.frombuffer(bytes(held), np.uint8)
+    return table.ravel()
+
+
 def _texts_of(docs: DataFrame, firsts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line) of some distinct lines, read from where they stand first."""
+    """(node, line) of some distinct lines, read from where they stand first, stored.
+
+    Each wanted place (document and line number) sets a bit of a table of bounded size. Tasks read the
+    documents where they are and send on the lines whose bit is set; a join then keeps those that were
+    meant. So no whole text is shuffled, and a full table only lets more lines pass.
+    """
+    wanted = firsts.join(nodes, "node").select("node", "low", "doc_id", "line_no")
+    place = F.xxhash64("doc_id").bitwiseXOR(F.col("line_no").cast("bigint"))
+    wanted = stored(wanted.withColumn("place", place), "wanted")
+    bits = min(max(1 << (32 * wanted.count()).bit_length(), _LEAST_BITS), _MOST_BITS)
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(wanted, bits))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_bits = table.value
         for batch in released(batches):
-            nodes, lines = [], []
-            for text, wanted in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                own = text.split("\n") if text else []
-                for w in wanted:
-                    # Rows may share a doc_id: only the line that was meant counts.
-                    if w["line_no"] < len(own) and line_digest(own[w["line_no"]]) == (w["node"], w["low"]):
-                        nodes.append(w["node"])
-                        lines.append(own[w["line_no"]])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], ["node", "line"])
-
-    wanted = firsts.join(nodes, "node").groupBy("doc_id").agg(
-        F.collect_list(F.struct("line_no", "node", "low")).alias("wanted")  # lines of one document
+            for start, size in text_slices(batch.column(2), rows=1024, size=1 << 20):
+                part = batch.slice(start, size)
+                texts = [x.split("\n") if x else [] for x in part.column(2).to_pylist()]
+                counts = np.array([len(x) for x in texts])
+                owner = np.repeat(np.arange(len(texts)), counts)
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                slot = (np.asarray(part.column(1), np.int64)[owner] ^ number) & (bits - 1)
+                hits = np.flatnonzero(set_bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                owner, number = owner[hits], number[hits]
+                lines = [texts[i][n] for i, n in zip(owner.tolist(), number.tolist())]
+                halves = np.array([line_digest(x) for x in lines], np.int64).reshape(-1, 2)
+                ids = part.column(0).take(pa.array(owner, pa.int64()))
+                columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), ids, pa.array(number.astype(np.int32)), pa.array(lines, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "low", "doc_id", "line_no", "line"])
+
+    key = F.col("doc_id").cast("bigint")
+    found = docs.select(key.alias("doc_id"), F.xxhash64(key), "text").mapInArrow(
+        fetch, "node bigint, low bigint, doc_id bigint, line_no int, line string"
     )
-    wanted = stored(wanted, "wanted")
-    if wanted.count() <= _BROADCAST_IDS // 8:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
-    return stored(texts.select("text", "wanted").mapInArrow(fetch, "node bigint, line string"), "texts")
+    # Rows may share a doc_id: only the line that was meant counts, once.
+    meant = found.join(wanted.drop("place"), ["node", "low", "doc_id", "line_no"], "left_semi")
+    return stored(meant.dropDuplicates(["node", "low"]).select("node", "line"), "texts")
 
 
-def _verifier(docs: DataFrame, firsts: DataFrame, edits: int):
-    """Function from pairs of line numbers to those within `edits` edits."""
+class _Lines:
+    """The texts of the lines that may be linked, read once for all rounds of `link_classes`."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            lines = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield batch.select([0, 1]).filter(pa.array([within_edits(a, b, edits) for a, b in lines], pa.bool_()))
+    def __init__(self, docs: DataFrame, firsts: DataFrame, edits: int):
+        self.docs, self.firsts, self.edits = docs, firsts, edits
+        self.texts: DataFrame | None = None
+
+    def sketches(self, nodes: DataFrame) -> DataFrame:
+        """(node, size, sketch) of the lines; it is asked for all nodes before any pair is verified."""
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in released(batches):
+                lines = batch.column(1).to_pylist()
+                columns = [batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([counted(x) for x in lines], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "size", "sketch"])
+
+        self.texts = _texts_of(self.docs, self.firsts, nodes)
+        return self.texts.mapInArrow(rows, "node bigint, size bigint, sketch binary")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) within `edits` edits."""
+        edits = self.edits
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        lines = _texts_of(docs, firsts, nodes)
-        sides = [lines.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b")]
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in released(batches):
+                lines = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                yield batch.select([0, 1]).filter(pa.array([within_edits(a, b, edits) for a, b in lines], pa.bool_()))
+
+        sides = [self.texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b")]
         both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "line_a", "line_b")
         return both.mapInArrow(near, "a bigint, b bigint").distinct()
 
-    return verify
-
 
 def counted(line: str) -> bytes:
     """How often characters of each of 64 groups of the alphabet occur, modulo 2**16."""
@@ -271,18 +317,6 @@ class _NearCounts:
         return out
 
 
-def _counts_of(docs: DataFrame, firsts: DataFrame):
-    """Function from (node) to (node, size, sketch) of the lines."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in released(batches):
-            lines = batch.column(1).to_pylist()
-            columns = [batch.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([counted(x) for x in lines], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "sketch"])
-
-    return lambda nodes: _texts_of(docs, firsts, nodes).mapInArrow(rows, "node bigint, size bigint, sketch binary")
-
-
 def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, short_repeats: bool = False) -> DataFrame:
     """(doc_id, removed): the lines of each document that repeat an earlier one, as structs
     (line_no, node, low) with the line's digest; documents that lose nothing are left out.
@@ -305,7 +339,8 @@ def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20, short_re
         members = members.unionByName(here.select("key", F.col("centre").alias("node"), F.lit(True).alias("is_index")))
         members = members.groupBy("key", "node").agg(F.max("is_index").alias("is_index"))
         firsts = distinct.select("node", "low", "first.doc_id", "first.line_no")
-        labels = link_classes(members, _verifier(docs, firsts, edits), _counts_of(docs, firsts), _NearCounts(edits), spare=64)
+        lines = _Lines(docs, firsts, edits)
+        labels = link_classes(members, lines.verify, lines.sketches, _NearCounts(edits), spare=64)
         # A class is a component of links or else one distinct line, told by both halves of its digest.
         classes = distinct.join(labels, "node", "left").where("n > 1 or component is not null")
         classes = classes.select(

@@ -422,6 +422,36 @@ def test_lines(spark, odd, none):
     assert len(lines.dedup_lines(odd).collect()) == len(ODD)
 
 
+def test_line_texts_are_read_once_without_a_shuffle_of_documents(spark, monkeypatch):
+    """Every round read the documents again, and shuffled them where many were wanted."""
+    random.seed(3)
+    base = ["".join(random.choices("abcdefghij ", k=40)) for _ in range(40)]
+    # Chains of one edit a step take several rounds.
+    rows = [(i, "\n".join(b[:j] + "#" * (i % 5) + b[j + i % 5 :] for j, b in enumerate(base, 2)), "a") for i in range(30)]
+    plans, keep = [], lines.stored
+
+    def stored(df, name="table", **more):
+        if name == "texts":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name, **more)
+
+    monkeypatch.setattr(lines, "stored", stored)
+    monkeypatch.setattr(lines, "_BROADCAST_IDS", 0, raising=False)
+    docs = documents(spark, rows)
+    texts = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()}
+    assert texts[0].split("\n") == base and set(texts.values()) == {texts[0], ""}
+    assert len(plans) == 1
+    below = plans[0][plans[0].index("MapInArrow") :].split("Scan")[0]
+    assert "Exchange" not in below
+    # A table of few bits lets lines pass that were not wanted; results are the same.
+    monkeypatch.setattr(lines, "_LEAST_BITS", 1 << 15, raising=False)
+    monkeypatch.setattr(lines, "_MOST_BITS", 1 << 15, raising=False)
+    many = [(i, "\n".join(f"{n:05d} line that is like {n % 7} others of {i % 3}" for n in range(i, i + 9)), "a") for i in range(200)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, many)).collect()}
+    monkeypatch.undo()
+    assert got == {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, many)).collect()}
+
+
 def test_short_lines(spark):
     rows = [(5, "short\n\nshort\n  \nshorter", "s"), (2, "Of.\nshort\n\n  ", "s"), (7, "Of.", "s"), (None, "Of.", "s")]
     got = lines.dedup_lines(documents(spark, rows), short_repeats=True)
