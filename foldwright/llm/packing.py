@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import compress, repeat
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.words import as_texts, coded_words, released, split_words, text_slices
+from foldwright.llm.words import as_texts, coded_words, kept, released, split_words, text_slices
 from foldwright.session import stored
 
 GROUP_ROWS = 20_000
@@ -149,12 +148,6 @@ class WordTokenizer:
             first = last
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> WordTokenizer:
-    """One encoder a Python worker, so that later tasks find the common words learned."""
-    return WordTokenizer(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """`PIECES` of every document: its ids and `end_id`, cut every `capacity` ids.
 
@@ -164,8 +157,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Tasks run beside each other already; threads of the tokenizer would only add memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoder(tokenizer_path)
-        for batch in released(batches):
+        # One encoder a Python worker, so that later tasks find the common words learned.
+        encoder = kept(tokenizer_path, lambda: WordTokenizer(tokenizer_path))
+        for batch in released(batches, keep=tokenizer_path):
             for at, size in text_slices(batch.column(2), rows=1024, size=4 << 20):
                 part = batch.slice(at, size)
                 encoded = encoder.encode(as_texts(part.column(2)))

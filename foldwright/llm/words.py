@@ -6,7 +6,7 @@ A word is a run of bytes other than space and 0x09-0x0D; only A-Z is lower-cased
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import numpy as np
@@ -17,6 +17,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _Batch = TypeVar("_Batch")
+_Held = TypeVar("_Held")
+
+# What this Python worker keeps between tasks of one kind, by name.
+_kept: dict[str, object] = {}
 
 # What separates words, as a pattern of Java, RE2 and Python alike.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -62,12 +66,22 @@ def _give_back() -> None:
         trim(0)
 
 
-def released(batches: Iterator[_Batch]) -> Iterator[_Batch]:
+def kept(name: str, make: Callable[[], _Held]) -> _Held:
+    """What `make` returns, made once a worker and kept until batches of other work are `released`."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def released(batches: Iterator[_Batch], keep: str | None = None) -> Iterator[_Batch]:
     """The batches, unchanged; after each, memory that is no longer used goes back to the system.
 
     Python workers outlive their tasks, and Arrow's pool and the C library's heap would keep what the
-    largest batch took.
+    largest batch took. What tasks of another kind `kept` goes first, but for `keep`.
     """
+    for name in [n for n in _kept if n != keep]:
+        del _kept[name]
     for batch in batches:
         yield batch
         del batch

@@ -1,9 +1,13 @@
 """Defined cases: NULLs, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import gc
 import random
+import weakref
 from fractions import Fraction
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -452,6 +456,33 @@ def test_line_texts_are_read_once_without_a_shuffle_of_documents(spark, monkeypa
     assert got == {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, many)).collect()}
 
 
+def test_a_worker_drops_the_tokenizer_when_other_work_begins(monkeypatch):
+    """It stayed for good, and took memory from every later stage."""
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda f, *_: f if name == "mapInArrow" else self
+
+    monkeypatch.setattr(packing, "F", MagicMock())
+    monkeypatch.setattr(lines, "F", MagicMock())
+    made = []
+
+    class Counted(packing.WordTokenizer):
+        def __init__(self, path):
+            super().__init__(path)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(packing, "WordTokenizer", Counted)
+    texts = pa.array(["one line of some length here", None])
+    one = pa.RecordBatch.from_arrays([pa.array([1, 2])] * 2 + [texts], ["doc_id", "row", "text"])
+    cut = packing.token_pieces(Frame(), tokenizer_path())
+    found = [pa.Table.from_batches(cut(iter([one]))).to_pydict() for _ in range(2)]
+    assert found[0] == found[1] and len(made) == 1 and made[0]() is not None
+    list(lines.line_table(Frame(), 2, 20)(iter([one.select([0, 2])])))
+    gc.collect()
+    assert made[0]() is None
+
+
 def test_short_lines(spark):
     rows = [(5, "short\n\nshort\n  \nshorter", "s"), (2, "Of.\nshort\n\n  ", "s"), (7, "Of.", "s"), (None, "Of.", "s")]
     got = lines.dedup_lines(documents(spark, rows), short_repeats=True)
