@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.words import as_texts, coded_words, kept, released, split_words, text_slices
+from foldwright.llm.words import as_texts, kept, released, split_words, text_slices
 from foldwright.session import stored
 
 GROUP_ROWS = 20_000
@@ -36,10 +35,18 @@ SLACK = 1 / 256
 _KEPT_WORDS = 300_000
 # Words whose ids are laid out at a time.
 _BLOCK_WORDS = 100_000
+# Signs that are encoded apart where a word ends in them; those of special tokens are not among them.
+_CLOSING = ".,;:!?*&$#%"
 
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for sizes[i] numbers, of each i in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class WordTokenizer:
     """Token ids of whole batches, by a tokenizer file of byte-pair encoding with word ends.
 
@@ -59,63 +66,70 @@ class WordTokenizer:
 
     def _forget(self) -> None:
         # Units are what is encoded at once; number 0 is no unit. Their ids lie in one pool.
-        self.units: dict[str, int] = {"": 0}
+        self.units = pa.array([""], pa.large_string())
         self.pool = np.zeros(0, np.uint32)
         self.sizes, self.starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
         # A word is one unit or two. Words are numbered in turn; `again` marks those met after they were learned.
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.parts = np.zeros((0, 2), np.int32)
         self.again = np.zeros(0, bool)
 
     def thin(self) -> None:
         """Keep the words met again, which common ones are soon, and their units; forget the others."""
-        kept, names, parts = self.again, list(self.units), self.parts[self.again]
-        words = list(compress(self.known, kept.tolist()))
+        words, parts = self.known.filter(pa.array(self.again)), self.parts[self.again]
         units = np.union1d(parts, [0])
-        pool = [self.pool[self.starts[u] : self.starts[u] + self.sizes[u]] for u in units.tolist()]
-        sizes = self.sizes[units]
+        names, pool, sizes = self.units.take(pa.array(units)), self.pool[_runs(self.starts[units], self.sizes[units])], self.sizes[units]
         self._forget()
         if len(words) > _KEPT_WORDS // 2:
             return
-        self.units = {names[u]: i for i, u in enumerate(units.tolist())}
-        self.pool, self.sizes, self.starts = np.concatenate(pool), sizes, np.cumsum(sizes) - sizes
-        self.known = dict(zip(words, range(len(words))))
-        self.parts = np.searchsorted(units, parts).astype(np.int32)
+        self.units, self.pool, self.sizes, self.starts = names, pool, sizes, np.cumsum(sizes) - sizes
+        self.known, self.parts = words, np.searchsorted(units, parts).astype(np.int32)
         self.again = np.zeros(len(words), bool)
 
-    def _encode_units(self, units: list[str]) -> None:
-        letters = [u for u in units if u.isalpha()]
-        other = [u for u in units if not u.isalpha()]
-        names, ids, sizes = [], [self.pool], [self.sizes]
-        for at in range(0, len(letters), 500):
-            part = letters[at : at + 500]
-            found = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            last = np.flatnonzero(self.ends[found]) + 1
-            if len(last) == len(part):  # one word end each: the ids can be told apart
-                names += part
-                ids.append(found)
-                sizes.append(np.diff(last, prepend=0))
-            else:
-                other += part
-        for at in range(0, len(other), 5_000):
-            part = other[at : at + 5_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            names += part
+    def _encode_units(self, units: pa.Array) -> None:
+        of_letters = pc.utf8_is_alpha(units)
+        letters, others = units.filter(of_letters), [units.filter(pc.invert(of_letters))]
+        names, ids, sizes = [self.units], [self.pool], [self.sizes]
+        for at in range(0, len(letters), 10_000):
+            part = letters.slice(at, 10_000)
+            bounds = np.append(np.arange(0, len(part), 500), len(part))
+            lines = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), part)
+            lines = pc.binary_join(lines, pa.scalar(" ", pa.large_string())).to_pylist()
+            for i, encoded in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                held = part.slice(bounds[i], bounds[i + 1] - bounds[i])
+                found = np.array(encoded.ids, np.uint32)
+                last = np.flatnonzero(self.ends[found]) + 1
+                if len(last) == len(held):  # one word end each: the ids can be told apart
+                    names.append(held)
+                    ids.append(found)
+                    sizes.append(np.diff(last, prepend=0))
+                else:
+                    others.append(held)
+        rest = pa.concat_arrays(others)
+        for at in range(0, len(rest), 5_000):
+            part = rest.slice(at, 5_000)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+            names.append(part)
             ids.append(np.fromiter((i for f in found for i in f), np.uint32))
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-        self.units.update(zip(names, range(len(self.units), len(self.units) + len(names))))
+        self.units = pa.concat_arrays(names)
         self.pool, self.sizes = np.concatenate(ids), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def _learn(self, words: list[str]) -> None:
-        heads = [w.rstrip(".,;:!?") for w in words]
-        heads = [h if h and h[-1].isalnum() else w for h, w in zip(heads, words)]
-        tails = [w[len(h) :] for h, w in zip(heads, words)]
-        units = self.units
-        self._encode_units([u for u in dict.fromkeys(heads + tails) if u not in units])
-        parts = [np.fromiter(map(units.__getitem__, p), np.int32, len(p)) for p in (heads, tails)]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.parts = np.concatenate([self.parts, np.stack(parts, axis=1)])
+    def _learn(self, words: pa.Array) -> None:
+        heads = pc.ascii_rtrim(words, _CLOSING)
+        # Signs are apart only from a letter or number.
+        apart = pc.utf8_is_alnum(pc.utf8_slice_codeunits(heads, -1))
+        heads = pc.if_else(apart, heads, words)
+        closed = np.flatnonzero(pc.less(pc.binary_length(heads), pc.binary_length(words)))
+        tails = pc.replace_substring_regex(words.take(pa.array(closed)), rf"(?s)^.*[^{_CLOSING}]", "")
+        wanted = pc.unique(pa.concat_arrays([heads, tails]))
+        self._encode_units(wanted.filter(pc.invert(pc.is_in(wanted, value_set=self.units))))
+        parts = np.zeros((len(words), 2), np.int32)
+        parts[:, 0] = pc.index_in(heads, value_set=self.units)
+        parts[closed, 1] = pc.index_in(tails, value_set=self.units)
+        self.known = pa.concat_arrays([self.known, words])
+        self.parts = np.concatenate([self.parts, parts])
         self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -126,15 +140,16 @@ class WordTokenizer:
         # Special tokens are found before lower-casing, so a text that may hold one keeps its case.
         plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
         words, bounds = split_words(texts, lower=plain)
-        codes, distinct = coded_words(words)
+        coded = words.dictionary_encode()
+        codes, distinct = np.asarray(coded.indices), coded.dictionary
         if len(self.known) > _KEPT_WORDS:
             self.thin()
-        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int32, len(distinct))
+        number = np.array(pc.fill_null(pc.index_in(distinct, value_set=self.known), -1))
         new = np.flatnonzero(number < 0)
         self.again[number[number >= 0]] = True
         if len(new):
             number[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self._learn([distinct[i] for i in new])
+            self._learn(distinct.take(pa.array(new)))
         parts = self.parts[number]
         first = 0
         while first < len(texts):
@@ -142,8 +157,7 @@ class WordTokenizer:
             units = parts[codes[bounds[first] : bounds[last]]].ravel()
             counts = self.sizes[units]
             ends = np.concatenate([[0], np.cumsum(counts)])
-            at = np.arange(ends[-1]) + np.repeat(self.starts[units] - ends[:-1], counts)
-            ids, cuts = self.pool[at], ends[2 * (bounds[first : last + 1] - bounds[first])]
+            ids, cuts = self.pool[_runs(self.starts[units], counts)], ends[2 * (bounds[first : last + 1] - bounds[first])]
             yield from (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
             first = last
 

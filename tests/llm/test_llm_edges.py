@@ -536,3 +536,16 @@ def test_classes_need_no_common_centre(spark, monkeypatch, block_rows):
         for a, b in usable:
             least[a] = least[b] = min(least[a], least[b])
     assert {n: got.get(n, n) for n in least} == least
+
+
+def test_words_that_differ_in_closing_signs_are_encoded_once():
+    """Words are looked up in Arrow; before, each of `leen***`, `leen&&&` and `leen$` was encoded anew and held as a Python object."""
+    from tokenizers import Tokenizer
+
+    texts = ["leen leen. leen*** leen&&& leen$ leen%,", "½* *½ é* *** a|** a>* don't*** x'* ℌ# <|endoftext|>* É& 中&", ""]
+    direct, encoder = Tokenizer.from_file(tokenizer_path()), packing.WordTokenizer(tokenizer_path())
+    for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.large_string())), strict=True):
+        assert ids.tolist() == direct.encode(text, add_special_tokens=False).ids
+    assert isinstance(encoder.known, pa.Array)
+    units = encoder.units.to_pylist()
+    assert len(units) == len(set(units)) and [u for u in units if u.startswith("leen")] == ["leen"]
