@@ -28,6 +28,8 @@ _LEAST_BITS, _MOST_BITS = 1 << 19, 1 << 27
 _BLANK = " \t\n\v\f\r"
 # Keys a task holds before it joins equal ones on its own.
 _HELD = 1_000_000
+# Pairs of lines up to which they are broadcast to find their texts.
+_BROADCAST_PAIRS = 200_000
 _ROWS = "key bigint, node bigint, is_index boolean, centre bigint, low bigint, doc_id bigint, line_no int"
 _KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 _SCHEMA = pa.schema(list(zip([c.split()[0] for c in _ROWS.split(", ")], _KINDS)))
@@ -288,9 +290,11 @@ class _Lines:
                 lines = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
                 yield batch.select([0, 1]).filter(pa.array([within_edits(a, b, edits) for a, b in lines], pa.bool_()))
 
-        sides = [self.texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b")]
-        both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "line_a", "line_b")
-        return both.mapInArrow(near, "a bigint, b bigint").distinct()
+        a, b = (self.texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b"))
+        # Few pairs go to where the lines are instead of moving all lines.
+        first = F.broadcast(pairs) if pairs.count() <= _BROADCAST_PAIRS else pairs
+        both = a.join(first, "a").join(b, "b").select("a", "b", "line_a", "line_b")
+        return both.mapInArrow(near, "a bigint, b bigint")
 
 
 def counted(line: str) -> bytes:

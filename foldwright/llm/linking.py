@@ -20,23 +20,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.words import released
+from foldwright.llm.words import released, sliced
 from foldwright.session import scratch_space, stored
 
 # Members of a bucket that one task compares with as many others at most.
 BLOCK_ROWS = 2048
+# Links that a task joins at a time on its own.
+_HELD_LINKS = 200_000
+
+
+def _least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least): all ends of the links a[i] - b[i] and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        one, two = root[a], root[b]
+        apart = one != two
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _forests(edges: DataFrame, tasks: int) -> DataFrame:
+    """(node, component) inside runs of at most about `_HELD_LINKS` edges (u, v), which `tasks` tasks read where they are."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def joined() -> pa.RecordBatch:
+            ends = (np.concatenate([x.column(n).to_numpy() for x in held]) for n in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _least_reachable(*ends)], ["node", "component"])
+
+        for batch in released(batches):
+            if held and sum(x.num_rows for x in held) + batch.num_rows > _HELD_LINKS:
+                yield from sliced(joined())
+                held = []
+            held.append(batch)
+        if held:
+            yield from sliced(joined())
+
+    return edges.coalesce(tasks).mapInArrow(join, "node bigint, component bigint")
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; nodes without links are left out.
 
-    `links` has node columns a and b. Large-star and small-star rounds over stored
+    `links` has node columns a and b. Tasks first join what the edges they hold connect. Where that takes more
+    than one run of `_HELD_LINKS` edges, large-star and small-star rounds follow over stored
     tables, until the edges no longer change; every minimum is pre-aggregated, so a node
     with very many links costs its group no more than others.
     """
     with scratch_space(links.sparkSession):
-        edges = stored(
-            links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-        )
+        edges = stored(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
+        tasks = max(1, -(-edges.count() // _HELD_LINKS))
+        forests = _forests(edges, tasks)
+        if tasks == 1:
+            return stored(forests, "labels", keep=True)
+        edges = stored(forests.where("node <> component").toDF("u", "v").distinct(), "edges")
         before = None
         while True:
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -61,8 +105,8 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "node"))
 
 
-def _open_buckets(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold an index member and more than one class; of equal buckets one.
+def _distinct_buckets(members: DataFrame) -> DataFrame:
+    """The members, with the number `n` in their bucket, of buckets that hold an index member and more than one class; of equal buckets one.
 
     Equal buckets are told by two 64-bit digests of their members and their number.
     """
@@ -72,12 +116,18 @@ def _open_buckets(members: DataFrame) -> DataFrame:
         F.max("is_index").alias("_indexed"),
         F.bit_xor(F.xxhash64("node", "is_index")).alias("_one"),
         F.bit_xor(F.xxhash64(F.lit("two"), "is_index", "node")).alias("_two"),
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("n"),
     )
-    keys = keys.where("_low <> _high and _indexed").groupBy("_one", "_two", "_n").agg(F.min("key").alias("key")).select("key")
+    keys = keys.where("_low <> _high and _indexed").groupBy("_one", "_two", "n").agg(F.min("key").alias("key")).select("key", "n")
     return stored(members.join(keys, "key"), "members")
 
 
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one class."""
+    keys = members.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    return stored(members.join(keys.where("_low <> _high").select("key"), "key", "left_semi"), "members")
+
+
 def _crowded_pairs(
     live: DataFrame, failed: DataFrame | None, sketches: DataFrame, bound: Callable, budget: int
 ) -> DataFrame:
@@ -86,8 +136,8 @@ def _crowded_pairs(
 
     Buckets of more than `BLOCK_ROWS` members are cut into blocks, and each task compares two of them.
     """
-    sizes = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = live.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = live.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     rows = rows.withColumn("other", F.explode(others)).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "is_index"
@@ -198,7 +248,7 @@ def link_classes(
         links = None if known is None else stored(known.select("a", "b"), "links")
         labels = None if links is None else components(links)
         live = _labelled(members.select("key", "node", "is_index").distinct(), labels)
-        live = _open_buckets(stored(live, "members"))  # read twice
+        live = _distinct_buckets(stored(live, "members"))  # read twice
         one_each = live.where("is_index").groupBy("key").agg(F.min(F.struct("node", "component")).alias("c"))
         centres = one_each.select("key", F.col("c.node").alias("_a"), F.col("c.component").alias("_class"))
         pairs = live.join(centres, "key").where(F.col("component") != F.col("_class"))
@@ -215,8 +265,7 @@ def link_classes(
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = components(links)
-                live = stored(_labelled(live.drop("component"), labels), "members")
-            live = _open_buckets(live)
+                live = _open_buckets(stored(_labelled(live.drop("component"), labels), "members"))
             if live.isEmpty():
                 break
             near = pairs = stored(_crowded_pairs(live, failed, held, bound, budget), "pairs")

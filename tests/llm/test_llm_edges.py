@@ -549,3 +549,28 @@ def test_words_that_differ_in_closing_signs_are_encoded_once():
     assert isinstance(encoder.known, pa.Array)
     units = encoder.units.to_pylist()
     assert len(units) == len(set(units)) and [u for u in units if u.startswith("leen")] == ["leen"]
+
+
+def _classes(links):
+    least = {n: n for link in links for n in link if link[0] != link[1]}
+    while True:
+        found = {n: min([least[n], *(least[a + b - n] for a, b in links if a != b and n in (a, b))]) for n in least}
+        if found == least:
+            return least
+        least = found
+
+
+@pytest.mark.parametrize("held", [7, 1000])
+def test_components_in_tasks_and_in_rounds(spark, monkeypatch, held):
+    """Links that one task holds are joined there, without rounds of shuffles; more go on in rounds."""
+    from foldwright.llm import linking
+
+    draw, tables, true = random.Random(8), [], linking.stored
+    links = [(draw.randrange(-60, 60), draw.randrange(-60, 60)) for _ in range(70)] + [(i, i + 1) for i in range(100, 140)] + [(3, 3)]
+    frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(5)
+    monkeypatch.setattr(linking, "_HELD_LINKS", held)
+    monkeypatch.setattr(linking, "stored", lambda *a, **k: tables.append(a[1]) or true(*a, **k))
+    got = linking.components(frame).collect()
+    assert len(got) == len({r["node"] for r in got}) and {r["node"]: r["component"] for r in got} == _classes(links)
+    assert (len(tables) == 2) == (held == 1000)
+    assert linking.components(frame.where("a > 1000")).collect() == []
