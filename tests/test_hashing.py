@@ -85,3 +85,56 @@ def test_own_buckets_bound_the_others(clustered, monkeypatch, tmp_path):
     counts = np.array([list(map(int, f.read_text().split())) for f in tmp_path.iterdir()])
     assert 0 < counts[:, 0].sum() < 2000 * 5 * 24 / 3 and counts[:, 1].sum() == 0
     assert (found.groupby("query_id").size() <= 5).all() and found.query_id.nunique() == 2000
+
+
+@pytest.mark.parametrize("crowded", [64, 100_000])
+def test_units_change_nothing(clustered, monkeypatch, crowded):
+    """Buckets cut into units of any size give the same neighbours from the same pairs."""
+    _, support = clustered
+    queries = support.where("support_id % 5 = 0").select(support.support_id.alias("query_id"), "vector")
+    found = []
+    for rows in (1 << 18, 500):
+        monkeypatch.setattr(hashing, "PART_ROWS", rows)
+        columns = ["query_id", "rank", "support_id", "pairs"]
+        found.append(hashing.approximate_nearest(queries, support, 5, crowded=crowded).select(columns).toPandas().sort_values(columns[:2]))
+    assert found[0].values.tolist() == found[1].values.tolist() and len(found[0]) > 5000
+
+
+def test_rows_are_not_stored_for_every_bucket(clustered, monkeypatch):
+    """Vectors and queries are written once, however many buckets they are compared in."""
+    _, support = clustered
+    queries = support.select(support.support_id.alias("query_id"), "vector")
+    rows, stored = [], hashing.stored
+
+    def counting(*args, **kept):
+        out = stored(*args, **kept)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(hashing, "stored", counting)
+    hashing.approximate_nearest(queries, support, 5, crowded=64)
+    assert 0 < sum(rows) <= 6000 * (5 + 2) + 200
+
+
+def test_width_is_that_of_all_rows(spark, monkeypatch):
+    """A small sample does not make cells wider, nor do copies make them narrower."""
+    points = np.random.default_rng(9).uniform(0, 1, (5000, 3))
+    frame = pd.DataFrame({"support_id": range(len(points)), "vector": list(points)})
+    support = spark.createDataFrame(frame, "support_id bigint, vector array<double>")
+    widths = []
+    for rows, copies in ((2048, 1), (100, 1), (100, 6)):
+        monkeypatch.setattr(hashing, "SAMPLE_ROWS", rows)
+        many = support.selectExpr(f"explode(sequence(0, {copies - 1})) as i", "*").selectExpr("support_id + 10000 * i as support_id", "vector")
+        queries = many.where("support_id % 50 = 0").withColumnRenamed("support_id", "query_id")
+        widths.append([])
+        fitted = hashing.HashTables.fitted
+
+        def seen(*args):
+            widths[-1].append(fitted(*args))
+            return widths[-1][-1]
+
+        monkeypatch.setattr(hashing.HashTables, "fitted", staticmethod(seen))
+        assert hashing.approximate_nearest(queries, many, 5).count() > 0
+        monkeypatch.setattr(hashing.HashTables, "fitted", staticmethod(fitted))
+    wide, small, copied = (w[0].width for w in widths)
+    assert 0.8 < small / wide < 1.25 and 0.8 < copied / wide < 1.25
